@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["sources", "scalars"]
+MODULES = ["sources", "scalars", "structure"]
 
 
 def load_all():
