@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["sources", "scalars", "structure"]
+MODULES = ["sources", "scalars", "structure", "repair"]
 
 
 def load_all():
