@@ -106,12 +106,12 @@ def _(spark, sf):
 
 @query("zone_valid_exact", ss.with_structure(f"SELECT doc_id, para_id, zone, tag, {sb.exact_zone_ok('tag', 'zone')} AS valid FROM s"))
 def _(spark, sf):
-    return structured(spark, sf).select(*KEY, "zone", "tag", st.zone_accepts_exact(F.col("tag"), F.col("zone")).alias("valid"))
+    return structured(spark, sf).select(*KEY, "zone", "tag", st.zone_accepts_exact("tag", "zone").alias("valid"))
 
 
 @query("zone_valid_prefix", ss.with_structure(f"SELECT doc_id, para_id, zone, tag, {sb.wildcard_zone_ok('tag', 'zone')} AS valid FROM s"))
 def _(spark, sf):
-    return structured(spark, sf).select(*KEY, "zone", "tag", st.zone_accepts_wildcard(F.col("tag"), F.col("zone")).alias("valid"))
+    return structured(spark, sf).select(*KEY, "zone", "tag", st.zone_accepts_wildcard("tag", "zone").alias("valid"))
 
 
 ZONE_ROWS = [(z, s) for z, names in fixed.default_zone_styles().items() for s in names]

@@ -92,7 +92,7 @@ def ref_entry(text: str) -> str:
     return f"""({t} <> '' AND NOT {has(l, fixed.SUGGESTED_READING_PATTERN)} AND (
       {has(t, fixed.REF_NUMBER_PATTERN)} OR {has(t, fixed.REF_BULLET_PATTERN)}
       OR (({has(l, fixed.YEAR_PATTERN)} OR contains({l}, 'doi') OR contains({l}, 'et al')) AND {p})
-      OR ({has(t, fixed.AUTHOR_TITLE_PATTERN)} AND {p})))"""
+      OR ({has(t, '[A-Za-z].*,.+[.]')} AND {p})))"""
 
 
 def features_sum(t: str) -> str:

@@ -10,31 +10,36 @@ from pyspark.sql import functions as F
 from folioscope import fixed
 from folioscope.functions.text import (
     any_of,
-    count_chars,
     folded,
     strip_blank,
     strip_xml_tags,
 )
 
 
+def _matches(text: Column, patterns: list[str] | str) -> Column:
+    """Any pattern on the stripped text, ignoring case."""
+    pattern = patterns if isinstance(patterns, str) else any_of(patterns)
+    return strip_blank(text).rlike("(?i)" + pattern)
+
+
 def has_metadata(text: Column) -> Column:
-    return folded(text).rlike(any_of(fixed.METADATA_PATTERNS))
+    return _matches(text, fixed.METADATA_PATTERNS)
 
 
 def has_front_matter(text: Column) -> Column:
-    return folded(text).rlike(any_of(fixed.FRONT_MATTER_PATTERNS))
+    return _matches(text, fixed.FRONT_MATTER_PATTERNS)
 
 
 def is_chapter_opener(text: Column) -> Column:
-    return folded(text).rlike(any_of(fixed.CHAPTER_OPENER_PATTERNS))
+    return _matches(text, fixed.CHAPTER_OPENER_PATTERNS)
 
 
 def is_body_start(text: Column) -> Column:
-    return folded(text).rlike(any_of(fixed.BODY_START_PATTERNS))
+    return _matches(text, fixed.BODY_START_PATTERNS)
 
 
 def is_back_matter(text: Column) -> Column:
-    return folded(text).rlike(any_of(fixed.BACK_MATTER_PATTERNS))
+    return _matches(text, fixed.BACK_MATTER_PATTERNS)
 
 
 BOX_START = "^<" + any_of(fixed.BOX_TAGS) + ">"
@@ -43,8 +48,7 @@ BOX_END = "^</" + any_of(fixed.BOX_TAGS) + ">"
 
 def box_marker(text: Column) -> Column:
     """'start', 'end' or null."""
-    t = folded(text)
-    return F.when(t.rlike(BOX_START), "start").when(t.rlike(BOX_END), "end")
+    return F.when(_matches(text, BOX_START), "start").when(_matches(text, BOX_END), "end")
 
 
 def box_type(text: Column) -> Column:
@@ -54,7 +58,6 @@ def box_type(text: Column) -> Column:
     pattern or when its name occurs in the text; types are tried in fixed
     order, so `<example> ... note` is a note.
     """
-    t = folded(text)
 
     def ladder(line: Column) -> Column:
         found = F.lit("box")
@@ -70,7 +73,7 @@ def box_type(text: Column) -> Column:
     # Bound once in a one-element array: the ladder is long, and only the few
     # marker rows reach it.
     return F.when(
-        t.rlike(BOX_START), F.get(F.transform(F.array(t), ladder), 0)
+        _matches(text, BOX_START), F.get(F.transform(F.array(folded(text)), ladder), 0)
     )
 
 
@@ -82,23 +85,24 @@ def box_zone(kind: Column) -> Column:
 
 
 def caption_type(text: Column) -> Column:
-    t = folded(text)
-    return F.when(t.rlike(any_of(fixed.FIGURE_CAPTION_PATTERNS)), "figure").when(
-        t.rlike(any_of(fixed.TABLE_CAPTION_PATTERNS)), "table"
+    return F.when(_matches(text, fixed.FIGURE_CAPTION_PATTERNS), "figure").when(
+        _matches(text, fixed.TABLE_CAPTION_PATTERNS), "table"
     )
 
 
 def is_source_line(text: Column) -> Column:
-    return folded(text).rlike(any_of(fixed.SOURCE_LINE_PATTERNS))
+    return _matches(text, fixed.SOURCE_LINE_PATTERNS)
 
 
 def box_label(text: Column) -> Column:
-    t = folded(text)
-    return F.when(t.isin(list(fixed.BOX_PREFIXES)), t)
+    t = strip_blank(text)
+    longest = max(map(len, fixed.BOX_PREFIXES))
+    short = (F.length(t) <= longest) & F.lower(t).isin(list(fixed.BOX_PREFIXES))
+    return F.when(short, F.lower(t))
 
 
 def is_box_title(text: Column) -> Column:
-    return folded(text).rlike(any_of(fixed.BOX_TITLE_PATTERNS))
+    return _matches(text, fixed.BOX_TITLE_PATTERNS)
 
 
 def has_bullet(text: Column) -> Column:
@@ -152,18 +156,13 @@ def infer_cell_style(
 def is_reference_entry(text: Column) -> Column:
     """Entry test used by the repair passes."""
     t = strip_blank(text)
-    low = F.lower(t)
-    dated = (
-        low.rlike(fixed.YEAR_PATTERN) | low.contains("doi") | low.contains("et al")
-    )
-    punctuated = count_chars(t, ".;:,") >= 2
-    entry = (
-        t.rlike(any_of([fixed.REF_NUMBER_PATTERN, fixed.REF_BULLET_PATTERN]))
-        | (dated & punctuated)
-        | (punctuated & t.rlike(fixed.AUTHOR_TITLE_PATTERN))
-    )
+    dated = t.rlike(fixed.YEAR_PATTERN) | t.rlike("(?i)doi|et al")
+    listed = t.rlike(any_of([fixed.REF_NUMBER_PATTERN, fixed.REF_BULLET_PATTERN]))
+    cited = t.rlike(fixed.TWO_MARKS_PATTERN) & (t.rlike(fixed.AUTHOR_TITLE_PATTERN) | dated)
     return (
-        (t != "") & ~low.rlike(fixed.SUGGESTED_READING_PATTERN) & entry
+        (t != "")
+        & (listed | cited)
+        & ~t.rlike("(?i)" + fixed.SUGGESTED_READING_PATTERN)
     )
 
 
@@ -199,22 +198,29 @@ def is_numbered_not_reference(text: Column) -> Column:
     referenced = (
         t.rlike(fixed.YEAR_PATTERN)
         | t.rlike(r"\bet\s+al\.?\b")
-        | F.lower(t).contains("doi")
+        | t.rlike("(?i)doi")
         | t.rlike(r"(?i)\b(journal|vol\.|volume|press)\b")
     )
     return (F.length(t) < 50) & t.rlike(r"^\d+\.\s+") & ~referenced
 
 
+def _untagged(text: Column, limit: int) -> Column:
+    """Lower-cased text without tags where it can be ``limit`` long, else null."""
+    bare = F.lower(strip_xml_tags(text))
+    return F.when((F.length(strip_blank(text)) <= limit) | text.contains("<"), bare)
+
+
 def is_reference_heading(text: Column) -> Column:
-    c = F.lower(strip_xml_tags(text))
+    c = _untagged(text, 80)
     short = (F.length(c) <= 80) & ~c.rlike(r"[.!?;:]\s*$")
-    return c.isin(fixed.REFERENCE_HEADINGS) | (
-        short & c.rlike(any_of(fixed.REFERENCE_HEADINGS))
-    )
+    hit = c.isin(fixed.REFERENCE_HEADINGS) | (short & c.rlike(any_of(fixed.REFERENCE_HEADINGS)))
+    return F.coalesce(hit, F.lit(False))
 
 
 def is_secondary_reference_heading(text: Column) -> Column:
-    return F.lower(strip_xml_tags(text)).isin(fixed.SECONDARY_REFERENCE_HEADINGS)
+    longest = max(map(len, fixed.SECONDARY_REFERENCE_HEADINGS))
+    hit = _untagged(text, longest).isin(fixed.SECONDARY_REFERENCE_HEADINGS)
+    return F.coalesce(hit, F.lit(False))
 
 
 def is_zone_exit(text: Column) -> Column:
@@ -251,10 +257,4 @@ def inline_heading(text: Column) -> Column:
 
 def is_table_footnote(text: Column) -> Column:
     t = strip_blank(text)
-    return (
-        F.lower(t).startswith("note")
-        | F.lower(t).startswith("source")
-        | t.startswith("*")
-        | t.startswith("†")
-        | t.rlike(r"(?i)^[a-z]\)")
-    )
+    return t.rlike(r"(?i)^(?:note|source|\*|†|[a-z]\))")

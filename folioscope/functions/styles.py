@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,10 +17,12 @@ from pyspark.sql import functions as F
 from folioscope import fixed
 from folioscope.functions.patterns import starts_with_ref_bullet
 from folioscope.functions.text import (
-    any_of,
     collapse_blank,
     edit_similarity,
+    is_one_of,
+    literal_array,
     looked_up,
+    quoted,
     strip_blank,
 )
 
@@ -82,6 +85,16 @@ def normalize_name(name: str | None) -> str:
     return text
 
 
+def normalized(
+    column: str, vocabulary: Vocabulary, box_prefix: Column | None = None
+) -> Column:
+    """Normal form of a column, with a hash lookup first: allowed tags, nearly
+    all rows, skip the pattern steps."""
+    return F.when(is_one_of(column, vocabulary.stable), F.col(column)).otherwise(
+        normalize_style(F.col(column), box_prefix)
+    )
+
+
 class Vocabulary:
     """The bounded set of allowed styles, normalised and in tie-break order."""
 
@@ -101,12 +114,17 @@ class Vocabulary:
     def __contains__(self, name: str) -> bool:
         return name in self._set
 
-    @property
+    @cached_property
     def _set(self) -> frozenset[str]:
         return frozenset(self.names)
 
-    def has(self, tag: Column) -> Column:
-        return tag.isin(self.names)
+    def has(self, tag: Column | str) -> Column:
+        return is_one_of(tag, self.names)
+
+    @cached_property
+    def stable(self) -> list[str]:
+        """Names that are their own normal form."""
+        return [n for n in self.names if normalize_name(n) == n]
 
     def first(self, *candidates: str) -> str | None:
         """First candidate whose normal form is allowed (as spelled)."""
@@ -127,7 +145,7 @@ class Vocabulary:
         return best
 
     def array(self) -> Column:
-        return F.array(*[F.lit(n) for n in self.names])
+        return literal_array(self.names)
 
 
 def nearest(tag: Column, vocabulary: Vocabulary, fold_case: bool = False,
@@ -212,29 +230,35 @@ def ensure_allowed(norm: Column, vocabulary: Vocabulary, fallback: str = "TXT")
 
 
 def zone_accepts_exact(
-    tag: Column, zone: Column, zone_styles: dict[str, list[str]] | None = None
+    tag: str, zone: str, zone_styles: dict[str, list[str]] | None = None
 ) -> Column:
-    """Exact list test, a second time without trailing digits; unknown zones accept."""
-    ok = F.lit(True)
-    bare = F.regexp_replace(tag, "[0-9]+$", "")
+    """Exact list test, a second time without trailing digits; unknown zones accept.
+
+    Takes column names; the whole test is one expression.
+    """
+    cases = []
     for name, styles in (zone_styles or fixed.default_zone_styles()).items():
-        ok = F.when(zone == name, tag.isin(styles) | bare.isin(styles)).otherwise(ok)
-    return ok
+        listed = ", ".join(quoted(s) for s in styles)
+        cases.append(
+            f"WHEN {quoted(name)} THEN `{tag}` IN ({listed}) "
+            f"OR regexp_replace(`{tag}`, '[0-9]+$', '') IN ({listed})"
+        )
+    return F.expr(f"CASE `{zone}` {' '.join(cases)} ELSE TRUE END")
 
 
 def zone_accepts_wildcard(
-    tag: Column, zone: Column, wildcards: dict[str, list[str]] | None = None
+    tag: str, zone: str, wildcards: dict[str, list[str]] | None = None
 ) -> Column:
     """Wildcard test: exact entries or `prefix*`; unknown zones accept."""
-    ok = F.lit(True)
+    cases = []
     for name, entries in (wildcards or fixed.ZONE_WILDCARDS).items():
-        exact = [e for e in entries if not e.endswith("*")]
-        starts = [re.escape(e[:-1]) for e in entries if e.endswith("*")]
-        hit = tag.isin(exact)
-        if starts:
-            hit = hit | tag.rlike("^" + any_of(starts))
-        ok = F.when(zone == name, hit).otherwise(ok)
-    return ok
+        exact = ", ".join(quoted(e) for e in entries if not e.endswith("*"))
+        starts = [
+            f"startswith(`{tag}`, {quoted(e[:-1])})" for e in entries if e.endswith("*")
+        ]
+        tests = ([f"`{tag}` IN ({exact})"] if exact else []) + starts
+        cases.append(f"WHEN {quoted(name)} THEN {' OR '.join(tests)}")
+    return F.expr(f"CASE `{zone}` {' '.join(cases)} ELSE TRUE END")
 
 
 def sanitize_tag(raw: Column, vocabulary: Vocabulary) -> Column:

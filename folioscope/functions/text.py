@@ -13,13 +13,38 @@ BLANK = r"[\s\x{00A0}]"
 
 
 def any_of(patterns: list[str]) -> str:
-    """One alternation, so a pattern set costs a single ``rlike``."""
-    return "(?:" + "|".join(patterns) + ")"
+    """One alternation, so a pattern set costs a single ``rlike``.
+
+    Leading anchors are moved out of the alternation: an anchored set then
+    fails at once on every later position of a long text.
+    """
+    anchored = [p[1:] for p in patterns if p.startswith("^")]
+    free = [p for p in patterns if not p.startswith("^")]
+    parts = [f"^(?:{'|'.join(anchored)})"] if anchored else []
+    return "|".join(parts + ([f"(?:{'|'.join(free)})"] if free else []))
+
+
+BLANKS = " \t\n\r\f\x0b\u00a0"
 
 
 def strip_blank(text: Column) -> Column:
     """Strip blanks, tabs and no-break spaces at both ends."""
-    return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(text, F.lit(BLANKS))
+
+
+def quoted(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def literal_array(values: list[str]) -> Column:
+    return F.expr(f"array({', '.join(quoted(v) for v in values)})")
+
+
+def is_one_of(value: Column | str, values: list[str]) -> Column:
+    """Membership in a literal set; a column name keeps plan building cheap."""
+    if isinstance(value, str):
+        return F.expr(f"`{value}` IN ({', '.join(quoted(v) for v in values)})")
+    return value.isin(values)
 
 
 def folded(text: Column) -> Column:
@@ -92,7 +117,7 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def string_map(table: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(v) for pair in table.items() for v in pair])
+    return F.expr(f"map({', '.join(quoted(v) for pair in table.items() for v in pair)})")
 
 
 def looked_up(table: dict[str, str], key: Column) -> Column:

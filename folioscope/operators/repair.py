@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from folioscope import fixed
 from folioscope.functions import patterns as pt
 from folioscope.functions import styles as st
-from folioscope.functions.styles import Vocabulary, normalize_style
+from folioscope.functions.styles import Vocabulary
 from folioscope.functions.text import looked_up, strip_blank
 from folioscope.operators.ordered import before, document, ordered, upto
 
@@ -55,7 +55,7 @@ def _prepared(df: DataFrame, vocabulary: Vocabulary, keep_marker_pmi: bool) -> D
     )
     base = base.withColumns(
         {
-            "_norm": normalize_style(C("tag"), C("_prefix")),
+            "_norm": st.normalized("tag", vocabulary, C("_prefix")),
             "_entry": pt.is_reference_entry(C("_t")),
             "_ref_tag": F.when(pt.starts_with_ref_bullet(C("_t")), "REF-U").otherwise("REF-N"),
             "_ref": C("in_ref") | (C("zone") == "REFERENCE"),
@@ -84,9 +84,9 @@ def _table_rungs(df: DataFrame, v: Vocabulary) -> DataFrame:
     here = ~C("_lock") & (C("zone") == "TABLE")
     mapped = looked_up(TABLE_HEADINGS, C("input_tag"))
     df = df.withColumns({"_head": F.when(here, mapped), "_note": here & pt.is_table_footnote(C("_t"))})
-    df = _step(df, v.has(C("_head")), C("_head"), "zone-table-heading-map")
+    df = _step(df, v.has("_head"), C("_head"), "zone-table-heading-map")
     df = _step(
-        df, C("_head").isNotNull() & ~v.has(C("_head")), "T", "zone-table-heading-fallback"
+        df, C("_head").isNotNull() & ~v.has("_head"), "T", "zone-table-heading-fallback"
     )
     df = _step(df, C("_note"), "TFN", "zone-table-footnote")
     if "TD" in v:
@@ -125,8 +125,8 @@ def _back_matter_rung(df: DataFrame, v: Vocabulary) -> DataFrame:
     return _step(df, here, new, "zone-backmatter-normalize")
 
 
-def _list_rung(df: DataFrame, keep_lists: bool) -> DataFrame:
-    df = df.withColumns({"_list": _structural_list_tag(), "_n": normalize_style(C("tag"))})
+def _list_rung(df: DataFrame, v: Vocabulary, keep_lists: bool) -> DataFrame:
+    df = df.withColumns({"_list": _structural_list_tag(), "_n": st.normalized("tag", v)})
     open_row = ~C("_ref") & ~C("_lock") & C("_list").isNotNull()
     positioned = C("tag").rlike("-(FIRST|MID|LAST)$")
     ref_like = C("_n").startswith("REF") | C("_n").isin("BIB", "SR", "SRH1") | C("_entry")
@@ -139,7 +139,7 @@ def _list_rung(df: DataFrame, keep_lists: bool) -> DataFrame:
 
 
 def _zone_rungs(df: DataFrame, v: Vocabulary, zone_styles) -> DataFrame:
-    refused = ~C("_lock") & ~st.zone_accepts_exact(C("tag"), C("zone"), zone_styles)
+    refused = ~C("_lock") & ~st.zone_accepts_exact("tag", "zone", zone_styles)
     safe = F.when(C("tag").startswith("BX4-"), "BX4-TXT").otherwise("T")
     df = _step(
         df, refused & (C("zone") == "TABLE") & (C("tag") != safe), safe, "table-inferred"
@@ -158,7 +158,7 @@ def _zone_rungs(df: DataFrame, v: Vocabulary, zone_styles) -> DataFrame:
 
 
 def _reference_rungs(df: DataFrame) -> DataFrame:
-    head = F.lower("_t").startswith("<ref-h2>") | C("ref_heading")
+    head = C("_t").rlike("(?i)^<ref-h2>") | C("ref_heading")
     listed = C("tag").rlike("^(UL|BL)-")
     entry = ~C("tag").startswith("APX-REF") & ~C("tag").isin("SR", "SRH1") & C("_entry")
     new = (
@@ -236,13 +236,13 @@ def repair_rows(
     )
     df = _table_rungs(df, v)
     df = _back_matter_rung(df, v)
-    df = _list_rung(df, keep_lists)
+    df = _list_rung(df, v, keep_lists)
     df = _zone_rungs(df, v, zone_styles)
     lowered = ~C("_lock") & C("tag").isin("H4", "H5")
     df = df.withColumn("from_h4h5", lowered)
     df = _step(df, lowered, "H3", "heading-canonicalize")
     df = _reference_rungs(df)
-    df = df.withColumn("_n", normalize_style(C("tag")))
+    df = df.withColumn("_n", st.normalized("tag", v))
     df = df.withColumn("_n", st.ensure_allowed(C("_n"), v))
     df = _step(df, C("_n") != C("tag"), C("_n"), "not-allowed")
     changed = C("_why") != ""
@@ -293,10 +293,11 @@ KEPT_REFERENCE_TAGS = ["SR", "REF-N", "REF-N0", "BIB", "APX-REF-N", "APX-REF-U",
 def preserve_reference_section(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """Between a reference heading and the next section, restore the tagger's
     own reference tags."""
-    own = normalize_style(C("input_tag"))
-    df = df.withColumns({"_now": normalize_style(C("tag")), "_own": own})
-    keep = C("_own").isin(KEPT_REFERENCE_TAGS) & vocabulary.has(C("_own"))
-    opens = C("_now").isin("SRH1", "REFH1") | F.upper(strip_blank(C("text"))).startswith("<REF>")
+    df = df.withColumns(
+        {"_now": st.normalized("tag", vocabulary), "_own": st.normalized("input_tag", vocabulary)}
+    )
+    keep = C("_own").isin(KEPT_REFERENCE_TAGS) & vocabulary.has("_own")
+    opens = C("_now").isin("SRH1", "REFH1") | strip_blank(C("text")).rlike("(?i)^<ref>")
     ends = C("_now").isin("H1", "H2", "CN", "CT") & ~keep
     df = df.withColumns({"_open": opens, "_ev": F.when(ends, "E").when(opens, "T"), "_keep": keep})
     inside = C("_open") | F.last("_ev", ignorenulls=True).over(before()).eqNullSafe("T")
@@ -373,7 +374,7 @@ def flush_after_heading(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """Plain text right after a heading becomes flush text."""
     target = "TXT-FLUSH" if "TXT-FLUSH" in vocabulary else "TXT"
     bulletish = C("has_bullet") | C("has_xml_list") if "has_xml_list" in df.columns else C("has_bullet")
-    df = df.withColumn("_now", normalize_style(C("tag")))
+    df = df.withColumn("_now", st.normalized("tag", vocabulary))
     listed = st.list_tag(
         C("list_kind"), C("list_position"), C("zone"), C("box_type"), bulletish, C("tag")
     ).isNotNull()
@@ -411,7 +412,8 @@ def fix_heading_hierarchy(
         came = F.last(came).over(
             ordered().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         )
-    sure = vocabulary.has(normalize_style(C("tag"))) & (C("confidence") >= 0.90)
+    df = df.withColumn("_now", st.normalized("tag", vocabulary))
+    sure = vocabulary.has("_now") & (C("confidence") >= 0.90)
     level = F.when(
         C("tag").rlike("^H[1-6]$"), F.substring("tag", 2, 1).cast("int")
     )
@@ -483,7 +485,7 @@ def fix_heading_hierarchy(
         "confidence", F.when(changed, F.least("confidence", F.lit(80.0))).otherwise(C("confidence"))
     )
     return _amend(df, changed, C("_out"), "heading-hierarchy").drop(
-        "_sure", "_l", "_came", "_c7", "_s", "_n", "_h1", "_top", "_dead", "_seg", "_turn",
+        "_now", "_sure", "_l", "_came", "_c7", "_s", "_n", "_h1", "_top", "_dead", "_seg", "_turn",
         "_p1", "_leave", "_phase", "_setter", "_last", "_out",
     )
 
@@ -492,7 +494,7 @@ def guard_reference_zone(df: DataFrame) -> DataFrame:
     """Last word inside a reference zone: REFH2, REF-U or REF-N at >= 0.99."""
     t = strip_blank(C("text"))
     given_head = C("ref_heading") if "ref_heading" in df.columns else F.lit(False)
-    head = C("in_ref") & (F.lower(t).startswith("<ref-h2>") | given_head)
+    head = C("in_ref") & (t.rlike("(?i)^<ref-h2>") | given_head)
     wanted = F.when(pt.starts_with_ref_bullet(t), "REF-U").otherwise("REF-N")
     entry = (
         C("in_ref")
@@ -541,8 +543,8 @@ def check_zones(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """
     df = st.map_tag_alias(df, "tag", vocabulary, out="_alias")
     t = strip_blank(C("text"))
-    refused = (C("zone") != "BODY") & ~st.zone_accepts_wildcard(C("tag"), C("zone"))
-    remap = refused & (C("_alias") != "") & st.zone_accepts_wildcard(C("_alias"), C("zone"))
+    refused = (C("zone") != "BODY") & ~st.zone_accepts_wildcard("tag", "zone")
+    remap = refused & (C("_alias") != "") & st.zone_accepts_wildcard("_alias", "zone")
     bullet = t.rlike(fixed.REF_BULLET_PATTERN)
     safe = (
         F.when(
@@ -557,7 +559,7 @@ def check_zones(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         .otherwise("TXT")
     )
     df = df.withColumns({"_refused": refused, "_remap": remap, "_safe": safe})
-    fall = C("_refused") & ~C("_remap") & st.zone_accepts_wildcard(C("_safe"), C("zone"))
+    fall = C("_refused") & ~C("_remap") & st.zone_accepts_wildcard("_safe", "zone")
     df = df.withColumn("_fall", fall)
     bad = C("_refused") & ~C("_remap") & ~C("_fall")
     hints = F.lit(None).cast("string")

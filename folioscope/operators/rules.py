@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope import fixed
-from folioscope.functions.text import any_of, count_chars, strip_blank
+from folioscope.functions.text import any_of, strip_blank
 from folioscope.session import BROADCAST_ROWS
 
 FLAG_NAMES = [
@@ -31,10 +31,9 @@ def looks_like_heading(t: Column) -> Column:
 
 def looks_like_reference(text: Column) -> Column:
     t = strip_blank(text)
-    low = F.lower(t)
     listed = t.rlike(any_of([fixed.FEATURE_NUMBERED_PATTERN, fixed.REF_BULLET_PATTERN]))
-    dated = low.rlike(fixed.YEAR_PATTERN) | low.contains("doi") | low.contains("et al")
-    return (t != "") & (listed | (dated & (count_chars(text, ".;:,") >= 2)))
+    dated = t.rlike(fixed.YEAR_PATTERN) | t.rlike("(?i)doi|et al")
+    return (t != "") & (listed | (text.rlike(fixed.TWO_MARKS_PATTERN) & dated))
 
 
 def feature_columns(
@@ -42,7 +41,6 @@ def feature_columns(
 ) -> dict[str, Column]:
     """Two lengths, nineteen flags and three context strings."""
     t = strip_blank(text)
-    low = F.lower(t)
     place = F.coalesce(zone, F.lit("BODY"))
     return {
         "length": F.length(text),
@@ -60,7 +58,7 @@ def feature_columns(
         "ends_with_colon": t.endswith(":"),
         "has_citation_year": text.rlike(fixed.YEAR_PATTERN),
         "looks_like_heading": looks_like_heading(t),
-        "looks_like_caption": low.rlike(r"^(figure|table|fig\.|tab\.)"),
+        "looks_like_caption": t.rlike(r"(?i)^(figure|table|fig\.|tab\.)"),
         "looks_like_reference": looks_like_reference(text),
         "looks_like_footnote": t.rlike(r"^(\*|†|‡)")
         | t.rlike(fixed.FEATURE_FOOTNOTE_PATTERN),
