@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["sources", "scalars", "structure", "repair"]
+MODULES = ["sources", "scalars", "structure", "repair", "usage", "rules"]
 
 
 def load_all():
