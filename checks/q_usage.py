@@ -18,7 +18,10 @@ RIN, ROUT = fixed.MODEL_RATES[fixed.DEFAULT_MODEL]
 
 def money(i: str = "input_tokens", o: str = "output_tokens") -> str:
     a, b = f"({i} / 1000000 * {RIN}::DOUBLE)", f"({o} / 1000000 * {ROUT}::DOUBLE)"
-    return f"round({a}, 6) AS input_cost, round({b}, 6) AS output_cost, round({a} + {b}, 6) AS total_cost"
+    def r(x):
+        return f"round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(30, 20)), 6)::DOUBLE"
+
+    return f"{r(a)} AS input_cost, {r(b)} AS output_cost, {r(f'{a} + {b}')} AS total_cost"
 
 
 def jobs(spark, sf):
@@ -36,8 +39,8 @@ query("search_filter", f"WITH {JOBS} SELECT job_id, name, status FROM jobs WHERE
 RATES = sb.values([(m, *r) for m, r in fixed.MODEL_RATES.items()], "m, ri, ro")
 query("token_cost", f"""WITH {JOBS}, p AS (SELECT m, ri::DOUBLE AS ri, ro::DOUBLE AS ro FROM {RATES}),
 j AS (SELECT jobs.*, coalesce(ri, {RIN}::DOUBLE) AS ri, coalesce(ro, {ROUT}::DOUBLE) AS ro FROM jobs LEFT JOIN p ON p.m = jobs.model)
-SELECT job_id, model, round(input_tokens / 1000000 * ri, 6) AS input_cost, round(output_tokens / 1000000 * ro, 6) AS output_cost,
-  round(input_tokens / 1000000 * ri + output_tokens / 1000000 * ro, 6) AS total_cost FROM j""")(
+SELECT job_id, model, round(CAST(CAST(input_tokens / 1000000 * ri AS VARCHAR) AS DECIMAL(30, 20)), 6)::DOUBLE AS input_cost, round(CAST(CAST(output_tokens / 1000000 * ro AS VARCHAR) AS DECIMAL(30, 20)), 6)::DOUBLE AS output_cost,
+  round(CAST(CAST(input_tokens / 1000000 * ri + output_tokens / 1000000 * ro AS VARCHAR) AS DECIMAL(30, 20)), 6)::DOUBLE AS total_cost FROM j""")(
     lambda spark, sf: usage.with_cost(jobs(spark, sf), "model").select("job_id", "model", "input_cost", "output_cost", "total_cost"))
 
 query("queue_status", f"WITH {JOBS} SELECT count_if(status = 'pending') AS pending, count_if(status = 'processing') AS processing, count_if(status = 'completed') AS completed, count_if(status = 'failed') AS failed, count_if(status <> 'cancelled') AS total FROM jobs")(
