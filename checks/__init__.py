@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["sources", "scalars", "structure", "repair", "usage", "rules", "retrieval"]
+MODULES = ["sources", "scalars", "structure", "repair", "usage", "rules", "retrieval", "gold"]
 
 
 def load_all():

@@ -131,10 +131,11 @@ class Vocabulary:
         return next((c for c in candidates if normalize_name(c) in self), None)
 
     def chain_map(self) -> dict[str, str]:
+        """Unknown tag -> first allowed tag of its chain."""
         hits = {
             tag: self.first(*chain) for tag, chain in fixed.FALLBACK_CHAINS.items()
         }
-        return {t: normalize_name(c) for t, c in hits.items() if c}
+        return {t: normalize_name(c) for t, c in hits.items() if c} or {"": ""}
 
     def family_map(self) -> dict[str, str]:
         """Family prefix -> its shortest member."""
@@ -148,6 +149,10 @@ class Vocabulary:
         return literal_array(self.names)
 
 
+def _literal_or_null(value: str | None) -> Column:
+    return F.lit(value).cast("string")
+
+
 def nearest(tag: Column, vocabulary: Vocabulary, fold_case: bool = False,
             at_least: float = 0.6) -> Column:
     """Most similar allowed style, null below the threshold (edit similarity).
@@ -168,10 +173,6 @@ def nearest(tag: Column, vocabulary: Vocabulary, fold_case: bool = False,
     )
 
 
-def _literal_or_null(value: str | None) -> Column:
-    return F.lit(value).cast("string")
-
-
 def family_fallback(tag: Column, vocabulary: Vocabulary) -> Column:
     """Fallback of the normaliser when nothing is similar enough."""
     last = _literal_or_null(vocabulary.first("TXT") or "TXT")
@@ -211,18 +212,23 @@ def enforce_membership(norm: Column, vocabulary: Vocabulary) -> Column:
     ).otherwise(norm)
 
 
+def semantic_match(norm: Column, vocabulary: Vocabulary) -> Column:
+    """Related allowed style: chain, then family, then similar; else null."""
+    families = vocabulary.family_map()
+    stem = F.regexp_extract(norm, "^(.*)-[^-]*$", 1)
+    return F.coalesce(
+        looked_up(vocabulary.chain_map(), norm),
+        looked_up(families, stem) if families else _literal_or_null(None),
+        nearest(norm, vocabulary),
+    )
+
+
 def ensure_allowed(norm: Column, vocabulary: Vocabulary, fallback: str = "TXT") -> Column:
-    """Normalised tag -> allowed tag: chain, family, similar, fallback, TXT."""
+    """Normalised tag -> allowed tag: itself, related, fallback, TXT, itself."""
     last = vocabulary.first(fallback, "TXT")
     return F.when(vocabulary.has(norm), norm).otherwise(
         F.coalesce(
-            looked_up(vocabulary.chain_map(), norm),
-            looked_up(
-                vocabulary.family_map(), F.regexp_extract(norm, "^(.*)-[^-]*$", 1)
-            )
-            if vocabulary.family_map()
-            else _literal_or_null(None),
-            nearest(norm, vocabulary),
+            semantic_match(norm, vocabulary),
             _literal_or_null(normalize_name(last) if last else None),
             norm,
         )
