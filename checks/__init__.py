@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["sources", "scalars", "structure", "repair", "usage", "rules", "retrieval", "gold", "compose"]
+MODULES = ["sources", "scalars", "structure", "repair", "usage", "rules", "retrieval", "gold", "compose", "streaming"]
 
 
 def load_all():

@@ -59,12 +59,16 @@ def _duck(expr: str) -> str:
 
 
 def _rows(spark: SparkSession, sf_dir: str, columns: dict[str, str]) -> DataFrame:
+    return _derive(table(spark, sf_dir, "documents"), columns)
+
+
+def _derive(documents: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Whole documents placed by doc_id and split, with derived columns.
 
     The columns are built inside the document's line array, before the split,
     so every query reads them as plain values.
     """
-    docs = by_document(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = by_document(documents.select("doc_id", "text"))
     kept = docs.select("doc_id", F.expr("filter(split(text, '\\n'), t -> trim(t) <> '')").alias("_k"))
     fields = "struct(CAST(i + 1 AS BIGINT) AS para_id, CAST(size(_k) AS BIGINT) AS n, t0)"
     expr = f"transform(_k, (t0, i) -> {fields})"
@@ -85,11 +89,15 @@ def overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rows(spark, sf_dir, {"text": CASE}).drop("t0")
 
 
+def given_of(documents: DataFrame) -> DataFrame:
+    return _derive(
+        documents, {"text": CASE, "tag": GIVEN_CASE, "confidence": CONFIDENCE}
+    ).drop("t0")
+
+
 def given(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlay plus the stand-in tagger's (tag, confidence)."""
-    return _rows(
-        spark, sf_dir, {"text": CASE, "tag": GIVEN_CASE, "confidence": CONFIDENCE}
-    ).drop("t0")
+    return given_of(table(spark, sf_dir, "documents"))
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:

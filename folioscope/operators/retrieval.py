@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from folioscope.functions import styles as st
 from folioscope.functions.styles import Vocabulary
 from folioscope.functions.text import matching_text, tokens
-from folioscope.session import BROADCAST_ROWS, checked_lookup
+from folioscope.session import BROADCAST_ROWS, checked_lookup, through_table
 
 EXAMPLE = ["doc_id", "para_id"]
 SCORE_PLACES = 9  # equal texts must tie whatever the summation order
@@ -187,7 +187,8 @@ def knn_tags(
         "normalized_tag", st.enforce_membership(F.col("_norm"), vocabulary)
     )
     ask = ~vocabulary.has("mapped_tag") & F.col("normalized_tag").isin("TXT", "TXT-FLUSH")
-    keyed = keyed.withColumn("_ask", ask).drop("_norm")
+    # Written once: the lookup reads its questions several times.
+    keyed = through_table(keyed.withColumn("_ask", ask).drop("_norm"), "knn-rows")
     asked = keyed.where("_ask")
     best = retrieve(index, asked, EXAMPLE, k=1, same=("zone", "zone"), fill=False).where(
         F.col("similarity") > floor
