@@ -48,11 +48,15 @@ def weighted(counts: DataFrame, idf: DataFrame, keys: list[str], how: str = "inn
 
 
 class ExampleIndex:
-    """Weighted postings of the usable gold rows."""
+    """Weighted postings of the usable gold rows.
+
+    The token counts are written to the shared folder once; document counts,
+    weights and every retrieval read them from there.
+    """
 
     def __init__(self, examples: DataFrame, scale: str = "ratio"):
         self.examples = examples
-        counts = token_counts(examples, EXAMPLE)
+        counts = through_table(token_counts(examples, EXAMPLE), "token-counts")
         self.idf = inverse_frequency(counts, examples.count(), scale)
         self.postings = weighted(counts, self.idf, EXAMPLE)
 
