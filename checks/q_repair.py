@@ -330,12 +330,12 @@ def _(spark, sf):
     return structure_corpus(ov.given(spark, sf), V).select(*OUT)
 
 
-@query("semantic_remap", ov.with_given(f""", r AS (SELECT DISTINCT CASE WHEN (doc_id + para_id) % 3 = 0 THEN regexp_replace(upper(left(text, 4)), '[^A-Z]', '-', 'g') ELSE tag END AS raw FROM g
+@query("semantic_remap", ov.with_given(f""", r AS (SELECT DISTINCT CASE WHEN (doc_id + para_id) % 3 = 0 THEN upper(regexp_replace(left(text, 4), '[^A-Za-z]', '-', 'g')) ELSE tag END AS raw FROM g
   UNION SELECT k FROM {sb.values([(k,) for k in fixed.FALLBACK_CHAINS], 'k')}),{sb.normalize_steps('r', 'raw', 'norm')},
 un AS (SELECT * FROM nz9 WHERE norm NOT IN {sb.VOCAB_SQL}), near AS {sb.nearest_table('un', 'norm', 'close', False)}
 SELECT raw, CASE WHEN norm IN {sb.VOCAB_SQL} THEN norm ELSE coalesce({sb.chain_case('norm')}, {sb.family_pick('norm')}, near.close, 'TXT') END AS tag FROM nz9 LEFT JOIN near ON near.tag = nz9.norm"""))
 def _(spark, sf):
-    seen = ov.given(spark, sf).select(F.expr("CASE WHEN (doc_id + para_id) % 3 = 0 THEN regexp_replace(upper(left(text, 4)), '[^A-Z]', '-') ELSE tag END").alias("raw"))
+    seen = ov.given(spark, sf).select(F.expr("CASE WHEN (doc_id + para_id) % 3 = 0 THEN upper(regexp_replace(left(text, 4), '[^A-Za-z]', '-')) ELSE tag END").alias("raw"))
     chains = spark.createDataFrame([(k,) for k in fixed.FALLBACK_CHAINS], "raw string")
     tags = seen.unionByName(chains).distinct().withColumn("norm", st.normalize_style(F.col("raw")))
     return tags.select("raw", st.ensure_allowed(F.col("norm"), V).alias("tag"))

@@ -142,7 +142,7 @@ FAMILY_SQL = """CASE WHEN norm = '' THEN 'TXT' WHEN starts_with(norm, 'H') AND r
   WHEN contains(norm, 'BL') OR contains(upper(norm), 'BULLET') THEN 'BL-MID' WHEN contains(norm, 'NL') OR contains(upper(norm), 'NUMBER') THEN 'NL-MID'
   WHEN contains(norm, 'REF') THEN 'REF-U' WHEN contains(norm, 'FIG') THEN 'FIG-LEG' WHEN starts_with(norm, 'T') AND regexp_matches(norm, '[0-9]') THEN 'T' ELSE 'TXT' END"""
 # Tags as replies spell them, with free text mixed in.
-WILD_TAG = f"CASE WHEN (doc_id + para_id) % 7 = 3 THEN regexp_replace(upper(left(text, 5)), '[^A-Z]', '-') ELSE {RAW_TAG} END"
+WILD_TAG = f"CASE WHEN (doc_id + para_id) % 7 = 3 THEN upper(regexp_replace(left(text, 5), '[^A-Za-z]', '-')) ELSE {RAW_TAG} END"
 query("normalize_tag", ov.with_given(f""", r AS (SELECT DISTINCT {WILD_TAG.replace("'-')", "'-', 'g')")} AS raw FROM g),{sb.normalize_steps('r', 'raw', 'norm')},
 x AS (SELECT raw, norm FROM nz9), un AS (SELECT * FROM x WHERE norm NOT IN {sb.VOCAB_SQL}),
 near AS {sb.nearest_table('un', 'norm', 'style', True)}

@@ -16,14 +16,19 @@ JOBS = f"""jobs AS (SELECT event_id AS job_id, user_id AS batch_id, {STATUS} AS
 RIN, ROUT = fixed.MODEL_RATES[fixed.DEFAULT_MODEL]
 
 
-def money(i: str = "input_tokens", o: str = "output_tokens") -> str:
-    a, b = f"({i} / 1000000 * {RIN}::DOUBLE)", f"({o} / 1000000 * {ROUT}::DOUBLE)"
+def money(i: str = "input_tokens", o: str = "output_tokens", ri: str = str(RIN), ro: str = str(ROUT)) -> str:
+    a, b = f"{i}::DECIMAL(20,0) * {ri}::DECIMAL(9,4)", f"{o}::DECIMAL(20,0) * {ro}::DECIMAL(9,4)"
+
     def r(x):
-        return f"round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(30, 20)), 6)::DOUBLE"
+        return f"round({x}, 0)::DOUBLE / 1000000"
 
     return f"{r(a)} AS input_cost, {r(b)} AS output_cost, {r(f'{a} + {b}')} AS total_cost"
 
 
+def share(amount: str, parts: str) -> str:
+    return f"(2 * CAST(round({amount} * 1000000) AS BIGINT) + {parts}) // (2 * {parts}) / 1000000"
+
+
 def jobs(spark, sf):
     return table(spark, sf, "events").select(
         F.col("event_id").alias("job_id"), F.col("user_id").alias("batch_id"), F.expr(STATUS).alias("status"),
@@ -39,8 +44,7 @@ query("search_filter", f"WITH {JOBS} SELECT job_id, name, status FROM jobs WHERE
 RATES = sb.values([(m, *r) for m, r in fixed.MODEL_RATES.items()], "m, ri, ro")
 query("token_cost", f"""WITH {JOBS}, p AS (SELECT m, ri::DOUBLE AS ri, ro::DOUBLE AS ro FROM {RATES}),
 j AS (SELECT jobs.*, coalesce(ri, {RIN}::DOUBLE) AS ri, coalesce(ro, {ROUT}::DOUBLE) AS ro FROM jobs LEFT JOIN p ON p.m = jobs.model)
-SELECT job_id, model, round(CAST(CAST(input_tokens / 1000000 * ri AS VARCHAR) AS DECIMAL(30, 20)), 6)::DOUBLE AS input_cost, round(CAST(CAST(output_tokens / 1000000 * ro AS VARCHAR) AS DECIMAL(30, 20)), 6)::DOUBLE AS output_cost,
-  round(CAST(CAST(input_tokens / 1000000 * ri + output_tokens / 1000000 * ro AS VARCHAR) AS DECIMAL(30, 20)), 6)::DOUBLE AS total_cost FROM j""")(
+SELECT job_id, model, {money(ri='ri', ro='ro')} FROM j""")(
     lambda spark, sf: usage.with_cost(jobs(spark, sf), "model").select("job_id", "model", "input_cost", "output_cost", "total_cost"))
 
 query("queue_status", f"WITH {JOBS} SELECT count_if(status = 'pending') AS pending, count_if(status = 'processing') AS processing, count_if(status = 'completed') AS completed, count_if(status = 'failed') AS failed, count_if(status <> 'cancelled') AS total FROM jobs")(
@@ -50,9 +54,9 @@ TODAY = "2024-01-20"
 query("token_stats", f"""WITH {JOBS}, t AS (SELECT sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, sum(total_tokens)::BIGINT AS total_tokens, count(*) AS total_jobs,
   coalesce(sum(input_tokens) FILTER (WHERE d), 0)::BIGINT AS today_input_tokens, coalesce(sum(output_tokens) FILTER (WHERE d), 0)::BIGINT AS today_output_tokens, coalesce(sum(total_tokens) FILTER (WHERE d), 0)::BIGINT AS today_total_tokens
   FROM (SELECT *, CAST(completed_at + INTERVAL 330 MINUTE AS DATE) = DATE '{TODAY}' AS d FROM jobs WHERE status = 'completed')),
-c AS (SELECT *, round(input_tokens / 1000000 * {RIN}::DOUBLE + output_tokens / 1000000 * {ROUT}::DOUBLE, 6) AS total_cost,
-  round(today_input_tokens / 1000000 * {RIN}::DOUBLE + today_output_tokens / 1000000 * {ROUT}::DOUBLE, 6) AS today_cost FROM t)
-SELECT *, round_even(total_tokens / total_jobs, 0) AS tokens_per_job, round(total_cost / total_jobs, 6) AS cost_per_job FROM c""")(
+c AS (SELECT *, round(input_tokens::DECIMAL(20,0) * {RIN}::DECIMAL(9,4) + output_tokens::DECIMAL(20,0) * {ROUT}::DECIMAL(9,4), 0)::DOUBLE / 1000000 AS total_cost,
+  round(today_input_tokens::DECIMAL(20,0) * {RIN}::DECIMAL(9,4) + today_output_tokens::DECIMAL(20,0) * {ROUT}::DECIMAL(9,4), 0)::DOUBLE / 1000000 AS today_cost FROM t)
+SELECT *, round_even(total_tokens / total_jobs, 0) AS tokens_per_job, {share('total_cost', 'total_jobs')} AS cost_per_job FROM c""")(
     lambda spark, sf: usage.token_stats(jobs(spark, sf), TODAY))
 
 DAILY = f"""{JOBS}, cal AS (SELECT CAST(DATE '2024-01-25' - CAST(i AS INT) AS DATE) AS day FROM range(30) r(i)),
@@ -87,7 +91,7 @@ def batches(spark, sf):
 query("batch_rollup", f"WITH {BATCHES} SELECT * REPLACE (CAST(completed_at AS VARCHAR)[1:19] AS completed_at) FROM b")(
     lambda spark, sf: batches(spark, sf).withColumn("completed_at", F.date_format("completed_at", "yyyy-MM-dd HH:mm:ss")))
 query("unit_economics", f"""WITH {BATCHES} SELECT batch_id, CASE WHEN completed_jobs > 0 THEN round(total_processing_time / completed_jobs, 6) ELSE 0 END AS time_per_doc,
-  CASE WHEN completed_jobs > 0 THEN round(total_cost / completed_jobs, 6) ELSE 0 END AS cost_per_doc, CASE WHEN completed_jobs > 0 THEN round(total_tokens / completed_jobs, 6) ELSE 0 END AS tokens_per_doc,
+  CASE WHEN completed_jobs > 0 THEN {share('total_cost', 'completed_jobs')} ELSE 0 END AS cost_per_doc, CASE WHEN completed_jobs > 0 THEN round(total_tokens / completed_jobs, 6) ELSE 0 END AS tokens_per_doc,
   round(100.0::DOUBLE * completed_jobs / total_jobs, 6) AS success_rate FROM b WHERE status = 'completed' OR completed_jobs > 0""")(
     lambda spark, sf: usage.unit_economics(batches(spark, sf)))
 query("status_distribution", f"WITH {BATCHES} SELECT status, count(*) AS n FROM b GROUP BY 1")(

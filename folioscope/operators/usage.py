@@ -15,18 +15,28 @@ def cost(input_tokens: Column, output_tokens: Column, model: Column | None = Non
     Unknown models are charged at the default model's rates.
     """
     rates = rates or fixed.MODEL_RATES
+
+    def rate(value: float) -> Column:
+        return F.lit(str(value)).cast("decimal(9,4)")
+
     default_in, default_out = rates[fixed.DEFAULT_MODEL]
-    per_in, per_out = F.lit(default_in), F.lit(default_out)
+    per_in, per_out = rate(default_in), rate(default_out)
     if model is not None:
         for name, (rate_in, rate_out) in rates.items():
-            per_in = F.when(model == name, F.lit(rate_in)).otherwise(per_in)
-            per_out = F.when(model == name, F.lit(rate_out)).otherwise(per_out)
-    paid_in = input_tokens / F.lit(1_000_000) * per_in
-    paid_out = output_tokens / F.lit(1_000_000) * per_out
+            per_in = F.when(model == name, rate(rate_in)).otherwise(per_in)
+            per_out = F.when(model == name, rate(rate_out)).otherwise(per_out)
+    # Tokens times dollars per million is millionths of a dollar; decimals make
+    # the rounding exact and the same everywhere.
+    micro_in = input_tokens.cast("decimal(20,0)") * per_in
+    micro_out = output_tokens.cast("decimal(20,0)") * per_out
+
+    def dollars(micro: Column) -> Column:
+        return F.round(micro, 0).cast("double") / F.lit(1_000_000)
+
     return {
-        "input_cost": F.round(paid_in, 6),
-        "output_cost": F.round(paid_out, 6),
-        "total_cost": F.round(paid_in + paid_out, 6),
+        "input_cost": dollars(micro_in),
+        "output_cost": dollars(micro_out),
+        "total_cost": dollars(micro_in + micro_out),
     }
 
 
@@ -72,7 +82,7 @@ def token_stats(jobs: DataFrame, today: str, timezone: str = "Asia/Kolkata") ->
             "today_cost": day_cost,
             "tokens_per_job": F.when(some, F.bround(F.col("total_tokens") / F.col("total_jobs")))
             .otherwise(0.0),
-            "cost_per_job": F.when(some, F.round(all_cost / F.col("total_jobs"), 6)).otherwise(0.0),
+            "cost_per_job": _share(all_cost, F.col("total_jobs")),
         }
     )
 
@@ -161,6 +171,14 @@ def batch_rollup(jobs: DataFrame) -> DataFrame:
     )
 
 
+def _share(amount: Column, parts: Column) -> Column:
+    """Dollars per part, rounded half up in whole millionths."""
+    micro = F.round(amount * 1_000_000).cast("bigint")
+    return F.when(
+        parts > 0, F.floor((2 * micro + parts) / (2 * parts)) / F.lit(1_000_000)
+    ).otherwise(0.0)
+
+
 def unit_economics(batches: DataFrame) -> DataFrame:
     """Time, cost and tokens per finished document; success rate."""
     done = F.col("completed_jobs")
@@ -171,7 +189,7 @@ def unit_economics(batches: DataFrame) -> DataFrame:
     return batches.where((F.col("status") == "completed") | (done > 0)).select(
         "batch_id",
         per_doc("total_processing_time").alias("time_per_doc"),
-        per_doc("total_cost").alias("cost_per_doc"),
+        _share(F.col("total_cost"), done).alias("cost_per_doc"),
         per_doc("total_tokens").alias("tokens_per_doc"),
         F.round(100.0 * done / F.col("total_jobs"), 6).alias("success_rate"),
     )
