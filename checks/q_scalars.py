@@ -14,10 +14,14 @@ from folioscope.operators.quality import alternatives, confidence_band, flagged_
 from folioscope.operators.rules import with_features
 
 KEY = ["doc_id", "para_id"]
-T = F.col("text")
 L = sb.low("text")
 
 
+def TEXT():
+    """Made when a query runs: importing must not need a session."""
+    return F.col("text")
+
+
 def rows(name, sql_columns: str, build):
     """Register a projection of the overlay: key columns plus ``build``."""
     query(name, ov.with_overlay(f"SELECT doc_id, para_id, {sql_columns} FROM o"))(
@@ -29,33 +33,33 @@ rows("zone_flags",
      f"""{sb.any_has(L, fixed.METADATA_PATTERNS)} AS metadata, {sb.any_has(L, fixed.FRONT_MATTER_PATTERNS)} AS front_matter,
      {sb.any_has(L, fixed.CHAPTER_OPENER_PATTERNS)} AS opener, {sb.any_has(L, fixed.BODY_START_PATTERNS)} AS body_start,
      {sb.any_has(L, fixed.BACK_MATTER_PATTERNS)} AS back_matter""",
-     lambda: [pt.has_metadata(T).alias("metadata"), pt.has_front_matter(T).alias("front_matter"),
-              pt.is_chapter_opener(T).alias("opener"), pt.is_body_start(T).alias("body_start"),
-              pt.is_back_matter(T).alias("back_matter")])
+     lambda: [pt.has_metadata(TEXT()).alias("metadata"), pt.has_front_matter(TEXT()).alias("front_matter"),
+              pt.is_chapter_opener(TEXT()).alias("opener"), pt.is_body_start(TEXT()).alias("body_start"),
+              pt.is_back_matter(TEXT()).alias("back_matter")])
 rows("box_markers",
      f"CASE WHEN {sb.box_start('text')} THEN 'start' WHEN {sb.box_end('text')} THEN 'end' END AS box_marker",
-     lambda: [pt.box_marker(T).alias("box_marker")])
+     lambda: [pt.box_marker(TEXT()).alias("box_marker")])
 rows("box_type",
      f"{sb.box_type('text')} AS box_type, {sb.box_zone(sb.box_type('text'))} AS box_zone",
-     lambda: [pt.box_type(T).alias("box_type"), pt.box_zone(pt.box_type(T)).alias("box_zone")])
-rows("caption_type", f"{sb.caption('text')} AS caption_type", lambda: [pt.caption_type(T).alias("caption_type")])
+     lambda: [pt.box_type(TEXT()).alias("box_type"), pt.box_zone(pt.box_type(TEXT())).alias("box_zone")])
+rows("caption_type", f"{sb.caption('text')} AS caption_type", lambda: [pt.caption_type(TEXT()).alias("caption_type")])
 rows("source_line", f"{sb.any_has(L, fixed.SOURCE_LINE_PATTERNS)} AS source_line",
-     lambda: [pt.is_source_line(T).alias("source_line")])
+     lambda: [pt.is_source_line(TEXT()).alias("source_line")])
 NAMED = "CASE (doc_id + para_id) % 29 WHEN 0 THEN 'Red Flag' WHEN 1 THEN 'note' WHEN 2 THEN 'Box ' || para_id || ' ' || text WHEN 3 THEN '<BT>' || text ELSE text END"
 query("box_label_title", ov.with_overlay(f""", m AS (SELECT doc_id, para_id, {NAMED} AS text FROM o)
 SELECT doc_id, para_id, CASE WHEN {L} IN {sb.in_list(fixed.BOX_PREFIXES)} THEN {L} END AS box_label,
   {sb.any_has(L, fixed.BOX_TITLE_PATTERNS)} AS box_title FROM m"""))(
     lambda spark, sf: ov.overlay(spark, sf).select(*KEY, F.expr(NAMED).alias("text")).select(
-        *KEY, pt.box_label(T).alias("box_label"), pt.is_box_title(T).alias("box_title")))
+        *KEY, pt.box_label(TEXT()).alias("box_label"), pt.is_box_title(TEXT()).alias("box_title")))
 rows("list_flags",
      f"""{sb.has(sb.strip('text'), fixed.BULLET_PATTERN)} AS has_bullet, {sb.has(sb.strip('text'), fixed.NUMBERING_PATTERN)} AS has_numbering,
      CAST(floor(para_id % 7 * 0.3::DOUBLE / 0.25) AS BIGINT) AS indent_level""",
-     lambda: [pt.has_bullet(T).alias("has_bullet"), pt.has_numbering(T).alias("has_numbering"),
+     lambda: [pt.has_bullet(TEXT()).alias("has_bullet"), pt.has_numbering(TEXT()).alias("has_numbering"),
               pt.indent_level(F.col("para_id") % 7 * 0.3).alias("indent_level")])
 rows("list_kind",
      f"""CASE WHEN {sb.has(sb.strip('text'), fixed.BULLET_PATTERN)} THEN 'bullet' WHEN {sb.has(sb.strip('text'), fixed.NUMBERING_PATTERN)} THEN 'numbered'
      WHEN para_id % 9 = 0 THEN 'unordered' WHEN {sb.has(sb.strip('text'), fixed.LETTERED_ITEM_PATTERN)} THEN 'unordered' END AS list_kind""",
-     lambda: [pt.list_kind(pt.has_bullet(T), pt.has_numbering(T), F.col("para_id") % 9 == 0, T).alias("list_kind")])
+     lambda: [pt.list_kind(pt.has_bullet(TEXT()), pt.has_numbering(TEXT()), F.col("para_id") % 9 == 0, TEXT()).alias("list_kind")])
 
 CELL = "CASE para_id % 9 WHEN 0 THEN 'TableBody' WHEN 1 THEN 'tableheader' WHEN 2 THEN 'My Bullet' WHEN 3 THEN 'TFN' WHEN 4 THEN 'UNT-x' ELSE NULL END"
 query("infer_table_style", ov.with_overlay(f""", c AS (SELECT doc_id, para_id, text, upper({CELL}) AS s, (para_id - 1) // 4 = 0 AS h, (para_id - 1) % 4 = 0 AS f FROM o)
@@ -64,17 +68,17 @@ SELECT doc_id, para_id, CASE WHEN s IN ('T', 'TABLEBODY', 'GT') THEN CASE WHEN f
   WHEN s IN ('TFN', 'TABLEFOOTNOTE') THEN 'TFN' WHEN starts_with(s, 'UNT') THEN CASE WHEN h THEN 'T2' WHEN f THEN 'T4' ELSE 'T' END
   WHEN h THEN 'T2' WHEN f THEN 'T4' WHEN left(text, 1) IN ('•', '-', '●', '○', chr(9)) THEN 'TBL-MID' ELSE 'T' END AS inferred_style FROM c"""))(
     lambda spark, sf: ov.overlay(spark, sf).select(
-        *KEY, pt.infer_cell_style(F.expr(CELL), T, F.col("para_id") <= 4, (F.col("para_id") - 1) % 4 == 0).alias("inferred_style")))
+        *KEY, pt.infer_cell_style(F.expr(CELL), TEXT(), F.col("para_id") <= 4, (F.col("para_id") - 1) % 4 == 0).alias("inferred_style")))
 
-rows("ref_entry", f"{sb.ref_entry('text')} AS ref_entry", lambda: [pt.is_reference_entry(T).alias("ref_entry")])
+rows("ref_entry", f"{sb.ref_entry('text')} AS ref_entry", lambda: [pt.is_reference_entry(TEXT()).alias("ref_entry")])
 rows("citation_flags", f"{sb.citation('text', True)} AS strict, {sb.citation('text', False)} AS relaxed",
-     lambda: [pt.is_citation(T).alias("strict"), pt.is_citation(T, strict=False).alias("relaxed")])
-rows("ref_feature_any", f"{sb.feature_any('text')} AS ref_feature", lambda: [pt.has_reference_feature(T).alias("ref_feature")])
+     lambda: [pt.is_citation(TEXT()).alias("strict"), pt.is_citation(TEXT(), strict=False).alias("relaxed")])
+rows("ref_feature_any", f"{sb.feature_any('text')} AS ref_feature", lambda: [pt.has_reference_feature(TEXT()).alias("ref_feature")])
 rows("numbered_not_ref", f"{sb.numbered_not_ref('text')} AS numbered_not_ref",
-     lambda: [pt.is_numbered_not_reference(T).alias("numbered_not_ref")])
+     lambda: [pt.is_numbered_not_reference(TEXT()).alias("numbered_not_ref")])
 rows("ref_headings", f"{sb.ref_heading('text')} AS primary_heading, {sb.secondary_heading('text')} AS secondary_heading",
-     lambda: [pt.is_reference_heading(T).alias("primary_heading"), pt.is_secondary_reference_heading(T).alias("secondary_heading")])
-rows("zone_exit", f"{sb.zone_exit('text')} AS zone_exit", lambda: [pt.is_zone_exit(T).alias("zone_exit")])
+     lambda: [pt.is_reference_heading(TEXT()).alias("primary_heading"), pt.is_secondary_reference_heading(TEXT()).alias("secondary_heading")])
+rows("zone_exit", f"{sb.zone_exit('text')} AS zone_exit", lambda: [pt.is_zone_exit(TEXT()).alias("zone_exit")])
 query("t4_heading", ov.with_overlay(f""", c AS (SELECT doc_id, para_id, {sb.strip('substr(text, 1, 20 + para_id % 60)')} AS t FROM o),
 w AS (SELECT *, list_filter(string_split_regex(t, '[[:space:]]+'), lambda x: x <> '') AS ws FROM c),
 k AS (SELECT *, len(ws) AS nw, len(list_filter(ws, lambda x: {sb.has("regexp_replace(x, '[^A-Za-z0-9]', '', 'g')", '^[A-Z]')})) AS tw FROM w)
@@ -83,7 +87,7 @@ SELECT doc_id, para_id, (t <> '' AND length(t) <= 60 AND NOT {sb.has('t', '[.!?;
     lambda spark, sf: ov.overlay(spark, sf).select(
         *KEY, pt.is_t4_heading(F.expr("substr(text, 1, 20 + para_id % 60)")).alias("t4_heading")))
 rows("inline_heading", "CASE WHEN regexp_matches(text, '(?i)^\\s*<H[1-6]>[\\p{L}\\p{N}_]') THEN 'H' || regexp_extract(text, '<[hH]([1-6])>', 1) END AS inline_heading",
-     lambda: [pt.inline_heading(T).alias("inline_heading")])
+     lambda: [pt.inline_heading(TEXT()).alias("inline_heading")])
 
 W_SQL = "list_filter(string_split_regex(t, '[\\s\\x{00A0}]+'), lambda x: x <> '')"
 query("rule_features", ov.with_overlay(f""", f AS (SELECT doc_id, para_id, text, {sb.strip('text')} AS t, CASE para_id % 5 WHEN 0 THEN 'TABLE' WHEN 1 THEN 'BOX_NBX' WHEN 2 THEN 'BACK_MATTER' ELSE 'BODY' END AS zone FROM o),
@@ -108,11 +112,11 @@ SELECT doc_id, para_id, length(text) AS length, len(ws) AS word_count, t = '' AS
 rows("text_normalize",
      f"""{sb.matching('text')} AS matching, lower({sb.collapse('text')}) AS comparison, {sb.collapse('text')} AS style,
      regexp_replace(lower(text), '[^a-z0-9]+', '', 'g') AS stem""",
-     lambda: [tx.matching_text(T).alias("matching"), tx.comparison_text(T).alias("comparison"),
-              tx.style_text(T).alias("style"), tx.stem_key(T).alias("stem")])
+     lambda: [tx.matching_text(TEXT()).alias("matching"), tx.comparison_text(TEXT()).alias("comparison"),
+              tx.style_text(TEXT()).alias("style"), tx.stem_key(TEXT()).alias("stem")])
 query("tokenize", ov.with_overlay(f""", t AS (SELECT doc_id, para_id, regexp_extract_all({sb.matching('text')}, {sb.lit(fixed.TOKEN_PATTERN)}) AS ts FROM o)
 SELECT doc_id, para_id, len(ts) AS n_tokens, array_to_string(ts, ' ') AS tokens FROM t"""))(
-    lambda spark, sf: ov.overlay(spark, sf).select(*KEY, tx.tokens(tx.matching_text(T)).alias("ts")).select(
+    lambda spark, sf: ov.overlay(spark, sf).select(*KEY, tx.tokens(tx.matching_text(TEXT())).alias("ts")).select(
         *KEY, F.size("ts").alias("n_tokens"), F.array_join("ts", " ").alias("tokens")))
 
 query("string_similarity", ov.with_overlay("""
@@ -185,8 +189,8 @@ query("content_hash", ov.with_overlay("SELECT doc_id, sha256(string_agg(text, ''
     lambda spark, sf: cache.content_hash(ov.overlay(spark, sf)))
 query("cache_key", ov.with_overlay(f"SELECT doc_id, para_id, left(sha256(doc_id || ':' || para_id || ':' || {sb.matching('text')} || ':' || 'BODY'), 16) AS cache_key FROM o"))(
     lambda spark, sf: ov.overlay(spark, sf).select(
-        *KEY, cache.cache_key(F.col("doc_id"), F.col("para_id"), T, F.lit("BODY")).alias("cache_key")))
+        *KEY, cache.cache_key(F.col("doc_id"), F.col("para_id"), TEXT(), F.lit("BODY")).alias("cache_key")))
 
 query("apply_markers", ov.with_given("SELECT doc_id, para_id, CASE WHEN starts_with(ltrim(text), '<') THEN text ELSE '<' || tag || '> ' || text END AS marked FROM g"))(
     lambda spark, sf: ov.given(spark, sf).select(
-        *KEY, review.marked_text(T, F.col("tag")).alias("marked")))
+        *KEY, review.marked_text(TEXT(), F.col("tag")).alias("marked")))
