@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import exact, mixing, quality, simhash
+from folioscope.llm import exact, mixing, packing, quality, records, simhash
 from folioscope.llm.common import table
 
 
@@ -29,7 +29,15 @@ def op9_simhash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_quality_vote, op7_source_mix, op9_simhash_ring)}
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.stored_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_quality_vote, op7_source_mix, op8_best_fit_packing, op9_simhash_ring, op10_binary_records)}
 
 ORACLES = {
     "op2_exact_dedup": r"""
