@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import exact, lm, mixing, packing, quality, records, simhash
+from folioscope.llm import exact, lm, mixing, packing, quality, records, simhash, toxicity
 from folioscope.llm.common import table
 
 
@@ -23,6 +23,11 @@ def op4_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = toxicity.labelled(table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), labels, toxicity.CHAIN)
+
+
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -41,7 +46,7 @@ def op10_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.stored_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_quality_vote, op4_interpolated_lm, op7_source_mix, op8_best_fit_packing, op9_simhash_ring, op10_binary_records)}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_quality_vote, op4_interpolated_lm, op6_toxicity_chain, op7_source_mix, op8_best_fit_packing, op9_simhash_ring, op10_binary_records)}
 
 ORACLES = {
     "op2_exact_dedup": r"""
