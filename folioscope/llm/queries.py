@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import exact, lm, mixing, packing, quality, records, simhash, toxicity
+from folioscope.llm import exact, html, lm, mixing, packing, quality, records, simhash, toxicity, urls
 from folioscope.llm.common import table
 
 
+def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    return urls.judge_urls(pages, urls.labelled_urls(pages, labels)).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -23,6 +28,10 @@ def op4_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = toxicity.labelled(table(spark, sf_dir, "labels"))
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), labels, toxicity.CHAIN)
@@ -46,7 +55,13 @@ def op10_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.stored_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_quality_vote, op4_interpolated_lm, op6_toxicity_chain, op7_source_mix, op8_best_fit_packing, op9_simhash_ring, op10_binary_records)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_rules, op2_exact_dedup, op3_quality_vote, op4_interpolated_lm, op5_main_text, op6_toxicity_chain,
+        op7_source_mix, op8_best_fit_packing, op9_simhash_ring, op10_binary_records,
+    )
+}
 
 ORACLES = {
     "op2_exact_dedup": r"""
