@@ -1,7 +1,7 @@
 """Interpolated n-gram scoring: deleted interpolation by context frequency.
 
 Words are 64-bit hashes and a pair of words is a hash of both.  Texts are kept
-as chunks of a few million tokens, each a row of packed arrays.  A chunk asks
+as chunks of about a million tokens, each a row of packed arrays.  A chunk asks
 the owners of key ranges for the corpus counts of its distinct words and pairs
 and gets them back in the order asked, so no row per token is ever shuffled
 and no table that grows with the corpus is broadcast or collected.
@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,15 +24,15 @@ from folioscope.llm.tokens import utf8
 from folioscope.session import through_table
 
 #: Tokens of a chunk (a longer text is a chunk of its own), and of an owner.
-CHUNK = 2_000_000
-OWNER = 8_000_000
+CHUNK = 1_000_000
+OWNER = 2_000_000
 #: Context frequencies are grouped by their power of two, up to this one.
 BUCKETS = 24
 #: Part of the training documents whose counts fit the weights.
 FIT, TRAIN, HELD = 1, 0, 2
 _END, _START = b"\x00end", b"\x00start"
 
-_CHUNK = "chunk long, fold int, docs binary, lengths binary, vocabulary binary, tokens binary"
+_CHUNK = "chunk long, fold int, docs binary, lengths binary, vocabulary binary, tokens binary, n_tokens long"
 _ASK = "chunk long, level int, owner long, keys binary, train binary, fit binary"
 
 
@@ -42,6 +43,17 @@ def _hash(word: bytes) -> int:
 END, START = _hash(_END), _hash(_START)
 
 
+def squeeze(values: np.ndarray) -> bytes:
+    """An array as compressed byte planes: high bytes that are all zero vanish."""
+    planes = values.view(np.uint8).reshape(len(values), values.itemsize).T
+    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
+
+
+def expand(raw: bytes, dtype: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
+
+
 def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     """One 64-bit key for each pair of hashes (multiply and xor-shift mixing)."""
     with np.errstate(over="ignore"):
@@ -84,9 +96,10 @@ def _chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Record
                     (task << 32) + made,
                     fold,
                     _ids(docs),
-                    np.array(lengths, "<i8").tobytes(),
+                    squeeze(np.array(lengths, "<i8")),
                     vocabulary.tobytes(),
-                    np.concatenate(tokens).tobytes(),
+                    squeeze(np.concatenate(tokens)),
+                    sum(lengths),
                 )
             ],
         )
@@ -121,8 +134,8 @@ def _from_ids(raw: bytes) -> list:
 
 def _open(lengths: bytes, vocabulary: bytes, tokens: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Document ends, word numbers, and hashes of each token and its context."""
-    ends = np.cumsum(np.frombuffer(lengths, "<i8"))
-    numbers = np.frombuffer(tokens, np.uint32)
+    ends = np.cumsum(expand(lengths, "<i8"))
+    numbers = expand(tokens, "<u4")
     word = np.frombuffer(vocabulary, np.uint64)[numbers]
     before = np.empty_like(word)
     before[1:] = word[:-1]
@@ -138,12 +151,13 @@ def _ask(owners: int):
         owner = (keys >> np.uint64(32)) * np.uint64(owners) >> np.uint64(32)
         cuts = np.flatnonzero(np.diff(owner)) + 1
         for k, c, o in zip(np.split(keys, cuts), np.split(counts, cuts), owner[np.concatenate([[0], cuts])]):
-            packed, none = c.astype("<u4").tobytes(), b""
-            yield chunk, level, int(o), k.tobytes(), packed if fold == TRAIN else none, packed if fold == FIT else none
+            packed, none = squeeze(c.astype("<u4")), b""
+            steps = squeeze(np.diff(k, prepend=np.uint64(0)))  # keys rise, so steps are short
+            yield chunk, level, int(o), steps, packed if fold == TRAIN else none, packed if fold == FIT else none
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, fold, _, lengths, vocabulary, tokens in zip(*[c.to_pylist() for c in batch.columns]):
+            for chunk, fold, _, lengths, vocabulary, tokens, _ in zip(*[c.to_pylist() for c in batch.columns]):
                 ends, numbers, word, before = _open(lengths, vocabulary, tokens)
                 hashes = np.frombuffer(vocabulary, np.uint64)
                 order = np.argsort(hashes)
@@ -167,13 +181,15 @@ def _tell(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     They stand on the rows of the first chunk only.
     """
     level, owner = key[0].as_py(), key[1].as_py()
-    asked = [np.frombuffer(k.as_buffer(), np.uint64) for k in table.column("keys")]
+    asked = [np.cumsum(expand(k.as_buffer(), "<u8"), dtype=np.uint64) for k in table.column("keys")]
+    sizes = [len(k) for k in asked]
     distinct, place = np.unique(np.concatenate(asked), return_inverse=True)
+    del asked
     totals = {}
     for name in ("train", "fit"):
         counts = [
-            np.frombuffer(c.as_buffer(), "<u4") if len(c.as_buffer()) else np.zeros(len(k), "<u4")
-            for c, k in zip(table.column(name), asked)
+            expand(c.as_buffer(), "<u4") if len(c.as_buffer()) else np.zeros(n, "<u4")
+            for c, n in zip(table.column(name), sizes)
         ]
         totals[name] = np.bincount(place, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.int64)
     real = distinct != np.uint64(START) if level == 1 else np.ones(len(distinct), bool)
@@ -183,10 +199,10 @@ def _tell(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         int((totals["train"][real] > 0).sum()),
         int((totals["train"][real] + totals["fit"][real] > 0).sum()),
     )
-    cuts = np.cumsum([len(k) for k in asked])[:-1]
+    cuts = np.cumsum(sizes)[:-1]
     rows = []
     for n, (chunk, at) in enumerate(zip(table.column("chunk").to_pylist(), np.split(place, cuts))):
-        said = [np.minimum(totals[name][at], 0xFFFFFFFF).astype("<u4").tobytes() for name in ("train", "fit")]
+        said = [squeeze(totals[name][at].astype("<u8")) for name in ("train", "fit")]
         rows.append((chunk, level, owner, *said, *(sums if n == 0 else (0, 0, 0, 0))))
     return pa.Table.from_batches([_frame(_TOLD, rows)])
 
@@ -199,7 +215,7 @@ def _counts(left: pa.Table, told: pa.Table):
     answers = sorted(zip(*[told.column(n).to_pylist() for n in ("level", "owner", "train", "fit")]), key=lambda x: x[:2])
     for level in (1, 2):
         for fold, k in (("train", 2), ("fit", 3)):
-            said[level, fold] = np.frombuffer(b"".join(x[k] for x in answers if x[0] == level), "<u4").astype(np.int64)
+            said[level, fold] = np.concatenate([expand(x[k], "<i8") for x in answers if x[0] == level])
     keys = np.sort(np.append(np.frombuffer(row["vocabulary"], np.uint64), np.uint64(START)))
     own, context = np.searchsorted(keys, word), np.searchsorted(keys, before)
     pair = np.unique(pair_keys(before, word), return_inverse=True)[1]
@@ -306,8 +322,8 @@ def score_documents(docs: DataFrame, chunk_tokens: int = CHUNK, rounds: int = 12
     part = F.when(fold == 0, HELD).when(fold == 1, FIT).otherwise(TRAIN)
     rows = docs.select(F.col("doc_id").cast("long"), part.alias("fold"), "text")
     chunks = through_table(rows.mapInArrow(_cut_chunks(chunk_tokens), _CHUNK), "lm-chunks")
-    tokens = chunks.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
-    owners = max(1, math.ceil(tokens / 4 / OWNER))
+    tokens = chunks.agg(F.sum("n_tokens")).first()[0] or 0
+    owners = max(1, math.ceil(tokens / OWNER))
     asked = chunks.mapInArrow(_ask(owners), _ASK)
     told = through_table(asked.groupBy("level", "owner").applyInArrow(_tell, _TOLD), "lm-counts")
     sums = told.where("level = 1").agg(*[F.sum(c).alias(c) for c in ("n_train", "n_fit", "v_train", "v_all")]).first()
