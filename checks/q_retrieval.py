@@ -33,7 +33,7 @@ def examples(spark, sf):
 
 
 def index(spark, sf):
-    return retrieval.ExampleIndex(examples(spark, sf))
+    return retrieval.ExampleIndex(examples(spark, sf), carry=("name", "zone"))
 
 
 query("tfidf_idf", f"WITH {EXAMPLES} SELECT token, df, round(idf, 6) AS idf FROM idf")(
@@ -48,15 +48,41 @@ u AS (SELECT e[1] AS doc_id, e[2] AS para_id, 0 AS part, gold_tag AS t, 0.0::DOU
 SELECT doc_id, para_id, rank FROM (SELECT *, row_number() OVER (ORDER BY part, t, alignment_score DESC, doc_id, para_id) AS rank FROM u) WHERE rank <= 8""")(
     lambda spark, sf: retrieval.diverse(examples(spark, sf), 8))
 
-NAMED = "SELECT item_id, 'src' || (item_id % 20) || '_q' AS qname, text FROM benchmark"
-query("retrieve_topk", f"""WITH {EXAMPLES}, bq AS ({NAMED}), {asked('bq', 'item_id')},
+query("retriever_top_tags", f"WITH {EXAMPLES} SELECT gold_tag, count(*) AS n FROM ex GROUP BY 1 ORDER BY n DESC, 1 LIMIT 20")(
+    lambda spark, sf: retrieval.top_tags(index(spark, sf)))
+
+DIVERSE = """f AS (SELECT gold_tag, min((doc_id, para_id)) AS e FROM ex GROUP BY 1 ORDER BY 1 LIMIT 8),
+r AS (SELECT doc_id, para_id, 1 AS part, '' AS t, alignment_score FROM ex WHERE (doc_id, para_id) NOT IN (SELECT e FROM f)),
+u AS (SELECT e[1] AS doc_id, e[2] AS para_id, 0 AS part, gold_tag AS t, 0.0::DOUBLE AS alignment_score FROM f UNION ALL SELECT * FROM r),
+dv AS (SELECT doc_id, para_id, rank FROM (SELECT *, row_number() OVER (ORDER BY part, t, alignment_score DESC, doc_id, para_id) AS rank FROM u) WHERE rank <= 8)"""
+
+
+def topk_sql(source: str, boost: str = "1", same: str = "true") -> str:
+    """Every query of ``source``: its best examples, or the diverse ones if no token is known."""
+    return f"""WITH {EXAMPLES}, {DIVERSE}, bq AS ({source}), {asked('bq', 'item_id')},
 pos AS (SELECT item_id, doc_id, para_id, sum(qv.w * vec.w) / (max(qv.norm) * max(vec.norm)) AS s FROM qv JOIN vec USING (token) GROUP BY ALL),
-every AS (SELECT q.item_id, ex.doc_id, ex.para_id, round(coalesce(s, 0) * CASE WHEN s IS NOT NULL AND starts_with(ex.name, split_part(q.qname, '_', 1)) THEN 1.2 ELSE 1 END, 9) AS score
-  FROM (SELECT * FROM bq WHERE item_id IN (SELECT item_id FROM qv)) q, ex LEFT JOIN pos ON pos.item_id = q.item_id AND pos.doc_id = ex.doc_id AND pos.para_id = ex.para_id)
-SELECT item_id, doc_id AS example_doc, para_id AS example_para, rank, round(score, 4) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id DESC, para_id DESC) AS rank FROM every) WHERE rank <= 8""")(
+every AS (SELECT q.item_id, ex.doc_id, ex.para_id, round(coalesce(s, 0) * {boost}, 9) AS score
+  FROM (SELECT * FROM bq WHERE item_id IN (SELECT item_id FROM qv)) q JOIN ex ON {same} LEFT JOIN pos ON pos.item_id = q.item_id AND pos.doc_id = ex.doc_id AND pos.para_id = ex.para_id)
+SELECT item_id, doc_id AS example_doc, para_id AS example_para, rank, round(score, 4) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id DESC, para_id DESC) AS rank FROM every) WHERE rank <= 8
+UNION ALL SELECT item_id, doc_id, para_id, rank, 0.0 FROM bq, dv WHERE item_id NOT IN (SELECT item_id FROM qv)"""
+
+
+NAMED = "SELECT item_id, 'src' || (item_id % 20) || '_q' AS qname, text FROM benchmark"
+BOOST = "CASE WHEN s IS NOT NULL AND starts_with(ex.name, split_part(q.qname, '_', 1)) THEN 1.2 ELSE 1 END"
+query("retrieve_topk", topk_sql(NAMED, BOOST))(
     lambda spark, sf: retrieval.retrieve(
         index(spark, sf), table(spark, sf, "benchmark").select("item_id", F.expr("'src' || (item_id % 20) || '_q'").alias("qname"), "text"),
         ["item_id"], k=8, book=("qname", "name")))
+# Some queries without any known token: they get the diverse examples.
+STRANGE = "CASE WHEN item_id % 7 = 0 THEN 'qqzzq' || item_id ELSE text END"
+query("retrieve_topk_fallback", topk_sql(f"SELECT item_id, {STRANGE} AS text FROM benchmark"))(
+    lambda spark, sf: retrieval.retrieve(
+        index(spark, sf), table(spark, sf, "benchmark").select("item_id", F.expr(STRANGE).alias("text")), ["item_id"], k=8))
+ASKED_ZONE = "CASE WHEN item_id % 3 = 0 THEN 'TABLE' ELSE 'Body' END"
+query("retrieve_topk_by_zone", topk_sql(f"SELECT item_id, {STRANGE} AS text, {ASKED_ZONE} AS qzone FROM benchmark", same="upper(ex.zone) = upper(q.qzone)"))(
+    lambda spark, sf: retrieval.retrieve(
+        index(spark, sf), table(spark, sf, "benchmark").select("item_id", F.expr(STRANGE).alias("text"), F.expr(ASKED_ZONE).alias("qzone")),
+        ["item_id"], k=8, same=("qzone", "zone")))
 
 KQ = "CASE WHEN tag = 'XYZ' THEN 'XYZ' WHEN (doc_id + para_id) % 19 = 0 THEN 'QQQQQQQQ' ELSE tag END"
 query("knn_fallback", f"""WITH {EXAMPLES}, 

@@ -1,12 +1,15 @@
 """Similar gold examples: TF-IDF postings, top-k, diverse picks, k-NN tags.
 
-Postings keep (doc_id, para_id), so on input placed by doc_id the token
-counts, norms and score sums need no further exchange; only token totals and
-the final k rows per query move.
+Postings keep (doc_id, para_id) and the labels that a retrieval may ask for,
+so on input placed by doc_id the token counts, norms and score sums need no
+further exchange.  The best k are taken where the scores are, so of those only
+k rows per query and task move.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,11 +41,13 @@ def inverse_frequency(counts: DataFrame, total: int, scale: str = "ratio") -> Da
     )
 
 
-def weighted(counts: DataFrame, idf: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """(keys, token, w, norm): TF-IDF weight and the row's vector length."""
+def weighted(
+    counts: DataFrame, idf: DataFrame, keys: list[str], how: str = "inner", also: Sequence[str] = ()
+) -> DataFrame:
+    """(keys, also, token, w, norm): TF-IDF weight and the row's vector length."""
     spread = F.xxhash64(*keys)
     joined = checked_lookup(counts, idf.select("token", "idf"), "token", how, spread)
-    w = joined.select(*keys, "token", (F.col("tf") * F.col("idf")).alias("w"))
+    w = joined.select(*keys, *also, "token", (F.col("tf") * F.col("idf")).alias("w"))
     square = F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*keys))
     return w.withColumn("norm", F.sqrt(square))
 
@@ -50,15 +55,17 @@ def weighted(counts: DataFrame, idf: DataFrame, keys: list[str], how: str = "inn
 class ExampleIndex:
     """Weighted postings of the usable gold rows.
 
-    The token counts are written to the shared folder once; document counts,
-    weights and every retrieval read them from there.
+    Token counts are written to the shared folder once, with the columns in
+    ``carry`` (names, zones, tags that later restrict or raise examples);
+    document counts, weights and every retrieval read them from there.
     """
 
-    def __init__(self, examples: DataFrame, scale: str = "ratio"):
+    def __init__(self, examples: DataFrame, scale: str = "ratio", carry: Sequence[str] = ()):
         self.examples = examples
-        counts = through_table(token_counts(examples, EXAMPLE), "token-counts")
+        self.carry = tuple(carry)
+        counts = through_table(token_counts(examples, [*EXAMPLE, *carry]), "token-counts")
         self.idf = inverse_frequency(counts, examples.count(), scale)
-        self.postings = weighted(counts, self.idf, EXAMPLE)
+        self.postings = weighted(counts, self.idf, EXAMPLE, also=carry)
 
 
 def _meet(postings: DataFrame, queries: DataFrame, on: list[str], salts: int = 64) -> DataFrame:
@@ -91,21 +98,25 @@ def retrieve(
     restricts each query to examples with the same value, any case; ``book`` =
     (query column, example column) raises by a fifth the score of examples
     whose name starts with the query name's first part.  Ties go to the later
-    example.  ``fill`` lets examples without a common token count with score 0.
+    example.  ``fill`` answers every query in full: examples of its restriction
+    without a common token count with score 0, and a query without any known
+    token gets the diverse examples, as ranked there, with similarity 0.
     """
     pool = index.examples if where is None else index.examples.where(where)
     extras = [pair[1] for pair in (book, same) if pair]
     postings = index.postings
-    if where is not None or extras:
-        postings = postings.join(pool.select(*EXAMPLE, *extras), EXAMPLE)
-    keep = [pair[0] for pair in (book, same) if pair]
-    asked = weighted(token_counts(queries, key, text), index.idf, key).select(
-        *key, "token", F.col("w").alias("_wq"), F.col("norm").alias("_nq")
-    )
-    if keep:
-        asked = asked.join(queries.select(*key, *[F.col(c).alias(f"_q_{c}") for c in keep]), key)
+    if where is not None or not set(extras) <= set(index.carry):
+        missing = [c for c in extras if c not in index.carry]
+        postings = postings.join(pool.select(*EXAMPLE, *missing), EXAMPLE)
+    keep = list(dict.fromkeys(pair[0] for pair in (book, same) if pair))
     names = {c: f"_k{i}" for i, c in enumerate(key)}
-    asked = asked.withColumnsRenamed(names)
+    asked = weighted(token_counts(queries, [*key, *keep], text), index.idf, key, also=keep).select(
+        *[F.col(c).alias(n) for c, n in names.items()],
+        *[F.col(c).alias(f"_q_{c}") for c in keep],
+        "token",
+        F.col("w").alias("_wq"),
+        F.col("norm").alias("_nq"),
+    )
     on = ["token"]
     if same:
         asked = asked.withColumn("_same", F.upper(f"_q_{same[0]}"))
@@ -120,31 +131,52 @@ def retrieve(
     if book:
         near = F.startswith("_eb", F.split_part("_qb", F.lit("_"), F.lit(1)))
         score = F.when(near, score * 1.2).otherwise(score)
-    scored = scored.select(
-        *names.values(), *EXAMPLE, F.round(score, SCORE_PLACES).alias("score")
-    )
+    scored = scored.select(*names.values(), *EXAMPLE, F.round(score, SCORE_PLACES).alias("score"))
+    best = Window.partitionBy(*names.values()).orderBy(F.desc("score"), *[F.desc(c) for c in EXAMPLE])
+
+    def first_k(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+    top = first_k(scored)
     if fill:
-        # Only the 2k latest examples can fill up a query with under k hits.
-        last = pool.select(*EXAMPLE).orderBy(*[F.desc(c) for c in EXAMPLE]).limit(2 * k).collect()
-        pairs = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in r.asDict().items()]) for r in last])
-        filler = (
-            asked.select(*names.values()).distinct()
-            .withColumn("_e", F.explode(pairs))
-            .select(*names.values(), *[F.col(f"_e.{c}").alias(c) for c in EXAMPLE], F.lit(0.0).alias("score"))
-        )
-        scored = scored.unionByName(filler).groupBy(*names.values(), *EXAMPLE).agg(
-            F.max("score").alias("score")
-        )
-    order = Window.partitionBy(*names.values()).orderBy(
-        F.desc("score"), *[F.desc(c) for c in EXAMPLE]
-    )
-    top = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        every = queries.select(
+            *[F.col(c).alias(n) for c, n in names.items()], *([F.upper(same[0]).alias("_same")] if same else [])
+        ).distinct()
+        known = asked.select(*names.values()).distinct()
+        filler = _latest(pool, 2 * k, same[1] if same else None, every.join(known, [*names.values()], "left_semi"))
+        rows = top.drop("rank").unionByName(filler.select(*names.values(), *EXAMPLE, F.lit(0.0).alias("score")))
+        top = first_k(rows.groupBy(*names.values(), *EXAMPLE).agg(F.max("score").alias("score")))
+        # At most k diverse examples: one short list for all unanswered queries.
+        picked = [r.asDict() for r in diverse(index.examples, k).collect()]
+        if picked:
+            shown = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in r.items()]) for r in picked])
+            unknown = every.join(known, [*names.values()], "left_anti").withColumn("_e", F.explode(shown))
+            top = top.unionByName(
+                unknown.select(*names.values(), *[F.col(f"_e.{c}").alias(c) for c in EXAMPLE], F.lit(0.0).alias("score"), "_e.rank")
+            )
     renamed = {"doc_id": "example_doc", "para_id": "example_para"}
     return top.withColumnsRenamed(renamed).withColumnsRenamed(
         {v: c for c, v in names.items()}
     ).withColumn("similarity", F.round("score", 4)).drop("score")
 
 
+def _latest(pool: DataFrame, n: int, same: str | None, every: DataFrame) -> DataFrame:
+    """Every query with the ``n`` latest examples of its restriction.
+
+    A query with fewer than k hits can only be filled up from those.
+    """
+    order = [F.desc(c) for c in EXAMPLE]
+    if same is None:
+        last = pool.select(*EXAMPLE).orderBy(*order).limit(n).collect()
+        if not last:
+            return every.limit(0).select("*", *[F.lit(None).cast("long").alias(c) for c in EXAMPLE])
+        pairs = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in r.asDict().items()]) for r in last])
+        return every.withColumn("_e", F.explode(pairs)).select("*", "_e.*").drop("_e")
+    turn = F.row_number().over(Window.partitionBy("_same").orderBy(*order))
+    last = pool.select(F.upper(same).alias("_same"), *EXAMPLE).withColumn("_turn", turn).where(F.col("_turn") <= n)
+    return every.join(last.drop("_turn"), "_same")
+
+
 def diverse(examples: DataFrame, k: int = 8, tag: str = "gold_tag") -> DataFrame:
     """First example of each tag in tag order, then the best aligned others.
 
@@ -169,6 +201,11 @@ def diverse(examples: DataFrame, k: int = 8, tag: str = "gold_tag") -> DataFrame
     )
 
 
+def top_tags(index: ExampleIndex, n: int = 20, tag: str = "gold_tag") -> DataFrame:
+    """The most frequent tags of the examples; ties by name."""
+    return index.examples.groupBy(tag).agg(F.count("*").alias("n")).orderBy(F.desc("n"), tag).limit(n)
+
+
 def stats(index: ExampleIndex) -> DataFrame:
     rows = index.examples.agg(
         F.count("*").alias("total_examples"),
