@@ -32,7 +32,7 @@ def _(spark, sf):
 @query("stream_dedup", "WITH h AS (SELECT sha256(array_to_string(list_filter(string_split(text, chr(10)), lambda t: trim(t) <> ''), '')) AS content_hash FROM documents) SELECT DISTINCT content_hash FROM h")
 def _(spark, sf):
     target, checkpoint = fresh_path(spark, "admitted"), fresh_path(spark, "checkpoint")
-    sj.run_to_table(sj.admit_once(stream(spark, sf, "documents")).select("doc_id", "content_hash"), target, checkpoint).awaitTermination()
+    sj.admit_to_table(stream(spark, sf, "documents").select("doc_id", "text"), target, checkpoint).awaitTermination()
     return spark.read.parquet(target).select("content_hash")
 
 
@@ -46,15 +46,16 @@ def status_events(spark, sf):
 def _(spark, sf):
     target, checkpoint = fresh_path(spark, "status"), fresh_path(spark, "checkpoint")
     sj.run_to_table(sj.latest_status(status_events(spark, sf)), target, checkpoint, mode="complete").awaitTermination()
-    return spark.read.parquet(f"{target}/0")
+    return sj.newest_rows(spark, target)
 
 
 @query("stream_daily_usage", f"""WITH {JOBS} SELECT CAST(CAST(completed_at AS DATE) AS VARCHAR) AS day, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, count(*) AS jobs_completed
-FROM jobs WHERE status = 'completed' GROUP BY 1""")
+FROM jobs WHERE status = 'completed' GROUP BY 1
+HAVING max(CAST(completed_at AS DATE)) + INTERVAL 1 DAY <= (SELECT max(completed_at) FROM jobs WHERE status = 'completed') - INTERVAL 1 DAY""")
 def _(spark, sf):
     target, checkpoint = fresh_path(spark, "daily"), fresh_path(spark, "checkpoint")
-    sj.run_to_table(sj.daily_usage(status_events(spark, sf)), target, checkpoint, mode="complete").awaitTermination()
-    return spark.read.parquet(f"{target}/0").withColumn("day", F.col("day").cast("string"))
+    sj.run_to_table(sj.daily_usage(status_events(spark, sf)), target, checkpoint).awaitTermination()  # a day comes out when the watermark has passed it
+    return spark.read.parquet(target).withColumn("day", F.col("day").cast("string"))
 
 
 NOW = "2024-01-31 00:00:00"
@@ -66,5 +67,5 @@ def _(spark, sf):
     folder, checkpoint = fresh_path(spark, "cache"), fresh_path(spark, "checkpoint")
     fresh = stream(spark, sf, "events").select(
         F.expr("CAST(user_id AS STRING) || '-' || (event_id % 5)").alias("cache_key"), F.expr(STATUS).alias("tag"), F.col("ts").alias("cached_at"))
-    sj.refresh_cache(fresh, folder, checkpoint, "cache_key string, tag string, cached_at timestamp", NOW, ttl_days=10).awaitTermination()
-    return spark.read.parquet(f"{folder}/snapshot-0").select("cache_key", "tag")
+    sj.refresh_cache(fresh, folder, checkpoint).awaitTermination()
+    return sj.read_cache(spark, folder, "cache_key string, tag string, cached_at timestamp", NOW, ttl_days=10).select("cache_key", "tag")

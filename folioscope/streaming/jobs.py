@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from folioscope.operators import cache as prediction_cache
 from folioscope.operators.cache import text_hash
@@ -29,20 +30,15 @@ def run_batches(
     def write(batch: DataFrame, batch_id: int) -> None:
         transform(batch).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
 
-    return (
-        stream.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return _each_batch(stream, write, checkpoint)
 
 
 def admit_once(stream: DataFrame, text: str = "text", watermark: tuple[str, str] | None = None) -> DataFrame:
     """First document of every content hash; state keyed by the hash.
 
-    Without a watermark the state holds every hash seen; with
-    ``watermark=(column, delay)`` copies within the delay are dropped and old
-    hashes leave the state.
+    With ``watermark=(column, delay)`` copies within the delay are dropped and
+    old hashes leave the state.  Without one the state holds every hash ever
+    seen, so for copies at any distance use ``admit_to_table``.
     """
     hashed = stream.withColumn("content_hash", text_hash(F.col(text)))
     if watermark is None:
@@ -50,6 +46,35 @@ def admit_once(stream: DataFrame, text: str = "text", watermark: tuple[str, str]
     return hashed.withWatermark(*watermark).dropDuplicatesWithinWatermark(["content_hash"])
 
 
+def admit_to_table(stream: DataFrame, target: str, checkpoint: str, text: str = "text") -> StreamingQuery:
+    """First document of every content hash, for any distance between copies.
+
+    The admitted rows are the state: each micro-batch is compared with the
+    folders of the batches before it, so nothing is held in memory, and a
+    replayed batch rewrites its own folder.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        fresh = batch.withColumn("content_hash", text_hash(F.col(text))).dropDuplicates(["content_hash"])
+        if batch_id:
+            schema = StructType([*fresh.schema.fields, StructField("batch_id", LongType())])
+            before = batch.sparkSession.read.schema(schema).parquet(target)
+            seen = before.where(F.col("batch_id") < batch_id).select("content_hash")
+            fresh = fresh.join(seen, "content_hash", "left_anti").select(*fresh.columns)
+        fresh.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+
+    return _each_batch(stream, write, checkpoint)
+
+
+def _each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    return (
+        stream.writeStream.foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def latest_status(events: DataFrame) -> DataFrame:
     """Newest status per job and its event count (update or complete mode)."""
     newest = F.max_by("status", F.struct("ts", "event_id"))
@@ -71,42 +96,60 @@ def daily_usage(events: DataFrame, delay: str = "1 day") -> DataFrame:
     )
 
 
-def refresh_cache(
-    stream: DataFrame, folder: str, checkpoint: str, schema: str, now: str, ttl_days: int = 30
-) -> StreamingQuery:
-    """Fold new predictions into a cache snapshot; expired entries leave it.
+def refresh_cache(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Append each micro-batch's newest entry per key to the cache's log.
 
-    Snapshot n is built from snapshot n-1 and written under its batch number,
-    so a replayed batch rebuilds the same snapshot.
+    A batch costs what it brings, not what the cache holds, and a replayed
+    batch rewrites its own folder.  ``read_cache`` folds the log,
+    ``compact_cache`` shortens it.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        if batch_id == 0:
-            base = spark.createDataFrame([], schema)
-        else:
-            base = spark.read.schema(schema).parquet(f"{folder}/snapshot-{batch_id - 1}")
-        cutoff = F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {ttl_days} DAYS")
-        merged = prediction_cache.upsert(base, batch).where(F.col("cached_at") > cutoff)
-        merged.write.mode("overwrite").parquet(f"{folder}/snapshot-{batch_id}")
+        newest = prediction_cache.upsert(batch.limit(0), batch)
+        newest.write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
+
+    return _each_batch(stream, write, checkpoint)
 
-    return (
-        stream.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+
+def read_cache(spark: SparkSession, folder: str, schema: str, now: str, ttl_days: int = 30) -> DataFrame:
+    """Newest entry of every key that has not expired."""
+    log = spark.read.schema(f"{schema}, batch_id long").parquet(folder).drop("batch_id")
+    cutoff = F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {ttl_days} DAYS")
+    return prediction_cache.upsert(log.limit(0), log).where(F.col("cached_at") > cutoff)
+
+
+def compact_cache(spark: SparkSession, folder: str, target: str, schema: str, now: str, ttl_days: int = 30) -> None:
+    """Write the valid entries as the first batch of a new log."""
+    read_cache(spark, folder, schema, now, ttl_days).write.parquet(f"{target}/batch_id=0")
 
 
 def run_to_table(
     stream: DataFrame, target: str, checkpoint: str, mode: str = "append"
 ) -> StreamingQuery:
-    """Append to a parquet folder, or keep the newest full result there."""
+    """Append rows to a parquet folder, or keep each batch's result by number.
+
+    In ``complete`` mode the newest batch is the whole result, in ``update``
+    mode it holds the changed rows: read either with ``newest_rows``.
+    """
     writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
     if mode == "append":
         return writer.format("parquet").outputMode("append").start(target)
 
     def replace(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/{batch_id}")
+        batch.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
 
     return writer.outputMode(mode).foreachBatch(replace).start()
+
+
+def newest_rows(spark: SparkSession, target: str, keys: Sequence[str] | None = None) -> DataFrame:
+    """The result that ``run_to_table`` keeps.
+
+    Without keys the newest batch (``complete`` mode); with keys the newest
+    row of every key over all batches (``update`` mode).
+    """
+    rows = spark.read.parquet(target)
+    if keys is None:
+        newest = rows.agg(F.max("batch_id")).first()[0]
+        return rows.where(F.col("batch_id") == F.lit(newest)).drop("batch_id")
+    others = [c for c in rows.columns if c not in (*keys, "batch_id")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch_id").alias("_v")).select(*keys, "_v.*")
