@@ -102,12 +102,20 @@ class Vocabulary:
 
     def __init__(self, styles: Iterable[str] | DataFrame | None = None):
         if isinstance(styles, DataFrame):
-            rows = styles.select(styles.columns[0]).limit(self.MAX_SIZE + 1).collect()
+            # Distinct names are counted, not rows; too many raise, none are cut.
+            name = F.col(styles.columns[0])
+            rows = styles.where(name.isNotNull()).select(name).distinct().limit(self.MAX_SIZE + 1).collect()
+            if len(rows) > self.MAX_SIZE:
+                raise ValueError(f"vocabulary exceeds {self.MAX_SIZE} styles")
             styles = [r[0] for r in rows]
-        names = {normalize_name(s) for s in styles or fixed.default_vocabulary()}
+        elif styles is None:
+            styles = fixed.default_vocabulary()
+        names = {normalize_name(s) for s in styles}
         names -= {"", *fixed.INVALID_VOCABULARY_ENTRIES}
         if len(names) > self.MAX_SIZE:
             raise ValueError(f"vocabulary exceeds {self.MAX_SIZE} styles")
+        if not names:
+            raise ValueError("vocabulary is empty")
         # Ties in similarity and prefix search: shortest, then alphabetical.
         self.names: list[str] = sorted(names, key=lambda s: (len(s), s))
 
@@ -351,7 +359,7 @@ def map_tag_alias(
         {
             "_short": F.regexp_extract(F.col("_m"), r"^\d+-([A-Z0-9-]+)$", 1),
             "_zp": F.when(
-                F.col(zone).startswith("BOX_"), F.substring(F.col(zone), 5, 100)
+                F.col(zone).startswith("BOX_"), F.col(zone).substr(F.lit(5), F.length(zone))
             ),
             "_bul": starts_with_ref_bullet(strip_blank(F.col(text))),
             "_ref": F.coalesce(F.col(in_ref), F.lit(False))
@@ -396,10 +404,10 @@ def map_tag_alias(
     rung(m == "TBL-TXT", first("T", "TD", "TXT"))
     rung(m == "BL-TXT", first("BL-MID", "TXT"))
     vendor = m.rlike("^(EFP|EYU)-")
-    rest = F.substring(m, 5, 1000)
+    rest = m.substr(F.lit(5), F.length(m))
     rung_if_allowed(
         vendor & rest.startswith("BX-"),
-        F.concat(F.lit("BX4-"), F.substring(rest, 4, 1000)),
+        F.concat(F.lit("BX4-"), rest.substr(F.lit(4), F.length(rest))),
     )
     rung_if_allowed(vendor, rest)
     rung(vendor & (rest == "BX"), first("TXT"))

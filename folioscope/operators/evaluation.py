@@ -245,7 +245,7 @@ def binary_scores(counts: DataFrame) -> DataFrame:
 def heading_mapping(gold: DataFrame) -> DataFrame:
     """Table headings in gold, and whether both raw spellings map to them."""
     tags = _tag_counts(gold).where(F.col("gold_tag").rlike("^TH[0-9]+$"))
-    level = F.substring("gold_tag", 3, 10)
+    level = F.col("gold_tag").substr(F.lit(3), F.length("gold_tag"))
     known = F.col("gold_tag").rlike("^TH[1-6]$")
 
     def maps(prefix: str) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import styles as st
 from folioscope.functions.styles import Vocabulary, normalize_style
+from folioscope.operators.ordered import document
 from folioscope.operators.retrieval import ExampleIndex, knn_tags
 
 KEYS = ["doc_id", "para_id"]
@@ -29,11 +30,11 @@ def self_heal(
     v = vocabulary
     mapped = st.map_tag_alias(first, "tag", v, out="_m1", text=text)
     mapped = mapped.withColumn("_bad", ~v.has("_m1"))
-    per_doc = mapped.groupBy("doc_id").agg(F.max("_bad").alias("_retry"))
+    mapped = mapped.withColumn("_retry", F.max("_bad").over(document()))
     again = corrections.select(
         *KEYS, F.col("tag").alias("_tag2"), F.col("confidence").alias("_conf2")
     )
-    joined = mapped.join(per_doc, "doc_id").join(again, KEYS, "left")
+    joined = mapped.join(again, KEYS, "left")
     use = F.col("_retry") & F.col("_tag2").isNotNull()
     chosen = joined.withColumns(
         {

@@ -249,7 +249,7 @@ def repair_rows(
     return df.withColumns(
         {
             "repaired": changed,
-            "repair_reason": F.when(changed, F.substring("_why", 2, 10_000)),
+            "repair_reason": F.when(changed, C("_why").substr(F.lit(2), F.length("_why"))),
             "confidence": F.when(changed, F.least("confidence", F.lit(80.0))).otherwise(
                 C("confidence")
             ),
@@ -261,7 +261,7 @@ def repair_table_zone(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """The table rungs alone."""
     base = _prepared(df, vocabulary, False)
     return _table_rungs(base, vocabulary).withColumn(
-        "repair_reason", F.when(C("_why") != "", F.substring("_why", 2, 10_000))
+        "repair_reason", F.when(C("_why") != "", C("_why").substr(F.lit(2), F.length("_why")))
     )
 
 
@@ -269,7 +269,7 @@ def repair_back_matter(df: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """The back-matter map alone."""
     base = _prepared(df, vocabulary, False)
     return _back_matter_rung(base, vocabulary).withColumn(
-        "repair_reason", F.when(C("_why") != "", F.substring("_why", 2, 10_000))
+        "repair_reason", F.when(C("_why") != "", C("_why").substr(F.lit(2), F.length("_why")))
     )
 
 

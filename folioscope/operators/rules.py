@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope import fixed
 from folioscope.functions.text import any_of, strip_blank
-from folioscope.session import BROADCAST_ROWS
 
 FLAG_NAMES = [
     "is_empty", "is_short", "is_long", "has_number_prefix", "has_letter_prefix",
@@ -171,59 +172,40 @@ def apply_rules(
 ) -> DataFrame:
     """Add rule_tag, rule_condition, rule_confidence (0-100) of the first match.
 
-    The ranked rules fold into one literal list (a rule table has at most
-    tags x keys rows and is read with a checked bound); each row scans it with
-    its own key set, so no row is exploded or shuffled.
+    Of the rules with one condition only the best ranked can fire, so Spark
+    first reduces the table to those: at most one rule for each feature and
+    value, however many rules there are.  They become three constant arrays,
+    in order of rank, in which each row looks up its own few conditions; no
+    row is exploded or shuffled.
     """
-    found = (
-        rules.orderBy("rank")
-        .select("condition", "predicted_tag", "confidence")
-        .limit(BROADCAST_ROWS // 100 + 1)
+    best = (
+        rules.groupBy("condition")
+        .agg(F.min_by(F.struct("predicted_tag", "confidence"), "rank").alias("_r"), F.min("rank").alias("rank"))
+        .select("condition", F.col("_r.predicted_tag").alias("tag"), F.col("_r.confidence").cast("double").alias("confidence"), "rank")
+        .orderBy("rank")
         .collect()
     )
-    if len(found) > BROADCAST_ROWS // 100:
-        raise ValueError("rule table too large")
-    empty = {
-        "rule_tag": F.lit(None).cast("string"),
-        "rule_condition": F.lit(None).cast("string"),
-        "rule_confidence": F.lit(None).cast("int"),
-    }
-    if not found:
-        return features.withColumns(empty)
-    keyed = features.withColumn("_keys", feature_keys(use_neighbors))
-    first: dict[str, int] = {}
-    for i, r in enumerate(found):
-        first.setdefault(r["condition"], i)
-    match = F.array_min(
-        F.array_compact(
-            F.array(
-                *[
-                    F.when(F.array_contains("_keys", key), F.lit(i))
-                    for key, i in first.items()
-                ]
-            )
+
+    def constant(values: list, kind: str) -> Column:
+        return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+    conditions = constant([r["condition"] for r in best], "string")
+    tags = constant([r["tag"] for r in best], "string")
+    sure = constant([r["confidence"] for r in best], "double")
+    places = F.transform(feature_keys(use_neighbors), lambda key: F.array_position(conditions, key))
+    match = (F.array_min(F.filter(places, lambda i: i > 0)) - 1).cast("int")
+    return (
+        features.withColumn("_at", match)
+        .withColumn("_at", F.when(F.get(sure, F.col("_at")) >= min_confidence, F.col("_at")))
+        .withColumns(
+            {
+                "rule_tag": F.get(tags, F.col("_at")),
+                "rule_condition": F.get(conditions, F.col("_at")),
+                "rule_confidence": F.floor(F.get(sure, F.col("_at")) * 100).cast("int"),
+            }
         )
+        .drop("_at")
     )
-    table = F.array(
-        *[
-            F.struct(
-                F.lit(r["predicted_tag"]).alias("tag"),
-                F.lit(r["condition"]).alias("condition"),
-                F.lit(float(r["confidence"])).alias("confidence"),
-            )
-            for r in found
-        ]
-    )
-    hit = keyed.withColumn("_hit", F.get(table, match)).withColumn(
-        "_hit", F.when(F.col("_hit.confidence") >= min_confidence, F.col("_hit"))
-    )
-    return hit.withColumns(
-        {
-            "rule_tag": F.col("_hit.tag"),
-            "rule_condition": F.col("_hit.condition"),
-            "rule_confidence": F.floor(F.col("_hit.confidence") * 100).cast("int"),
-        }
-    ).drop("_keys", "_hit")
 
 
 def split_by_rules(ruled: DataFrame) -> tuple[DataFrame, DataFrame]:

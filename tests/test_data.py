@@ -61,6 +61,15 @@ def test_bucketed_documents_need_no_exchange(spark):
         spark.sql("DROP TABLE bucketed_documents")
 
 
+def edit_similarity(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+    return 1 - row[-1] / max(len(a), len(b))
+
+
 def test_fuzzy_pairs_match_going_one_by_one(spark):
     rng = random.Random(5)
     words = ["alpha", "beta", "gamma", "delta", "nine", "ten"]
@@ -71,8 +80,9 @@ def test_fuzzy_pairs_match_going_one_by_one(spark):
         key = m.replace("-", "")
         best, top = None, (-1, -1.0)
         for o in free:
-            s = SequenceMatcher(None, key, o.replace("_", ""))
-            score = (s.find_longest_match(0, len(key), 0, len(o.replace("_", ""))).size, s.ratio())
+            other = o.replace("_", "")
+            common = max((n for n in range(len(key) + 1) for i in range(len(key) - n + 1) if key[i : i + n] in other), default=0)
+            score = (common, edit_similarity(key, other))
             if score > top:
                 best, top = o, score
         if best and top[0] > 0:
@@ -83,16 +93,112 @@ def test_fuzzy_pairs_match_going_one_by_one(spark):
     assert got == want
 
 
-def test_alignment_follows_difflib(spark):
-    left = [(1, i, t) for i, t in enumerate(["A b c", "same line", "gone", "old words here"], 1)]
-    right = [(1, i, t) for i, t in enumerate(["A b c", "same line", "old words there"], 1)]
-    frames = [spark.createDataFrame(r, "doc_id long, para_id long, text string") for r in (left, right)]
+def _documents(spark, *sides):
+    return [
+        spark.createDataFrame([(1, i, t) for i, t in enumerate(side, 1)], "doc_id long, para_id long, text string")
+        for side in sides
+    ]
+
+
+def test_alignment_by_anchors_and_gaps(spark):
+    frames = _documents(spark, ["A b c", "same line", "gone", "old words here"], ["A b c", "same line", "old words there"])
     got = {r.para_id: r.manual_para for r in gold.align_in_order(*frames).collect()}
     assert got[1] == 1 and got[2] == 2 and got[4] == 3
     once = {r.para_id: r.manual_para for r in gold.align_once(*frames).collect()}
     assert once == {1: 1, 2: 2, 3: None, 4: 3}
 
 
+def test_anchors_keep_the_longest_chain(spark):
+    frames = _documents(spark, "A B C D E".split(), "B C D E A".split())
+    assert sorted((r.para_id, r.manual_para) for r in gold.anchors(*frames).collect()) == [(2, 1), (3, 2), (4, 3), (5, 4)]
+
+
+def test_vocabulary_tables_are_never_cut(spark):
+    from folioscope.functions.styles import Vocabulary
+
+    rows = spark.range(60_000).selectExpr("'TXT' AS style").unionByName(spark.sql("SELECT 'MY-STYLE' AS style"))
+    assert set(Vocabulary(rows).names) == {"TXT", "MY-STYLE"}
+    for wrong in (rows.limit(0), spark.range(50_001).selectExpr("'S' || id AS style"), []):
+        with pytest.raises(ValueError):
+            Vocabulary(wrong)
+
+
+def test_many_rules_all_count(spark):
+    from folioscope.operators import rules
+
+    table = spark.range(25_000).selectExpr(
+        "CASE WHEN id = 24999 THEN 'zone=LAST' ELSE 'zone=Z' || id END AS condition", "'T' || id AS predicted_tag", "0.9D AS confidence", "id + 1 AS rank")
+    flags = {f: F.lit(False) for f in rules.FLAG_NAMES}
+    rows = spark.createDataFrame([(1, "LAST"), (2, "Z7"), (3, "none")], "doc_id long, zone string").withColumns(
+        {**flags, "list_kind": F.lit(None).cast("string"), "list_position": F.lit("")})
+    got = {r.doc_id: r.rule_tag for r in rules.apply_rules(rows, table).collect()}
+    assert got == {1: "T24999", 2: "T7", 3: None}
+
+
+def test_retrieval_answers_every_query_within_its_zone(spark):
+    from folioscope.operators.retrieval import ExampleIndex, retrieve
+
+    examples = spark.createDataFrame(
+        [(1, 1, "red apple", "A", "x", 0.9), (1, 2, "green apple", "A", "y", 0.8), (2, 1, "blue sky", "B", "x", 1.0)],
+        "doc_id long, para_id long, text string, zone string, gold_tag string, alignment_score double")
+    asked = spark.createDataFrame([(1, "apple red", "a"), (2, "zzz", "A"), (3, "apple", "B")], "q long, text string, zone string")
+    index = ExampleIndex(examples, carry=("zone",))
+    got = retrieve(index, asked, ["q"], k=2, same=("zone", "zone")).collect()
+    found = {q: [(r.example_doc, r.example_para) for r in sorted(got, key=lambda r: r["rank"]) if r.q == q] for q in (1, 2, 3)}
+    assert found == {1: [(1, 1), (1, 2)], 2: [(1, 1), (1, 2)], 3: [(2, 1)]}
+
+
+def _stream(spark, tmp_path, batches, schema):
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        import time
+
+        time.sleep(1.1)  # files are taken in order of their times
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+
+def test_streams_over_several_files(spark, tmp_path):
+    import datetime as dt
+
+    from folioscope.streaming import jobs
+
+    day = lambda d, h=0: dt.datetime(2024, 1, d, h)
+    schema = "job_id long, event_id long, ts timestamp, status string, input_tokens long, output_tokens long"
+    batches = [
+        [(1, 1, day(1), "completed", 10, 1), (2, 2, day(1, 3), "failed", 5, 1)],
+        [(1, 3, day(4), "failed", 7, 1), (3, 4, day(4, 1), "completed", 7, 2)],
+        [(2, 5, day(1, 5), "completed", 100, 9), (3, 6, day(8), "completed", 1, 1)],
+    ]
+    source = _stream(spark, tmp_path, batches, schema)
+    jobs.run_to_table(jobs.latest_status(source), str(tmp_path / "s"), str(tmp_path / "c1"), mode="complete").awaitTermination()
+    newest = {r.job_id: (r.status, r.n_events) for r in jobs.newest_rows(spark, str(tmp_path / "s")).collect()}
+    assert newest == {1: ("failed", 2), 2: ("completed", 2), 3: ("completed", 2)}
+    jobs.run_to_table(jobs.latest_status(source), str(tmp_path / "u"), str(tmp_path / "c2"), mode="update").awaitTermination()
+    changed = {r.job_id: (r.status, r.n_events) for r in jobs.newest_rows(spark, str(tmp_path / "u"), ["job_id"]).collect()}
+    assert changed == newest
+    jobs.run_to_table(jobs.daily_usage(source), str(tmp_path / "d"), str(tmp_path / "c3")).awaitTermination()
+    days = {str(r.day): (r.input_tokens, r.jobs_completed) for r in spark.read.parquet(str(tmp_path / "d")).collect()}
+    assert days == {"2024-01-01": (10, 1), "2024-01-04": (7, 1)}  # the late row of day 1 is dropped, day 8 is open
+
+
+def test_admission_and_cache_over_several_files(spark, tmp_path):
+    from folioscope.streaming import jobs
+
+    batches = [[(1, "a"), (2, "b"), (3, "a")], [(4, "b"), (5, "c")], [(6, "a"), (7, "d"), (8, "c")]]
+    source = _stream(spark, tmp_path, batches, "doc_id long, text string")
+    jobs.admit_to_table(source, str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
+    admitted = [r.text for r in spark.read.parquet(str(tmp_path / "t")).collect()]
+    assert sorted(admitted) == ["a", "b", "c", "d"]
+    entries = source.selectExpr("text AS cache_key", "'t' || doc_id AS tag", "timestamp_seconds(doc_id * 86400) AS cached_at")
+    schema = "cache_key string, tag string, cached_at timestamp"
+    jobs.refresh_cache(entries, str(tmp_path / "k"), str(tmp_path / "c4")).awaitTermination()
+    got = {r.cache_key: r.tag for r in jobs.read_cache(spark, str(tmp_path / "k"), schema, "1970-01-10", 4).collect()}
+    assert got == {"a": "t6", "c": "t8", "d": "t7"}
+    jobs.compact_cache(spark, str(tmp_path / "k"), str(tmp_path / "k2"), schema, "1970-01-10", 4)
+    again = {r.cache_key: r.tag for r in jobs.read_cache(spark, str(tmp_path / "k2"), schema, "1970-01-10", 4).collect()}
+    assert again == got
+
+
 def test_reply_repairs(spark):
     replies = [
         (1, '[{"id": 1, "tag": "H1", "confidence": 90}]'),
