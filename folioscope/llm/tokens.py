@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 #: Words in each of the two generations of the cache.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 320_000
 #: Bytes of text that are split into words at a time.
 STRETCH = 2 << 20
+_MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_SPECIAL = b"<|"
 _SPACE = re.compile(rb"[ \t-\r]")
 _LOADED: dict[str, WordIds] = {}
 
@@ -19,10 +21,12 @@ _LOADED: dict[str, WordIds] = {}
 class WordIds:
     """Encodes texts word by word.
 
-    For a tokenizer whose pre-tokenizer never joins text across white space,
-    as in BPE over words with word ends, the ids of a text are those of its
-    words in turn.  A word's ids are kept as packed bytes, so a text is one
-    join.  Words unused for a generation are forgotten.
+    For a tokenizer that lowers all text and whose pre-tokenizer never joins
+    text across white space or letters to punctuation, as in BPE over words
+    with word ends, the ids of a text are those of its words in turn, and
+    those of a word with marks behind it are the word's and the marks'.  A
+    word's ids are kept as packed bytes, so a text is one join.  Words unused
+    for a generation of the cache are forgotten.
     """
 
     def __init__(self, path: str):
@@ -35,19 +39,33 @@ class WordIds:
         self.stale: dict[bytes, bytes] = {}
 
     def _learn(self, wanted: set[bytes]) -> None:
+        """Make sure that the fresh generation has all these words."""
         if len(self.fresh) > CACHE_WORDS:
             self.fresh, self.stale = {}, self.fresh
-        fresh, unknown = self.fresh, []
-        for w in wanted:
-            if w not in fresh:
-                if (ids := self.stale.get(w)) is not None:
-                    fresh[w] = ids
-                else:
-                    unknown.append(w)
-        for at in range(0, len(unknown), 20_000):
-            part = unknown[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)):
-                fresh[w] = np.array(e.ids, dtype=self.dtype).tobytes()
+        unknown, marked = set(), []
+        for w in wanted.difference(self.fresh):
+            if self._known(w):
+                continue
+            core = w.rstrip(_MARKS)
+            if core and core != w and _SPECIAL not in w and _ends_in_letter(core):
+                marked.append((w, core, w[len(core) :]))
+                unknown.update(x for x in marked[-1][1:] if not self._known(x))
+            else:
+                unknown.add(w)
+        encode, fresh = self.tokenizer.encode, self.fresh
+        for w in unknown:
+            fresh[w] = np.array(encode(w.decode(), add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+        for w, core, marks in marked:
+            fresh[w] = fresh[core] + fresh[marks]
+
+    def _known(self, w: bytes) -> bool:
+        if w in self.fresh:
+            return True
+        ids = self.stale.get(w)
+        if ids is None:
+            return False
+        self.fresh[w] = ids
+        return True
 
     def _stretches(self, text: bytes) -> Iterator[bytes]:
         """Cuts a very long text at white space."""
@@ -60,11 +78,13 @@ class WordIds:
             start = found.end()
         yield text[start:] if start else text
 
-    def encode(self, texts: Sequence[bytes]) -> Iterator[bytes]:
+    def encode(self, texts: Iterable[bytes]) -> Iterator[bytes]:
         """Packed ids of each text, in order."""
         held: list[list[bytes]] = []
         size = 0
         for text in texts:
+            if _SPECIAL not in text:  # names of special tokens count as they are spelled
+                text = text.lower()
             if len(text) > 2 * STRETCH:
                 yield from self._flush(held)
                 held, size = [], 0
@@ -85,6 +105,10 @@ class WordIds:
                 yield b"".join(map(get, words))
 
 
+def _ends_in_letter(word: bytes) -> bool:
+    return word[-1:].isalnum() or (word[-1] >= 0x80 and word.decode()[-1].isalpha())
+
+
 def encoder(path: str) -> WordIds:
     """The worker's encoder of this file, loaded once."""
     if path not in _LOADED:
@@ -92,9 +116,9 @@ def encoder(path: str) -> WordIds:
     return _LOADED[path]
 
 
-def utf8(column) -> list[bytes]:
-    """Bytes of a string column of a record batch; null is empty."""
-    return [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in column]
+def utf8(column) -> Iterator[bytes]:
+    """Bytes of a string column of a record batch, one at a time; null is empty."""
+    return (t.as_buffer().to_pybytes() if t.is_valid else b"" for t in column)
 
 
 def default_tokenizer() -> str:
