@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 
@@ -22,24 +25,37 @@ def build_session(app: str = "folioscope", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+_FOLDERS: dict[str, str] = {}
+
+
 def work_folder(spark: SparkSession) -> str:
-    """Shared folder for checkpoints and hand-over tables.
+    """This application's folder for checkpoints and hand-over tables.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only a local session
-    with no such setting gets a temporary folder of its own.
+    It stands in the folder that ``spark.checkpoint.dir`` names, which all
+    executors must share (a ``file:`` folder only if it is a common mount).
+    Only a local session without the setting gets a temporary folder.  The
+    application's folder goes when the driver's Python ends.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf(
-    ).get("spark.checkpoint.dir", None)
-    if named:
-        return named
     context = spark.sparkContext
-    existing = context.getCheckpointDir()
-    if existing:
-        return existing
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="folioscope-"))
-    return context.getCheckpointDir()
+    app = context.applicationId
+    if app in _FOLDERS:
+        return _FOLDERS[app]
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    if not named:
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        named = tempfile.mkdtemp(prefix="folioscope-")
+    folder = f"{named.rstrip('/')}/folioscope-{app}"
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(context._jsc.hadoopConfiguration())
+
+    def remove() -> None:
+        with contextlib.suppress(Exception):  # the JVM may have ended before
+            files.delete(path, True)
+
+    atexit.register(remove)
+    _FOLDERS[app] = folder
+    return folder
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
