@@ -15,7 +15,7 @@ from checks.registry import table
 from folioscope.sources.documents import by_document
 
 CASE = """CASE
-  WHEN para_id = 1 AND doc_id % 4 = 0 THEN 'Book Title: ' || substr(t0, 1, 30)
+  WHEN para_id = 1 AND doc_id % 4 = 0 THEN 'Book Title: ' || t0
   WHEN para_id = 1 AND doc_id % 4 = 1 THEN 'CHAPTER ' || (doc_id % 9 + 1)
   WHEN para_id = 1 AND doc_id % 4 = 2 THEN 'Introduction'
   WHEN para_id = 2 AND doc_id % 8 = 0 THEN 'Chapter 2'
@@ -28,11 +28,11 @@ CASE = """CASE
   WHEN (doc_id * 5 + para_id) % 23 = 3 THEN '</note>'
   WHEN (doc_id * 5 + para_id) % 31 = 7 THEN '<red flag>'
   WHEN (doc_id * 5 + para_id) % 31 = 11 THEN '</red flag>'
-  WHEN (doc_id * 3 + para_id) % 13 = 0 THEN '<H1>' || substr(t0, 1, 40)
-  WHEN (doc_id * 3 + para_id) % 17 = 0 THEN '<H3>' || substr(t0, 1, 40)
-  WHEN (doc_id * 3 + para_id) % 19 = 0 THEN 'Table ' || para_id || '. ' || substr(t0, 1, 40)
-  WHEN (doc_id * 3 + para_id) % 19 = 1 THEN 'Figure ' || para_id || '. ' || substr(t0, 1, 40)
-  WHEN (doc_id * 3 + para_id) % 19 = 2 THEN 'Source: ' || substr(t0, 1, 40)
+  WHEN (doc_id * 3 + para_id) % 13 = 0 THEN '<H1>' || t0
+  WHEN (doc_id * 3 + para_id) % 17 = 0 THEN '<H3>' || t0
+  WHEN (doc_id * 3 + para_id) % 19 = 0 THEN 'Table ' || para_id || '. ' || t0
+  WHEN (doc_id * 3 + para_id) % 19 = 1 THEN 'Figure ' || para_id || '. ' || t0
+  WHEN (doc_id * 3 + para_id) % 19 = 2 THEN 'Source: ' || t0
   WHEN (doc_id * 7 + CAST(floor(para_id / 3) AS BIGINT)) % 5 = 1 THEN '• ' || t0
   WHEN (doc_id * 7 + CAST(floor(para_id / 3) AS BIGINT)) % 5 = 3 THEN (para_id % 3 + 1) || '. ' || t0
   ELSE t0 END"""

@@ -200,12 +200,12 @@ query("review_bundle", refs_with(_lad, f""", {_Q}
 SELECT x.doc_id, para_id, CASE WHEN length({sb.strip('text')}) > 160 THEN left({sb.strip('text')}, 160) || '...' ELSE {sb.strip('text')} END AS text_preview, tag, confidence, repaired, repair_reason, score, action
 FROM @ x JOIN q USING (doc_id) WHERE action = 'REVIEW'"""))(
     lambda spark, sf: (lambda rows: review.review_bundle(rows, quality.score_documents(rows, V, "flag")))(
-        through_table(structure_corpus(ov.given(spark, sf), V), "structured")))
+        through_table(structure_corpus(ov.given(spark, sf), V, sb.ZONES), "structured")))
 
 
 @query("route_partitions", refs_with(_lad, f", {_Q} SELECT doc_id, action, score FROM q"))
 def _(spark, sf):
-    rows = structure_corpus(ov.given(spark, sf), V)
+    rows = structure_corpus(ov.given(spark, sf), V, sb.ZONES)
     path = fresh_path(spark, "by-action")
     sinks.write_by_action(quality.score_documents(rows, V, "flag"), path)
     return spark.read.parquet(path).select("doc_id", "action", "score")
@@ -235,6 +235,6 @@ def _(spark, sf):
 
     # Each round is written once; the next one reads it back.
     return retry_cascade(
-        ov.overlay(spark, sf), [pick(given), pick(second), pick(second)], V,
+        ov.overlay(spark, sf), [pick(given), pick(second), pick(second)], V, zone_styles=sb.ZONES,
         keep=lambda df, attempt: through_table(df, f"attempt-{attempt}"),
     ).select("doc_id", "para_id", "tag", "score", "action", "attempts")

@@ -192,7 +192,7 @@ _lad = ladder_sql()
 
 @query("repair_rows", refs_with(_lad, PICK))
 def _(spark, sf):
-    return repair.repair_rows(referenced(spark, sf), V).select(*OUT)
+    return repair.repair_rows(referenced(spark, sf), V, sb.ZONES).select(*OUT)
 
 
 query("trust_lock", refs_with(prepared(), "SELECT doc_id, para_id, lock AND NOT (in_ref AND NOT starts_with(norm, 'REF-')) AS trusted FROM @"))(
@@ -228,7 +228,7 @@ def _(spark, sf):
 
 
 def repaired_base(spark, sf):
-    return repair.repair_rows(referenced(spark, sf), V)
+    return repair.repair_rows(referenced(spark, sf), V, sb.ZONES)
 
 
 def pass_query(name, build_sql, apply):
@@ -319,7 +319,7 @@ def _(spark, sf):
     """Flagship: zones -> reference zones -> repair -> score, one exchange."""
     from folioscope.plans.structure import document_results
 
-    rows = structure_corpus(ov.given(spark, sf), V)
+    rows = structure_corpus(ov.given(spark, sf), V, sb.ZONES)
     return document_results(rows, V, review_below=0.85).select(
         "doc_id", "total", "score", "action", "heading_violations", "box_violations", "figure_violations", "table_violations",
         "txt_ratio", "low_conf_ratio", "auto_applied", "needs_review", "repaired_rows")
@@ -327,7 +327,7 @@ def _(spark, sf):
 
 @query("repair_corpus", refs_with(_full, PICK))
 def _(spark, sf):
-    return structure_corpus(ov.given(spark, sf), V).select(*OUT)
+    return structure_corpus(ov.given(spark, sf), V, sb.ZONES).select(*OUT)
 
 
 @query("semantic_remap", ov.with_given(f""", r AS (SELECT DISTINCT CASE WHEN (doc_id + para_id) % 3 = 0 THEN upper(regexp_replace(left(text, 4), '[^A-Za-z]', '-', 'g')) ELSE tag END AS raw FROM g

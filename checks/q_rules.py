@@ -53,7 +53,7 @@ SELECT tag, tag_rank, tag_total, feature_key, feature_rank, support, round(suppo
     lambda spark, sf: rules.rule_report(rules.rule_counts(examples(spark, sf))))
 
 
-@query("rules_roundtrip")
+@query("rules_roundtrip", f"WITH {EXAMPLES} SELECT * REPLACE (round(confidence, 6) AS confidence) FROM learned")
 def _(spark, sf):
     path = fresh_path(spark, "rules")
     counts = rules.rule_counts(examples(spark, sf))

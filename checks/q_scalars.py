@@ -79,13 +79,13 @@ rows("numbered_not_ref", f"{sb.numbered_not_ref('text')} AS numbered_not_ref",
 rows("ref_headings", f"{sb.ref_heading('text')} AS primary_heading, {sb.secondary_heading('text')} AS secondary_heading",
      lambda: [pt.is_reference_heading(TEXT()).alias("primary_heading"), pt.is_secondary_reference_heading(TEXT()).alias("secondary_heading")])
 rows("zone_exit", f"{sb.zone_exit('text')} AS zone_exit", lambda: [pt.is_zone_exit(TEXT()).alias("zone_exit")])
-query("t4_heading", ov.with_overlay(f""", c AS (SELECT doc_id, para_id, {sb.strip('substr(text, 1, 20 + para_id % 60)')} AS t FROM o),
+query("t4_heading", ov.with_overlay(f""", c AS (SELECT doc_id, para_id, {sb.strip('text')} AS t FROM o),
 w AS (SELECT *, list_filter(string_split_regex(t, '[[:space:]]+'), lambda x: x <> '') AS ws FROM c),
 k AS (SELECT *, len(ws) AS nw, len(list_filter(ws, lambda x: {sb.has("regexp_replace(x, '[^A-Za-z0-9]', '', 'g')", '^[A-Z]')})) AS tw FROM w)
 SELECT doc_id, para_id, (t <> '' AND length(t) <= 60 AND NOT {sb.has('t', '[.!?;:][[:space:]]*$')} AND NOT {sb.has('t', fixed.T4_NUMERIC_PATTERN)}
   AND ({sb.has('t', fixed.T4_CAPS_PATTERN)} OR (nw >= 2 AND tw >= greatest(1, floor(0.7::DOUBLE * nw))))) AS t4_heading FROM k"""))(
     lambda spark, sf: ov.overlay(spark, sf).select(
-        *KEY, pt.is_t4_heading(F.expr("substr(text, 1, 20 + para_id % 60)")).alias("t4_heading")))
+        *KEY, pt.is_t4_heading(F.expr("text")).alias("t4_heading")))
 rows("inline_heading", "CASE WHEN regexp_matches(text, '(?i)^\\s*<H[1-6]>[\\p{L}\\p{N}_]') THEN 'H' || regexp_extract(text, '<[hH]([1-6])>', 1) END AS inline_heading",
      lambda: [pt.inline_heading(TEXT()).alias("inline_heading")])
 
@@ -120,11 +120,11 @@ SELECT doc_id, para_id, len(ts) AS n_tokens, array_to_string(ts, ' ') AS tokens
         *KEY, F.size("ts").alias("n_tokens"), F.array_join("ts", " ").alias("tokens")))
 
 query("string_similarity", ov.with_overlay("""
-, d AS (SELECT doc_id, para_id, regexp_replace(lower(left(text, 60)), '[^a-z .]', '', 'g') AS a, lead(regexp_replace(lower(left(text, 60)), '[^a-z .]', '', 'g')) OVER (PARTITION BY doc_id ORDER BY para_id) AS b FROM o)
+, d AS (SELECT doc_id, para_id, regexp_replace(lower(text), '[^a-z .]', '', 'g') AS a, lead(regexp_replace(lower(text), '[^a-z .]', '', 'g')) OVER (PARTITION BY doc_id ORDER BY para_id) AS b FROM o)
 SELECT doc_id, para_id, round(1 - levenshtein(a, b)::DOUBLE / greatest(length(a), length(b)), 6) AS similarity FROM d WHERE b IS NOT NULL"""))(
     lambda spark, sf: ov.overlay(spark, sf).select(
-        *KEY, F.expr("regexp_replace(lower(left(text, 60)), '[^a-z .]', '')").alias("a"),
-        F.expr("lead(regexp_replace(lower(left(text, 60)), '[^a-z .]', '')) OVER (PARTITION BY doc_id ORDER BY para_id)").alias("b"),
+        *KEY, F.expr("regexp_replace(lower(text), '[^a-z .]', '')").alias("a"),
+        F.expr("lead(regexp_replace(lower(text), '[^a-z .]', '')) OVER (PARTITION BY doc_id ORDER BY para_id)").alias("b"),
     ).where("b IS NOT NULL").select(*KEY, F.round(tx.edit_similarity(F.col("a"), F.col("b")), 6).alias("similarity")))
 
 
@@ -132,7 +132,7 @@ SELECT doc_id, para_id, round(1 - levenshtein(a, b)::DOUBLE / greatest(length(a)
 def _(spark, sf):
     """Ratio mode (Python, deduplicated pairs): benchmark names against tags."""
     pairs = ov.given(spark, sf).select(
-        F.col("tag").alias("a"), F.expr("CASE WHEN para_id % 2 = 0 THEN upper(left(text, 8)) ELSE 'TXT-FLUSH' END").alias("b")
+        F.col("tag").alias("a"), F.expr("CASE WHEN para_id % 2 = 0 THEN upper(text) ELSE 'TXT-FLUSH' END").alias("b")
     ).distinct()
     return pairs.select("a", "b", F.round(tx.sequence_ratio(F.col("a"), F.col("b")), 6).alias("similarity"))
 
@@ -146,7 +146,7 @@ FAMILY_SQL = """CASE WHEN norm = '' THEN 'TXT' WHEN starts_with(norm, 'H') AND r
   WHEN contains(norm, 'BL') OR contains(upper(norm), 'BULLET') THEN 'BL-MID' WHEN contains(norm, 'NL') OR contains(upper(norm), 'NUMBER') THEN 'NL-MID'
   WHEN contains(norm, 'REF') THEN 'REF-U' WHEN contains(norm, 'FIG') THEN 'FIG-LEG' WHEN starts_with(norm, 'T') AND regexp_matches(norm, '[0-9]') THEN 'T' ELSE 'TXT' END"""
 # Tags as replies spell them, with free text mixed in.
-WILD_TAG = f"CASE WHEN (doc_id + para_id) % 7 = 3 THEN upper(regexp_replace(left(text, 5), '[^A-Za-z]', '-')) ELSE {RAW_TAG} END"
+WILD_TAG = f"CASE WHEN (doc_id + para_id) % 7 = 3 THEN upper(regexp_replace(text, '[^A-Za-z]', '-')) ELSE {RAW_TAG} END"
 query("normalize_tag", ov.with_given(f""", r AS (SELECT DISTINCT {WILD_TAG.replace("'-')", "'-', 'g')")} AS raw FROM g),{sb.normalize_steps('r', 'raw', 'norm')},
 x AS (SELECT raw, norm FROM nz9), un AS (SELECT * FROM x WHERE norm NOT IN {sb.VOCAB_SQL}),
 near AS {sb.nearest_table('un', 'norm', 'style', True)}

@@ -22,7 +22,7 @@ def _(spark, sf):
     target, checkpoint = fresh_path(spark, "structured"), fresh_path(spark, "checkpoint")
     sj.run_batches(
         stream(spark, sf, "documents"),
-        lambda batch: structure_corpus(ov.given_of(batch), V).select(
+        lambda batch: structure_corpus(ov.given_of(batch), V, sb.ZONES).select(
             "doc_id", "para_id", "tag", "confidence", "repaired", "repair_reason"),
         target, checkpoint,
     ).awaitTermination()

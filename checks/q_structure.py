@@ -106,7 +106,7 @@ def _(spark, sf):
 
 @query("zone_valid_exact", ss.with_structure(f"SELECT doc_id, para_id, zone, tag, {sb.exact_zone_ok('tag', 'zone')} AS valid FROM s"))
 def _(spark, sf):
-    return structured(spark, sf).select(*KEY, "zone", "tag", st.zone_accepts_exact("tag", "zone").alias("valid"))
+    return structured(spark, sf).select(*KEY, "zone", "tag", st.zone_accepts_exact("tag", "zone", sb.ZONES).alias("valid"))
 
 
 @query("zone_valid_prefix", ss.with_structure(f"SELECT doc_id, para_id, zone, tag, {sb.wildcard_zone_ok('tag', 'zone')} AS valid FROM s"))
@@ -114,7 +114,7 @@ def _(spark, sf):
     return structured(spark, sf).select(*KEY, "zone", "tag", st.zone_accepts_wildcard("tag", "zone").alias("valid"))
 
 
-ZONE_ROWS = [(z, s) for z, names in fixed.default_zone_styles().items() for s in names]
+ZONE_ROWS = [(z, s) for z, names in sb.ZONES.items() for s in names]
 
 
 @query("zone_summary", ss.with_structure(f""", zr AS (SELECT zone, style FROM {sb.values(ZONE_ROWS, 'zone, style')}),
@@ -126,7 +126,7 @@ def _(spark, sf):
     from folioscope.operators.dimensions import zone_summary
 
     found = structured(spark, sf).groupBy("zone").agg(F.count("*").alias("rows_in_zone"))
-    return zone_summary(found)
+    return zone_summary(found, sb.ZONES)
 
 
 @query("render_lines", ss.with_structure("""SELECT doc_id, para_id, '[' || para_id || ']' || CASE WHEN hints = '' THEN '' ELSE ' [' || hints || ']' END || ' ' ||

@@ -192,10 +192,25 @@ def list_tag(kind: str, pos: str, zone: str, box: str, bullet_like: str, base: s
       END) || '-' || {pos} END"""
 
 
+def _starting(*prefixes: str) -> list[str]:
+    return [n for n in VOCAB.names if n.startswith(prefixes)] + ["PMI"]
+
+
+#: Zone lists of the checks, by rule from the vocabulary; other zones accept all.
+ZONES = {
+    "METADATA": _starting("H2"),
+    "FRONT_MATTER": _starting("C", "OBJ", "KT", "H2", "H3", "TXT"),
+    "TABLE": [n for n in _starting("T", "UNT") if not n.startswith("TXT")],
+    **{f"BOX_{f}": _starting(f"{f}-") for f in ("NBX", "BX1", "BX2", "BX3", "BX4")},
+    "BACK_MATTER": _starting("REF", "SR", "BIB", "FIG", "UNFIG", "EOC", "APX", "BM", "TFN", "TSN"),
+    "EXERCISE": _starting("EXER"),
+}
+
+
 def exact_zone_ok(tag: str, zone: str, styles=None) -> str:
     whens = " ".join(
         f"WHEN {zone} = {lit(z)} THEN ({tag} IN {in_list(s)} OR rtrim({tag}, '0123456789') IN {in_list(s)})"
-        for z, s in (styles or fixed.default_zone_styles()).items()
+        for z, s in (styles or ZONES).items()
     )
     return f"(CASE {whens} ELSE TRUE END)"
 

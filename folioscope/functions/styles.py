@@ -248,10 +248,13 @@ def zone_accepts_exact(
 ) -> Column:
     """Exact list test, a second time without trailing digits; unknown zones accept.
 
-    Takes column names; the whole test is one expression.
+    The lists are a parameter (``sources.vocabulary.load_zone_rules``); without
+    any every zone accepts.  Takes column names; the test is one expression.
     """
+    if not zone_styles:
+        return F.lit(True)
     cases = []
-    for name, styles in (zone_styles or fixed.default_zone_styles()).items():
+    for name, styles in zone_styles.items():
         listed = ", ".join(quoted(s) for s in styles)
         cases.append(
             f"WHEN {quoted(name)} THEN `{tag}` IN ({listed}) "

@@ -55,6 +55,30 @@ def load_aliases(aliases: DataFrame) -> DataFrame:
     ).where((F.col("raw") != "") & (F.col("canonical") != ""))
 
 
+MOST_ZONE_RULES = 50_000
+
+
+def load_zone_rules(rules: DataFrame) -> dict[str, list[str]]:
+    """Zone -> allowed styles from a table (zone, style), normalised.
+
+    A zone without rows is unrestricted.  The table is a dimension: distinct
+    rows are counted, and too many raise an error instead of being cut.
+    """
+    rows = (
+        rules.select(F.upper(strip_blank(F.col("zone"))).alias("zone"), normalize_style(F.col("style")).alias("style"))
+        .where((F.col("zone") != "") & (F.col("style") != ""))
+        .distinct()
+        .limit(MOST_ZONE_RULES + 1)
+        .collect()
+    )
+    if len(rows) > MOST_ZONE_RULES:
+        raise ValueError(f"more than {MOST_ZONE_RULES} zone rules")
+    found: dict[str, list[str]] = {}
+    for r in sorted(rows):
+        found.setdefault(r["zone"], []).append(r["style"])
+    return found
+
+
 def casefold_lookup(values: DataFrame, column: str = "style") -> DataFrame:
     """(folded, original) for folded names that only one original maps to."""
     return (

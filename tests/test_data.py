@@ -44,7 +44,7 @@ def test_every_query_has_a_name_and_most_have_sql():
 
 
 def test_one_exchange_for_the_whole_chain(spark):
-    plan = structure_corpus(ov.given(spark, SF), sb.VOCAB)._jdf.queryExecution().executedPlan().toString()
+    plan = structure_corpus(ov.given(spark, SF), sb.VOCAB, sb.ZONES)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert "Python" not in plan and "CartesianProduct" not in plan
 
@@ -55,7 +55,7 @@ def test_bucketed_documents_need_no_exchange(spark):
     try:
         rows = paragraphs(spark.table("bucketed_documents")).withColumns(
             {"tag": F.lit("TXT"), "confidence": F.lit(0.8)})
-        plan = structure_corpus(rows, sb.VOCAB)._jdf.queryExecution().executedPlan().toString()
+        plan = structure_corpus(rows, sb.VOCAB, sb.ZONES)._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan
     finally:
         spark.sql("DROP TABLE bucketed_documents")

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from folioscope import fixed
 from folioscope.functions import styles as st
+from folioscope.sources.vocabulary import load_zone_rules
 
 NAMES = {
     "  H1 ": "H1", "SK_H2": "TH2", "TBL-H5": "TH5", "T-DIR": "T", "EFP_H1": "H1",
@@ -36,7 +37,10 @@ def test_semantic_remap(spark, allowed, tag, expected):
 def test_zone_tables(spark):
     rows = [("T", "TABLE"), ("T9", "TABLE"), ("H1", "TABLE"), ("H1", "BODY"), ("ZZ", "BOX_EXER"), ("EOC-BL-MID", "BACK_MATTER")]
     df = spark.createDataFrame(rows, "tag string, zone string")
-    exact = [r[0] for r in df.select(st.zone_accepts_exact("tag", "zone")).collect()]
+    listed = spark.createDataFrame([("table", " T "), ("TABLE", "T"), ("BACK_MATTER", "EOC-BL-MID")], "zone string, style string")
+    rules = load_zone_rules(listed)
+    assert rules == {"TABLE": ["T"], "BACK_MATTER": ["EOC-BL-MID"]}
+    exact = [r[0] for r in df.select(st.zone_accepts_exact("tag", "zone", rules)).collect()]
     wild = [r[0] for r in df.select(st.zone_accepts_wildcard("tag", "zone")).collect()]
     assert exact == [True, True, False, True, True, True]
     assert wild == [True, False, False, True, True, True]
