@@ -24,7 +24,8 @@ def source_targets(
     times its source's size and the excess is shared again by weight.  This
     water level has a closed form: in order of ``most * size / weight`` the
     first sources are full, and the level is what is left over the weights
-    that are left.
+    that are left.  Of the sources that are not full the first gives the
+    highest level, so ties in the order do no harm.
 
     The windows run over one row per source, not over documents.
     """
@@ -41,15 +42,19 @@ def source_targets(
         sizes.withColumn("_weight", turn)
         .withColumn("_full_at", cap / F.col("_weight"))
         .withColumn("_level", level)
-        .withColumn("_level", F.min_by("_level", F.when(F.col("_level").isNotNull(), F.col("_full_at"))).over(every))
+        .withColumn("_level", F.max("_level").over(every))
         .withColumn("target", F.least(cap, F.coalesce(F.col("_weight") * F.col("_level"), cap)))
         .select("source", "source_size", "target")
     )
 
 
 def draw(identity: Column, seed: int) -> Column:
-    """A uniform number in [0, 1) fixed by the identity and the seed."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), identity), 11) / F.lit(float(1 << 53))
+    """A uniform number in [0, 1) fixed by the identity and the seed.
+
+    The first 52 bits of an MD5 digest, which any SQL engine can draw again.
+    """
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), identity))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def measured(docs: DataFrame) -> DataFrame:

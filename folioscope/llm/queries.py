@@ -72,4 +72,36 @@ ORACLES = {
                doc_id = min(doc_id) OVER g AS kept, sha256(t) AS text_sha256
         FROM n WINDOW g AS (PARTITION BY t)
     """,
+    "op7_source_mix": r"""
+        WITH d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                   coalesce(CAST(doc_id AS VARCHAR), 'text:' || sha256(coalesce(text, ''))) AS identity
+            FROM documents
+        ), sized AS (
+            SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
+        ), weighed AS (
+            SELECT *, CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight,
+                   source_size * CAST(2 AS DOUBLE) AS cap
+            FROM sized
+        ), levels AS (
+            SELECT *, cap / weight AS full_at,
+                   (sum(source_size) OVER () * CAST(1.5 AS DOUBLE) - coalesce(sum(cap) OVER (
+                        ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                   / sum(weight) OVER (
+                        ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+            FROM weighed
+        ), targets AS (
+            SELECT source, source_size,
+                   least(cap, coalesce(weight * max(CASE WHEN level <= full_at THEN level END) OVER (), cap)) AS target
+            FROM levels
+        ), rated AS (
+            SELECT d.doc_id, d.size, d.identity, t.source_size, t.target,
+                   CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
+                   CAST('0x' || substr(md5('7:' || d.identity), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) AS drawn
+            FROM d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+        )
+        SELECT doc_id, size, source_size, target,
+               size * CAST(floor(rate) + CASE WHEN drawn < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS taken
+        FROM rated
+    """,
 }

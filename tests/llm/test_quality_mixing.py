@@ -64,7 +64,7 @@ def water(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
         open_ -= full
 
 
-@pytest.mark.parametrize("sizes", [{"a": 10, "b": 1000, "c": 5, "d": 0}, {"a": 1, None: 50, "Z": 7, "é": 300}, {"only": 8}, {"x": 0, "y": 0}])
+@pytest.mark.parametrize("sizes", [{"a": 10, "b": 1000, "c": 5, "d": 0}, {"a": 1, None: 50, "Z": 7, "é": 300}, {"only": 8}, {"x": 0, "y": 0}, {"a": 1000, "b": 10, "c": 10, "d": 1000}])
 def test_targets_fill_like_water(spark, sizes):
     rows = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
     got = {r.source: r.target for r in mixing.source_targets(rows).collect()}
