@@ -51,9 +51,11 @@ def _fingerprints(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = np.array(
-                [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", width) for t in batch.column(1)], dtype=np.uint64
+                [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", width) for t in batch.column(2)], dtype=np.uint64
+            )
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(made.view(np.int64))], names=["doc_id", "text_key", "fp"]
             )
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], names=["doc_id", "fp"])
 
     return run
 
@@ -192,6 +194,24 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
     )
 
 
+def _components(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text_key, fp), and each fingerprint with its component.
+
+    ``least`` is a component's first row: ids before nulls, smallest first,
+    then by the hash of the text.
+    """
+    keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
+    rows = through_table(keyed.mapInArrow(_fingerprints(width), "doc_id long, text_key long, fp long"), "fingerprints")
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
+    distinct = through_table(rows.groupBy("fp").agg(F.min(first).alias("least"), F.count("*").alias("n")), "distinct-fp")
+    roots = connected(fingerprint_links(distinct))
+    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
+        "fp", "n", "least", F.coalesce("root", "fp").alias("root")
+    )
+    whole = rooted.groupBy("root").agg(F.min("least").alias("least"), F.sum("n").alias("component_size"))
+    return rows, through_table(rooted.drop("least").join(whole, "root"), "fp-components")
+
+
 def near_components(docs: DataFrame, width: int = 3) -> DataFrame:
     """One row per document: doc_id, fp (signed long), component_id, component_size.
 
@@ -203,28 +223,25 @@ def near_components(docs: DataFrame, width: int = 3) -> DataFrame:
     where all are null, so is component_id.  Copies meet once, as one
     fingerprint, so their pairs are never made.  An empty table gives no rows.
     """
-    rows = through_table(docs.select("doc_id", "text").mapInArrow(_fingerprints(width), "doc_id long, fp long"), "fingerprints")
-    distinct = through_table(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct-fp")
-    roots = connected(fingerprint_links(distinct))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
-        "fp", "n", "least", F.coalesce("root", "fp").alias("root")
-    )
-    whole = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size"))
-    named = through_table(rooted.join(whole, "root").select("fp", "n", "component_id", "component_size"), "fp-components")
-    total = distinct.agg(F.sum("n")).first()[0] or 0
-    return attach_groups(rows, named, "fp", "n", total).select("doc_id", "fp", "component_id", "component_size")
+    rows, found = _components(docs, width)
+    named = found.select("fp", "n", F.col("least.doc_id").alias("component_id"), "component_size")
+    total = found.agg(F.sum("n")).first()[0] or 0
+    return attach_groups(rows.select("doc_id", "fp"), named, "fp", "n", total).select("doc_id", "fp", "component_id", "component_size")
 
 
 def drop_near(docs: DataFrame, width: int = 3) -> DataFrame:
     """One document of each component: the one with the smallest doc_id.
 
-    A component without any id keeps one of its rows; of rows that repeat the
-    id, one stays.  All columns are unchanged.
+    A component without any id keeps one of its rows, and of rows that repeat
+    the id the one whose text has the smallest hash, so an id that stands for
+    several texts stays once for each component that it is first of.  All
+    columns are unchanged.
     """
-    found = near_components(docs.select("doc_id", "text"), width)
-    own, turn = free_names(docs, "near_id", "near_turn")
-    keep = found.groupBy("component_id").agg(F.count("*").alias("_n"))
-    some = keep.select(F.coalesce(F.col("component_id").cast("string"), F.lit("")).alias(own)).distinct()
-    rows = docs.withColumn(own, F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    first = F.row_number().over(Window.partitionBy(own).orderBy(F.xxhash64("text")))
-    return rows.join(some, own, "left_semi").withColumn(turn, first).where(F.col(turn) == 1).select(*docs.columns)
+    _, found = _components(docs, width)
+    own, key, turn = free_names(docs, "near_id", "near_key", "near_turn")
+    named = F.coalesce(F.col("least.doc_id").cast("string"), F.lit(""))
+    keep = found.select(named.alias(own), F.col("least.text_key").alias(key)).distinct()
+    name = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))
+    rows = docs.withColumn(own, name).withColumn(key, F.xxhash64("text"))
+    first = F.row_number().over(Window.partitionBy(own, key).orderBy(own))
+    return rows.join(keep, [own, key], "left_semi").withColumn(turn, first).where(F.col(turn) == 1).select(*docs.columns)

@@ -146,3 +146,11 @@ def test_drop_near_and_empty_tables(odd, nothing):
     assert kept.count() == len(components_)
     for made in (simhash.drop_near(nothing), exact.drop_exact(nothing), exact.exact_groups(nothing), simhash.near_components(nothing)):
         assert made.count() == 0
+
+
+def test_drop_near_loses_no_text_with_a_null_or_repeated_id(spark):
+    alone = [" ".join(f"{w}{k}" for k in range(12)) for w in ("red", "green", "blue", "grey")]
+    rows = [(None, alone[0]), (None, alone[1]), (7, alone[2]), (7, alone[3]), (7, alone[3]), (None, alone[2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in simhash.drop_near(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(None, alone[0]), (None, alone[1]), (7, alone[2]), (7, alone[3])], key=str)
