@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.common import attach_groups, free_names
 from folioscope.llm.components import connected
+from folioscope.llm.resemblance import matching_rows, near_keepers
 from folioscope.session import through_table
 
 SEED = 42
@@ -21,6 +22,8 @@ WIDTH = BITS // SEGMENTS
 #: Budget of differing bits.  The layout below is for 4 segments and 3 bits:
 #: in proportion, a chain of 1, 2, 3, 4 segments may differ in 0, 1, 2, 3 bits.
 LIMIT = 3
+#: Words of a shingle in the near-duplicate stage; op9's fingerprints take 3.
+NEAR_WIDTH = 5
 #: Runs above this many fingerprints are divided by a third segment.
 RUN = 8192
 STEP = 1 << 16
@@ -229,19 +232,18 @@ def near_components(docs: DataFrame, width: int = 3) -> DataFrame:
     return attach_groups(rows.select("doc_id", "fp"), named, "fp", "n", total).select("doc_id", "fp", "component_id", "component_size")
 
 
-def drop_near(docs: DataFrame, width: int = 3) -> DataFrame:
-    """One document of each component: the one with the smallest doc_id.
+def drop_near(docs: DataFrame, width: int = NEAR_WIDTH) -> DataFrame:
+    """One document of each near-duplicate component: the one with the smallest doc_id.
 
-    A component without any id keeps one of its rows, and of rows that repeat
-    the id the one whose text has the smallest hash, so an id that stands for
-    several texts stays once for each component that it is first of.  All
-    columns are unchanged.
+    Near means a Jaccard similarity of at least 0.8 of the sets of shingles of
+    ``width`` words (see resemblance), not the fingerprints of op9, whose 3 bits
+    of 64 hold only what is almost equal.  A component without any id keeps one
+    of its rows, and of rows that repeat the id the one whose text has the
+    smallest hash, so an id that stands for several texts stays once for each
+    component that it is first of.  All columns are unchanged.
     """
-    _, found = _components(docs, width)
-    own, key, turn = free_names(docs, "near_id", "near_key", "near_turn")
-    named = F.coalesce(F.col("least.doc_id").cast("string"), F.lit(""))
-    keep = found.select(named.alias(own), F.col("least.text_key").alias(key)).distinct()
-    name = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit(""))
-    rows = docs.withColumn(own, name).withColumn(key, F.xxhash64("text"))
+    rows = matching_rows(docs, near_keepers(docs, width))
+    own, key = rows.columns[-2:]
+    (turn,) = free_names(rows, "near_turn")
     first = F.row_number().over(Window.partitionBy(own, key).orderBy(own))
-    return rows.join(keep, [own, key], "left_semi").withColumn(turn, first).where(F.col(turn) == 1).select(*docs.columns)
+    return rows.withColumn(turn, first).where(F.col(turn) == 1).select(*docs.columns)
