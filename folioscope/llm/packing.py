@@ -14,13 +14,10 @@ from folioscope.llm.tokens import default_tokenizer, encoder, utf8
 from folioscope.session import through_table
 
 CAPACITY = 2048
-#: Pieces that a group packs at first, and groups that merge in a round.
+#: Pieces that a group packs at first, and underfull bins in later rounds.
 GROUP = 8192
-FAN_IN = 8
-#: A bin this full goes out at once; of the others at most LEFT for a group,
-#: the emptiest, are tried again, so what a merging group sees is bounded.
+#: A bin this full goes out at once; all others are tried again.
 NEARLY_FULL = 0.98
-LEFT = 4096
 
 ITEM = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
@@ -84,12 +81,15 @@ def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int], i
 
 
 def _pack_group(level: int, last: bool, capacity: int, schema: str):
-    """Packs what a group holds: pieces at first, underfull bins later."""
+    """Packs what a group holds: pieces at first, underfull bins later.
+
+    A bin that is made of bins keeps the id of the first of them.
+    """
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         lengths = table.column("length").to_numpy().astype(np.int64)
         if level:
-            _, item = np.unique(table.column("sequence_id").to_numpy(), return_inverse=True)
+            ids, item = np.unique(table.column("sequence_id").to_numpy(), return_inverse=True)
             inner = table.column("offset").to_numpy()
         else:
             item, inner = np.arange(len(lengths)), np.zeros(len(lengths), np.int64)
@@ -100,18 +100,19 @@ def _pack_group(level: int, last: bool, capacity: int, schema: str):
         bin_of[order], offset_of[order] = where, place
         fill = np.bincount(bin_of, weights=sizes, minlength=bins)
         open_ = (fill < NEARLY_FULL * capacity) & (not last)
-        if open_.sum() > LEFT:
-            emptiest = np.flatnonzero(open_)[np.argsort(fill[open_], kind="stable")[:LEFT]]
-            open_ = np.zeros(bins, bool)
-            open_[emptiest] = True
         own = bin_of[item]
         group = key[0].as_py()
+        if level:
+            first = np.empty(bins, np.int64)
+            first[np.asarray(where[::-1], int)] = order[::-1]
+            named = ids[first]
+        else:
+            named = (group << 27) | np.arange(bins)
         columns = {n: table.column(n) for n in table.column_names}
         columns |= {
-            "sequence_id": pa.array((level << 58) | (group << 27) | own, pa.int64()),
+            "sequence_id": pa.array(named[own], pa.int64()),
             "offset": pa.array(offset_of[item] + inner, pa.int64()),
             "closed": pa.array(~open_[own], pa.bool_()),
-            "grp": pa.array(np.full(len(own), group), pa.int64()),
         }
         names = [f.split()[0] for f in schema.split(", ")]
         return pa.table([columns[n] for n in names], names=names)
@@ -124,24 +125,29 @@ def pack_items(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -
 
     Items are dealt to groups by row, not by key, so repeated documents spread
     out.  Each group packs its items by best fit in order of decreasing
-    length.  Nearly full bins are final; underfull ones go up a tree as items,
-    FAN_IN groups at a time, to be fitted together again, until one group is
-    left.  Every round is a table in the shared folder.
+    length.  Nearly full bins are final; all underfull ones are dealt anew, as
+    items, to as many groups of ``group`` bins as they need, until they fit
+    one group or a round saves no bin.  Every round is a table in the shared
+    folder.
     """
     fields = ", ".join(f"{n} {k}" for n, k in ((f.name, f.dataType.simpleString()) for f in items.schema.fields))
-    schema = fields.replace("bigint", "long") + ", sequence_id long, offset long, closed boolean, grp long"
-    groups = max(1, -(-items.count() // group))
-    rows = items.withColumn("grp", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+    schema = fields.replace("bigint", "long") + ", sequence_id long, offset long, closed boolean"
+    held = items.count()  # pieces, then underfull bins
+    rows, key = items, F.monotonically_increasing_id()
     final, level = [], 0
     while True:
+        groups = max(1, -(-held // group))
+        dealt = rows.withColumn("grp", F.pmod(F.xxhash64(key, F.lit(level)), F.lit(groups)))
         packed = through_table(
-            rows.groupBy("grp").applyInArrow(_pack_group(level, groups == 1, capacity, schema), schema), f"packed-{level}"
+            dealt.groupBy("grp").applyInArrow(_pack_group(level, groups == 1, capacity, schema), schema), f"packed-{level}"
         )
-        final.append(packed.where("closed").drop("closed", "grp"))
-        if groups == 1:
+        bins = packed.where("offset = 0")  # each bin begins once
+        made, left = bins.agg(F.count("*"), F.count_if(~F.col("closed"))).first()
+        if not left or (level and made == held):
+            final.append(packed.drop("closed"))
             break
-        groups, level = -(-groups // FAN_IN), level + 1
-        rows = packed.where("not closed").withColumn("grp", F.floor(F.col("grp") / FAN_IN))
+        final.append(packed.where("closed").drop("closed"))
+        rows, key, held, level = packed.where("not closed"), F.col("sequence_id"), left, level + 1
     out = final[0]
     for more in final[1:]:
         out = out.unionByName(more)
