@@ -135,8 +135,9 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sam
     """Fit the chain on labelled documents; None if there are none.
 
     ``labels`` has doc_id and one 0/1 column per category; rows with a null
-    are left out, of repeated ids the largest value counts.  The sample's
-    features go to one task, bounded by ``sample``; only the weights return.
+    are left out, of repeated ids the largest value counts, and of several
+    texts the one with the smallest hash.  The sample's features, one row for
+    each id, go to one task, bounded by ``sample``; only the weights return.
     """
     clean = labels.select("doc_id", *[F.col(c).cast("int").alias(f"y{i}") for i, c in enumerate(categories)]).dropna()
     clean = clean.groupBy("doc_id").agg(*[F.max(f"y{i}").alias(f"y{i}") for i in range(len(categories))])
@@ -144,7 +145,8 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: Sequence[str], sam
     share = 1 << 20 if known <= sample else int((1 << 20) * sample / known)
     drawn = clean.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share)
     ys = [f"y{i}" for i in range(len(categories))]
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "doc_id", *ys)
+    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("doc_id", *ys)
+    rows = rows.agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "doc_id", *ys)
     made = rows.mapInArrow(_features, "ids binary, doc_id long, " + ", ".join(f"{y} int" for y in ys))
     found = (
         made.groupBy(F.lit(0).alias("all"))
