@@ -95,7 +95,7 @@ def _combine(limit: int):
 
 
 def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Owner of key ranges: rows come in order of bucket and key.
+    """Entries of the keys a task holds: rows come in order of bucket and key.
 
     All texts of one key form a chain; a row joins the member whose bytes
     equal its own or becomes a new member.
@@ -138,8 +138,8 @@ def build_index(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, key_bits: int
     entries: one row per distinct normalised text (bucket, key, chain,
     text_sha256, keep_id, group_size).  A pass over keys alone sizes the
     buckets.  Each task then combines its own copies, so a text that a third
-    of all rows share reaches its owner once per task; owners stream their key
-    ranges in order.  ``key_bits`` under 64 forces collisions, for tests.
+    of all rows share reaches one task once per task; rows are placed by a plain hash
+    of bucket and key, not by bucket, and streamed in order.  ``key_bits`` under 64 forces collisions, for tests.
     """
     spark = docs.sparkSession
     norm = normalised(F.col("text"))
