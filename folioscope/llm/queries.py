@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import exact, html, lm, mixing, packing, quality, records, simhash, toxicity, urls
+from folioscope.llm import exact, html, lm, mixing, packing, phrases, quality, records, search, simhash, toxicity, urls, vectors
 from folioscope.llm.common import table
 
 
@@ -55,11 +55,23 @@ def op10_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.stored_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_collocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.linked_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_url_rules, op2_exact_dedup, op3_quality_vote, op4_interpolated_lm, op5_main_text, op6_toxicity_chain,
-        op7_source_mix, op8_best_fit_packing, op9_simhash_ring, op10_binary_records,
+        op7_source_mix, op8_best_fit_packing, op9_simhash_ring, op10_binary_records, op11_phrase_collocation, op12_embedding_dedup, op13_lexical_search,
     )
 }
 
@@ -104,4 +116,94 @@ ORACLES = {
                size * CAST(floor(rate) + CASE WHEN drawn < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS taken
         FROM rated
     """,
+    "op11_phrase_collocation": r"""
+        WITH texts AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+            FROM documents
+        ), pieces AS (
+            SELECT lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') AS ws
+            FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS p FROM texts)
+        ), grams AS (
+            SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS g
+            FROM pieces, (SELECT unnest([1, 2, 3, 4]) AS k)
+        ), counts AS (
+            SELECT lang, k, g, CAST(count(*) AS BIGINT) AS f FROM grams GROUP BY lang, k, g
+        ), totals AS (
+            SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE k = 1 GROUP BY lang
+        ), often AS (
+            SELECT *, string_split(g, ' ') AS ws FROM counts WHERE f >= 30
+        ), cut AS (
+            SELECT c.lang, c.g, c.f AS a, c.k AS words, j.k AS k, l.f AS l, r.f AS r,
+                   CAST(CAST(2000000 AS HUGEINT) * c.f // (CAST(l.f AS HUGEINT) + r.f) AS BIGINT) AS score
+            FROM often c JOIN (SELECT unnest([1, 2, 3]) AS k) j ON j.k < c.k
+            JOIN often l ON l.lang = c.lang AND l.g = array_to_string(c.ws[1:j.k], ' ')
+            JOIN often r ON r.lang = c.lang AND r.g = array_to_string(c.ws[j.k + 1:], ' ')
+        ), best AS (
+            SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1
+        ), inside AS (
+            SELECT lang, f, array_to_string(ws[i:i + m - 1], ' ') AS g
+            FROM often, (SELECT unnest([1, 2, 3]) AS i), (SELECT unnest([2, 3]) AS m)
+            WHERE m < k AND i + m - 1 <= k
+        ), covering AS (
+            SELECT lang, g, max(f) AS f FROM inside GROUP BY lang, g
+        ), kept AS (
+            SELECT b.* FROM best b LEFT JOIN covering c ON c.lang = b.lang AND c.g = b.g
+            WHERE c.f IS NULL OR CAST(100 AS HUGEINT) * c.f < CAST(80 AS HUGEINT) * b.a
+        )
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g COLLATE C) AS rank,
+               g AS phrase, a, l, r, n, score
+        FROM kept JOIN totals USING (lang)
+        QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g COLLATE C) <= 2000
+    """,
+    "op12_embedding_dedup": r"""
+        WITH RECURSIVE every AS (
+            SELECT row_number() OVER () AS i, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+        ), v AS (
+            SELECT * FROM every
+            WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(e, lambda x: x <> 0)) > 0
+        ), link AS (
+            SELECT a.i AS a, b.i AS b FROM v a JOIN v b ON a.i <> b.i AND len(a.e) = len(b.e)
+            WHERE list_cosine_similarity(a.e, b.e) >= CAST(0.95 AS DOUBLE)
+        ), reach AS (
+            SELECT i AS a, i AS b FROM every UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b
+        ), least AS (
+            SELECT reach.a, min(every.vec_id) AS component_id FROM reach JOIN every ON every.i = reach.b GROUP BY reach.a
+        ), degree AS (
+            SELECT a, count(*) AS n_links FROM link GROUP BY a
+        )
+        SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+        FROM every JOIN least ON least.a = every.i LEFT JOIN degree ON degree.a = every.i
+    """,
+    "op13_lexical_search": r"""
+        WITH words AS (
+            SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+            FROM documents
+        ), size AS (
+            SELECT CAST(count(*) AS BIGINT) AS total, CAST(sum(len(ts)) AS BIGINT) AS length FROM words WHERE len(ts) > 0
+        ), tf AS (
+            SELECT row, doc_id, len(ts) AS n, t, count(*) AS tf FROM (SELECT row, doc_id, ts, unnest(ts) AS t FROM words) GROUP BY ALL
+        ), asked AS (
+            SELECT item, item_id, t, count(*) AS times
+            FROM (SELECT row_number() OVER () AS item, item_id, unnest(regexp_extract_all(
+                      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark)
+            GROUP BY ALL
+        ), weight AS (
+            SELECT t, CAST(floor(1000 * ln(CAST(2 * any_value(total) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+            FROM tf, size GROUP BY t
+        ), scored AS (
+            SELECT item, item_id, row, doc_id,
+                   CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * total) // length)))) AS BIGINT) AS score
+            FROM asked JOIN tf USING (t) JOIN weight USING (t), size
+            GROUP BY ALL
+        )
+        SELECT item_id, CAST(row_number() OVER best AS INTEGER) AS rank, doc_id, score
+        FROM scored WHERE score > 0
+        WINDOW best AS (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST)
+        QUALIFY row_number() OVER best <= 10
+    """,
 }
