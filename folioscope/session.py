@@ -74,7 +74,19 @@ def through_table(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared folder and read back: reuse without recompute."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.handover_path = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete hand-over tables that no later plan reads; other DataFrames are passed over."""
+    for df in tables:
+        path = getattr(df, "handover_path", None) if df is not None else None
+        if isinstance(path, str):
+            context = df.sparkSession.sparkContext
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
 BROADCAST_ROWS = 2_000_000
