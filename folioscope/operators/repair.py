@@ -311,12 +311,70 @@ ANCHORS = ["T1", "T2", "T4", "TFN", "TSN"]
 TABLE_LIST_TAGS = ["TBL-FIRST", "TBL-MID", "TBL-LAST"]
 
 
+#: Rows in which an anchor protects a float, and rows of a run (see _replayed).
+REACH = 10
+RUN = 64
+
+
+def _step_on(distance: Column, kind: Column) -> Column:
+    """Distance to the last anchor left, from the row before to this row.
+
+    ``distance`` counts up to REACH + 1, which means out of reach.
+    """
+    here = F.least(distance + 1, F.lit(REACH + 1))
+    return (
+        F.when(kind == 1, 0)
+        .when((kind == 2) & (here <= REACH), 0)
+        .when((kind == 3) & (here > REACH), 0)
+        .otherwise(here)
+        .cast("int")
+    )
+
+
+def _replayed(df: DataFrame) -> DataFrame:
+    """Decide the candidates of documents with contested rows in order.
+
+    The state between rows is one small number, the distance to the last
+    anchor left.  A row leaves an anchor always (1), if one is in reach (2), if
+    none is (3), or never (0).  The last row of each run of RUN rows holds
+    what the run makes of each state; these maps are followed from run to run,
+    and within its run each contested row follows the rows before it.  No row
+    carries more than one run, or as many maps as there are runs.
+    """
+    flag = C("_anchor").cast("int")
+    ahead = F.coalesce(F.sum(flag).over(ordered().rowsBetween(1, REACH)), F.lit(0)) > 0
+    df = df.withColumns({"_at": F.row_number().over(ordered()) - 1, "_ahead": ahead})
+    open_ = C("_cand") & ~C("_ahead")
+    stays = C("_new").isin(ANCHORS) | C("_new").startswith("FIG-")
+    kind = (
+        F.when(C("_anchor") & (~open_ | stays), 1).when(C("_anchor"), 2).when(open_ & stays, 3).otherwise(0).cast("tinyint")
+    )
+    replay = F.max(open_ & ~C("_anchor")).over(document())
+    df = df.withColumns({"_replay": replay, "_kind": kind})
+    df = df.withColumn("_run", F.collect_list(F.when(C("_replay"), C("_kind"))).over(ordered().rowsBetween(1 - RUN, 0)))
+    df = df.withColumn("_ends", C("_at") % RUN == RUN - 1)
+    states = F.array(*[F.lit(s).cast("int") for s in range(REACH + 2)])
+    whole = F.aggregate("_run", states, lambda held, k: F.transform(held, lambda s: _step_on(s, k)))
+    df = df.withColumn("_map", F.when(C("_replay") & C("_ends"), whole))
+    maps = F.collect_list("_map").over(Window.partitionBy("doc_id", "_ends").orderBy("para_id").rowsBetween(Window.unboundedPreceding, 0))
+    followed = F.aggregate(C("_maps"), F.lit(REACH + 1), lambda s, m: F.element_at(m, s + 1))
+    df = df.withColumn("_maps", maps).withColumn("_after", F.when(C("_map").isNotNull(), followed))
+    df = df.withColumn("_start", F.coalesce(F.last("_after", ignorenulls=True).over(before()), F.lit(REACH + 1)))
+    inside = F.slice("_run", -(C("_at") % RUN + 1), C("_at") % RUN)
+    distance = F.aggregate(inside, C("_start"), _step_on) + 1
+    down = F.when(C("_replay") & C("_cand"), ~C("_ahead") & (distance > REACH)).otherwise(C("_down"))
+    return df.withColumn("_down", down).drop(
+        "_at", "_ahead", "_replay", "_kind", "_run", "_ends", "_map", "_maps", "_after", "_start"
+    )
+
+
 def check_anchors(df: DataFrame, vocabulary: Vocabulary, exact: bool = True) -> DataFrame:
     """Downgrade back-matter floats with no figure or table tag within ten rows.
 
     Two anchors in reach protect each other, so a window on the incoming tags
     decides every row but the table-list ones, which see downgrades made
-    before them.  ``exact`` replays those documents' few anchor rows in order.
+    before them.  ``exact`` decides these in documents that have any by the
+    distance to the last anchor that is left, in time linear in the rows.
     """
     anchor = C("tag").startswith("FIG-") | C("tag").isin(ANCHORS)
     candidate = (C("zone") == "BACK_MATTER") & (anchor | C("tag").isin(TABLE_LIST_TAGS))
@@ -325,46 +383,10 @@ def check_anchors(df: DataFrame, vocabulary: Vocabulary, exact: bool = True) ->
     new = F.when(C("in_ref") | (C("zone") == "REFERENCE"), in_refs).otherwise(elsewhere)
     df = df.withColumns({"_anchor": anchor, "_cand": candidate, "_new": new})
     flag = C("_anchor").cast("int")
-    near = F.sum(flag).over(ordered().rowsBetween(-10, 10)) - flag
+    near = F.sum(flag).over(ordered().rowsBetween(-REACH, REACH)) - flag
     df = df.withColumn("_down", C("_cand") & (near == 0))
     if exact:
-        ahead = F.coalesce(F.sum(flag).over(ordered().rowsBetween(1, 10)), F.lit(0)) > 0
-        df = df.withColumns({"_at": F.row_number().over(ordered()), "_ahead": ahead})
-        contested = C("_cand") & ~C("_anchor") & ~C("_ahead")
-        df = df.withColumn("_replay", F.max(contested).over(document()))
-        stays = C("_new").isin(ANCHORS) | C("_new").startswith("FIG-")
-        event = F.struct(
-            C("_at").alias("at"),
-            C("_cand").alias("cand"),
-            C("_anchor").alias("anchor"),
-            C("_ahead").alias("ahead"),
-            stays.alias("stays"),
-        )
-        relevant = C("_replay") & (C("_anchor") | C("_cand"))
-        df = df.withColumn(
-            "_events", F.collect_list(F.when(relevant, event)).over(document())
-        )
-
-        def replay(state: Column, e: Column) -> Column:
-            keep = ~e["cand"] | e["ahead"] | (e["at"] - state["last"] <= 10)
-            is_anchor = F.when(keep, e["anchor"]).otherwise(e["stays"])
-            return F.struct(
-                F.when(is_anchor, e["at"]).otherwise(state["last"]).alias("last"),
-                F.when(keep, state["down"])
-                .otherwise(F.array_append(state["down"], e["at"]))
-                .alias("down"),
-            )
-
-        start = F.struct(
-            F.lit(-100).alias("last"), F.array().cast("array<int>").alias("down")
-        )
-        fallen = F.aggregate("_events", start, replay, lambda s: s["down"])
-        df = df.withColumn(
-            "_down",
-            F.when(C("_replay") & C("_cand"), F.array_contains(fallen, C("_at"))).otherwise(
-                C("_down")
-            ),
-        ).drop("_at", "_ahead", "_replay", "_events")
+        df = _replayed(df)
     return _amend(df, C("_down"), C("_new"), "zone-backmatter-downgrade").drop(
         "_anchor", "_cand", "_new", "_down"
     )
