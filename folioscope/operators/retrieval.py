@@ -1,14 +1,16 @@
 """Similar gold examples: TF-IDF postings, top-k, diverse picks, k-NN tags.
 
 Postings keep (doc_id, para_id) and the labels that a retrieval may ask for,
-so on input placed by doc_id the token counts, norms and score sums need no
-further exchange.  The best k are taken where the scores are, so of those only
-k rows per query and task move.
+so on input placed by doc_id the token counts and norms need no further
+exchange.  A query is first asked with its rarest tokens; the score that this
+reaches tells which other tokens can still bring an example among the best k,
+and the rest is only looked up for examples that the bounds leave.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +22,7 @@ from folioscope.session import BROADCAST_ROWS, checked_lookup, through_table
 
 EXAMPLE = ["doc_id", "para_id"]
 SCORE_PLACES = 9  # equal texts must tie whatever the summation order
+BOOST = 1.2  # of examples from the query's own book
 
 
 def token_counts(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -55,23 +58,35 @@ def weighted(
 class ExampleIndex:
     """Weighted postings of the usable gold rows.
 
-    Token counts are written to the shared folder once, with the columns in
-    ``carry`` (names, zones, tags that later restrict or raise examples);
-    document counts, weights and every retrieval read them from there.
+    Token counts and postings are written to the shared folder once, with the
+    columns in ``carry`` (names, zones, tags that later restrict or raise
+    examples); every retrieval reads them from there.
     """
 
     def __init__(self, examples: DataFrame, scale: str = "ratio", carry: Sequence[str] = ()):
         self.examples = examples
         self.carry = tuple(carry)
-        counts = through_table(token_counts(examples, [*EXAMPLE, *carry]), "token-counts")
-        self.idf = inverse_frequency(counts, examples.count(), scale)
-        self.postings = weighted(counts, self.idf, EXAMPLE, also=carry)
+        self.counts = through_table(token_counts(examples, [*EXAMPLE, *carry]), "token-counts")
+        self.idf = inverse_frequency(self.counts, examples.count(), scale)
+        self.postings = weighted(self.counts, self.idf, EXAMPLE, also=carry)
+
+    @cached_property
+    def impacts(self) -> DataFrame:
+        """(EXAMPLE, carry, token, share): weights divided by the example's norm."""
+        share = (F.col("w") / F.col("norm")).alias("share")
+        return through_table(self.postings.select(*EXAMPLE, *self.carry, "token", share), "postings")
+
+    @cached_property
+    def tops(self) -> DataFrame:
+        """(token, df, idf, top): the largest share of each token bounds what it can add."""
+        rows = self.impacts.groupBy("token").agg(F.max("share").alias("top"))
+        return through_table(rows.join(self.idf, "token"), "token-tops")
 
 
 def _meet(postings: DataFrame, queries: DataFrame, on: list[str], salts: int = 64) -> DataFrame:
-    """Postings joined to query postings on the token.
+    """Postings joined to query rows.
 
-    Query postings within the bound are broadcast; beyond it both sides are
+    Query rows within the bound are broadcast; beyond it both sides are
     salted, so a token that sits in every row spreads over ``salts`` tasks.
     """
     if queries.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
@@ -81,6 +96,66 @@ def _meet(postings: DataFrame, queries: DataFrame, on: list[str], salts: int = 6
     return postings.withColumn("_salt", salt).join(wide, [*on, "_salt"]).drop("_salt")
 
 
+#: Slack for sums in another order, far below the places that scores keep.
+SLACK = 1e-7
+
+
+def _asked(queries: DataFrame, index: ExampleIndex, key: list[str], keep: list[str], text: str, names: dict[str, str]) -> DataFrame:
+    """Query tokens that examples know: a (share of the query's norm), bound on
+    what the token adds to any score, df of all tokens before it and
+    the bound of it and all after it, in the order of falling bounds."""
+    counts = token_counts(queries, [*key, *keep], text)
+    rows = checked_lookup(counts, index.tops, "token", "inner", F.xxhash64(*key))
+    one = Window.partitionBy(*names.values())
+    rows = rows.select(
+        *[F.col(c).alias(n) for c, n in names.items()],
+        *[F.col(c).alias(f"_q_{c}") for c in keep],
+        "token", "df", "top", (F.col("tf") * F.col("idf")).alias("_wq"),
+    ).withColumn("_a", F.col("_wq") / F.sqrt(F.sum(F.col("_wq") * F.col("_wq")).over(one)))
+    turn = one.orderBy(F.desc("_bound"), "token")
+    return (
+        rows.withColumn("_bound", F.col("_a") * F.col("top"))
+        .withColumn("_met", F.coalesce(F.sum("df").over(turn.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .withColumn("_rest", F.sum("_bound").over(turn.rowsBetween(0, Window.unboundedFollowing)))
+        .drop("_wq", "df", "top")
+    )
+
+
+def candidates(
+    index: ExampleIndex, postings: DataFrame, asked: DataFrame, names: list[str], on: list[str], k: int, boost: float, floor: float
+) -> tuple[DataFrame, DataFrame]:
+    """What can be among the best k: (query, EXAMPLE, _s) sums of the deciding tokens, and all query tokens.
+
+    The tokens of highest bound are met first, up to a few examples for each
+    place.  The k-th best sum is a score that k examples reach at least, so
+    tokens whose bounds together stay below it cannot bring in an example
+    alone: they are not joined.  Of the examples that the others bring, those
+    stay whose sum and the bounds left reach it.  Query tokens get ``_reach``,
+    and ``_late`` where they are yet to be added.
+    """
+    first = asked.where(F.col("_met") < 16 * k + 64).select(*names, "token", *on[1:], "_a")
+    sums = _meet(postings, first, on).groupBy(*names, *EXAMPLE).agg(F.sum(F.col("_a") * F.col("share")).alias("_s"))
+    best = Window.partitionBy(*names).orderBy(F.desc("_s"))
+    kth = sums.withColumn("_n", F.row_number().over(best)).where(F.col("_n") == k).select(*names, F.col("_s").alias("_reach"))
+    kth = through_table(kth, "reached")
+    least = F.greatest(F.coalesce("_reach", F.lit(0.0)), F.lit(floor)) - SLACK
+    marked = through_table(
+        asked.join(F.broadcast(kth) if kth.count() <= BROADCAST_ROWS else kth, names, "left").withColumn("_reach", least)
+        .withColumn("_late", boost * F.col("_rest") < F.col("_reach")),
+        "query-tokens",
+    )
+    early = marked.where(~F.col("_late"))
+    left = marked.groupBy(*names).agg(
+        F.max("_reach").alias("_reach"), F.coalesce(F.max(F.when(F.col("_late"), F.col("_rest"))), F.lit(0.0)).alias("_left")
+    )
+    early = early.join(left.select(*names, "_left"), names).select(*names, "token", *on[1:], "_a", "_reach", "_left")
+    sums = _meet(postings, early, on).groupBy(*names, *EXAMPLE).agg(
+        F.sum(F.col("_a") * F.col("share")).alias("_s"), F.first("_reach").alias("_reach"), F.first("_left").alias("_left")
+    )
+    stay = boost * (F.col("_s") + F.col("_left")) >= F.col("_reach")
+    return through_table(sums.where(stay).select(*names, *EXAMPLE, "_s"), "candidates"), marked
+
+
 def retrieve(
     index: ExampleIndex,
     queries: DataFrame,
@@ -91,6 +166,7 @@ def retrieve(
     book: tuple[str, str] | None = None,
     same: tuple[str, str] | None = None,
     fill: bool = True,
+    floor: float = 0.0,
 ) -> DataFrame:
     """Top-k examples per query by cosine similarity.
 
@@ -101,36 +177,38 @@ def retrieve(
     example.  ``fill`` answers every query in full: examples of its restriction
     without a common token count with score 0, and a query without any known
     token gets the diverse examples, as ranked there, with similarity 0.
+    Examples below ``floor`` may be left out (with ``fill`` off).
     """
     pool = index.examples if where is None else index.examples.where(where)
     extras = [pair[1] for pair in (book, same) if pair]
-    postings = index.postings
+    postings = index.impacts
     if where is not None or not set(extras) <= set(index.carry):
         missing = [c for c in extras if c not in index.carry]
         postings = postings.join(pool.select(*EXAMPLE, *missing), EXAMPLE)
     keep = list(dict.fromkeys(pair[0] for pair in (book, same) if pair))
     names = {c: f"_k{i}" for i, c in enumerate(key)}
-    asked = weighted(token_counts(queries, [*key, *keep], text), index.idf, key, also=keep).select(
-        *[F.col(c).alias(n) for c, n in names.items()],
-        *[F.col(c).alias(f"_q_{c}") for c in keep],
-        "token",
-        F.col("w").alias("_wq"),
-        F.col("norm").alias("_nq"),
-    )
+    asked = _asked(queries, index, key, keep, text, names)
     on = ["token"]
     if same:
         asked = asked.withColumn("_same", F.upper(f"_q_{same[0]}"))
         postings = postings.withColumn("_same", F.upper(same[1]))
         on.append("_same")
-    met = _meet(postings, asked, on)
-    scored = met.groupBy(*names.values(), *EXAMPLE).agg(
-        (F.sum(F.col("_wq") * F.col("w")) / (F.first("_nq") * F.first("norm"))).alias("_s"),
-        *([F.first(f"_q_{book[0]}").alias("_qb"), F.first(book[1]).alias("_eb")] if book else []),
-    )
+    asked = through_table(asked, "asked")
+    boost = BOOST if book else 1.0
+    near, tokens_of = candidates(index, postings, asked, list(names.values()), on, k, boost, floor)
+    # What the other tokens add is looked up for the candidates alone.
+    late = tokens_of.where("_late").select(*names.values(), "token", "_a")
+    wanted = near.join(late, [*names.values()]).drop("_s")
+    more = _meet(postings.select(*EXAMPLE, "token", "share"), wanted, [*EXAMPLE, "token"])
+    added = more.select(*names.values(), *EXAMPLE, (F.col("_a") * F.col("share")).alias("_s"))
+    scored = near.unionByName(added).groupBy(*names.values(), *EXAMPLE).agg(F.sum("_s").alias("_s"))
     score = F.col("_s")
     if book:
-        near = F.startswith("_eb", F.split_part("_qb", F.lit("_"), F.lit(1)))
-        score = F.when(near, score * 1.2).otherwise(score)
+        asking = asked.select(*names.values(), F.col(f"_q_{book[0]}").alias("_qb")).distinct()
+        titles = pool.select(*EXAMPLE, F.col(book[1]).alias("_eb"))
+        scored = _meet(titles, scored, EXAMPLE).join(asking, [*names.values()])
+        prefix = F.startswith("_eb", F.split_part("_qb", F.lit("_"), F.lit(1)))
+        score = F.when(prefix, score * BOOST).otherwise(score)
     scored = scored.select(*names.values(), *EXAMPLE, F.round(score, SCORE_PLACES).alias("score"))
     best = Window.partitionBy(*names.values()).orderBy(F.desc("score"), *[F.desc(c) for c in EXAMPLE])
 
@@ -231,7 +309,7 @@ def knn_tags(
     # Written once: the lookup reads its questions several times.
     keyed = through_table(keyed.withColumn("_ask", ask).drop("_norm"), "knn-rows")
     asked = keyed.where("_ask")
-    best = retrieve(index, asked, EXAMPLE, k=1, same=("zone", "zone"), fill=False).where(
+    best = retrieve(index, asked, EXAMPLE, k=1, same=("zone", "zone"), fill=False, floor=floor).where(
         F.col("similarity") > floor
     )
     tags = index.examples.select(
