@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope import fixed
 from folioscope.functions.text import any_of, strip_blank
+from folioscope.session import BROADCAST_ROWS, through_table
+
+RULE = "struct<rank: int, predicted_tag: string, confidence: double, condition: string>"
 
 FLAG_NAMES = [
     "is_empty", "is_short", "is_long", "has_number_prefix", "has_letter_prefix",
@@ -109,8 +110,8 @@ def training_examples(gold: DataFrame, zone: Column | None = None) -> DataFrame:
     return with_features(kept, zone=zone)
 
 
-def feature_keys(use_neighbors: bool = False, row: DataFrame | None = None) -> Column:
-    """Keys present on a row: true flags and `name=value` for set strings."""
+def key_slots(use_neighbors: bool = False) -> list[Column]:
+    """One key or null for each flag (`name`) and each string (`name=value`)."""
     names = ["zone", "list_kind", "list_position"]
     if use_neighbors:
         names += ["prev_tag", "next_tag"]
@@ -119,7 +120,12 @@ def feature_keys(use_neighbors: bool = False, row: DataFrame | None = None) -> C
         F.when(F.coalesce(F.col(s), F.lit("")) != "", F.concat(F.lit(f"{s}="), F.col(s)))
         for s in names
     ]
-    return F.array_compact(F.array(*flags, *strings))
+    return [*flags, *strings]
+
+
+def feature_keys(use_neighbors: bool = False) -> Column:
+    """Keys present on a row: true flags and `name=value` for set strings."""
+    return F.array_compact(F.array(*key_slots(use_neighbors)))
 
 
 def rule_counts(examples: DataFrame, use_neighbors: bool = False) -> DataFrame:
@@ -172,39 +178,44 @@ def apply_rules(
 ) -> DataFrame:
     """Add rule_tag, rule_condition, rule_confidence (0-100) of the first match.
 
-    Of the rules with one condition only the best ranked can fire, so Spark
-    first reduces the table to those: at most one rule for each feature and
-    value, however many rules there are.  They become three constant arrays,
-    in order of rank, in which each row looks up its own few conditions; no
-    row is exploded or shuffled.
+    Of the rules with one condition only the best ranked can fire, so the
+    table is reduced to those.  Each of the row's keys is one lookup in the
+    hashed relation of the rules by condition, built once for all lookups; the
+    best rank among the hits decides within the row, so no row is exploded or
+    shuffled.  Flags that no rule names are not looked up.  A table beyond the
+    broadcast bound is met by exploded keys, whose hits are reduced to the
+    best of each row.
     """
-    best = (
-        rules.groupBy("condition")
-        .agg(F.min_by(F.struct("predicted_tag", "confidence"), "rank").alias("_r"), F.min("rank").alias("rank"))
-        .select("condition", F.col("_r.predicted_tag").alias("tag"), F.col("_r.confidence").cast("double").alias("confidence"), "rank")
-        .orderBy("rank")
-        .collect()
+    best = through_table(
+        rules.groupBy("condition").agg(F.min_by(F.struct("rank", "predicted_tag", "confidence"), "rank").alias("rule")), "rules-by-condition"
     )
-
-    def constant(values: list, kind: str) -> Column:
-        return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
-
-    conditions = constant([r["condition"] for r in best], "string")
-    tags = constant([r["tag"] for r in best], "string")
-    sure = constant([r["confidence"] for r in best], "double")
-    places = F.transform(feature_keys(use_neighbors), lambda key: F.array_position(conditions, key))
-    match = (F.array_min(F.filter(places, lambda i: i > 0)) - 1).cast("int")
+    if best.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        flags = {r[0] for r in best.where(F.col("condition").isin(FLAG_NAMES)).select("condition").collect()}
+        slots = dict(zip([*FLAG_NAMES, *range(9)], key_slots(use_neighbors)))
+        asked = {f"_k{i}": key for i, (name, key) in enumerate(slots.items()) if name not in FLAG_NAMES or name in flags}
+        ruled, hits = features.withColumns(asked), []
+        for k in asked:
+            held = F.broadcast(best.alias(f"_of{k}"))
+            ruled = ruled.join(held, F.col(k) == F.col(f"_of{k}.condition"), "left")
+            hits.append(F.when(F.col(f"_of{k}.condition").isNotNull(), F.struct(f"_of{k}.rule.*", F.col(k).alias("condition"))))
+        first = F.array_min(F.array_compact(F.array(*hits))) if hits else F.lit(None)
+        ruled = ruled.select(*features.columns, first.alias("_rule")) if hits else features.withColumn("_rule", F.lit(None).cast(RULE))
+    else:
+        numbered = through_table(features.withColumn("_row", F.monotonically_increasing_id()), "ruled-rows")
+        asked = numbered.select("_row", F.explode(feature_keys(use_neighbors)).alias("condition")).join(best, "condition")
+        first = asked.groupBy("_row").agg(F.min(F.struct("rule.*", "condition")).alias("_rule"))
+        ruled = numbered.join(first, "_row", "left").drop("_row")
+    sure = F.col("_rule.confidence").cast("double")
     return (
-        features.withColumn("_at", match)
-        .withColumn("_at", F.when(F.get(sure, F.col("_at")) >= min_confidence, F.col("_at")))
+        ruled.withColumn("_rule", F.when(sure >= min_confidence, F.col("_rule")))
         .withColumns(
             {
-                "rule_tag": F.get(tags, F.col("_at")),
-                "rule_condition": F.get(conditions, F.col("_at")),
-                "rule_confidence": F.floor(F.get(sure, F.col("_at")) * 100).cast("int"),
+                "rule_tag": F.col("_rule.predicted_tag"),
+                "rule_condition": F.col("_rule.condition"),
+                "rule_confidence": F.floor(sure * 100).cast("int"),
             }
         )
-        .drop("_at")
+        .drop("_rule")
     )
 
 
