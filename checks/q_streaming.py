@@ -37,7 +37,11 @@ def _(spark, sf):
 
 
 def status_events(spark, sf):
-    return stream(spark, sf, "events").select(
+    return status_rows(stream(spark, sf, "events"))
+
+
+def status_rows(events):
+    return events.select(
         (F.col("event_id") % 1000).alias("job_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.expr(STATUS).alias("status"),
         F.floor(F.col("value") * 100).alias("input_tokens"), F.floor(F.col("value") * 20).alias("output_tokens"))
 
@@ -50,12 +54,12 @@ def _(spark, sf):
 
 
 @query("stream_daily_usage", f"""WITH {JOBS} SELECT CAST(CAST(completed_at AS DATE) AS VARCHAR) AS day, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, count(*) AS jobs_completed
-FROM jobs WHERE status = 'completed' GROUP BY 1
-HAVING max(CAST(completed_at AS DATE)) + INTERVAL 1 DAY <= (SELECT max(completed_at) FROM jobs WHERE status = 'completed') - INTERVAL 1 DAY""")
+FROM jobs WHERE status = 'completed' GROUP BY 1""")
 def _(spark, sf):
     target, checkpoint = fresh_path(spark, "daily"), fresh_path(spark, "checkpoint")
     sj.run_to_table(sj.daily_usage(status_events(spark, sf)), target, checkpoint).awaitTermination()  # a day comes out when the watermark has passed it
-    return spark.read.parquet(target).withColumn("day", F.col("day").cast("string"))
+    closed = spark.read.parquet(target)
+    return closed.unionByName(sj.open_days(status_rows(table(spark, sf, "events")), closed)).withColumn("day", F.col("day").cast("string"))
 
 
 NOW = "2024-01-31 00:00:00"
@@ -67,5 +71,5 @@ def _(spark, sf):
     folder, checkpoint = fresh_path(spark, "cache"), fresh_path(spark, "checkpoint")
     fresh = stream(spark, sf, "events").select(
         F.expr("CAST(user_id AS STRING) || '-' || (event_id % 5)").alias("cache_key"), F.expr(STATUS).alias("tag"), F.col("ts").alias("cached_at"))
-    sj.refresh_cache(fresh, folder, checkpoint).awaitTermination()
+    sj.refresh_cache(fresh, folder, checkpoint, ttl_days=30).awaitTermination()
     return sj.read_cache(spark, folder, "cache_key string, tag string, cached_at timestamp", NOW, ttl_days=10).select("cache_key", "tag")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from folioscope.operators import cache as prediction_cache
 from folioscope.operators.cache import text_hash
@@ -46,24 +47,39 @@ def admit_once(stream: DataFrame, text: str = "text", watermark: tuple[str, str]
     return hashed.withWatermark(*watermark).dropDuplicatesWithinWatermark(["content_hash"])
 
 
-def admit_to_table(stream: DataFrame, target: str, checkpoint: str, text: str = "text") -> StreamingQuery:
-    """First document of every content hash, for any distance between copies.
+def admit_to_table(
+    stream: DataFrame, target: str, checkpoint: str, text: str = "text", watermark: tuple[str, str] | None = None
+) -> StreamingQuery:
+    """First document of every content hash, into one folder for each batch.
 
-    The admitted rows are the state: each micro-batch is compared with the
-    folders of the batches before it, so nothing is held in memory, and a
-    replayed batch rewrites its own folder.
+    The hashes seen are keyed state in the state store on disk, so a batch
+    costs what it brings, whatever was admitted before; with ``watermark`` old
+    hashes leave it.  A replayed batch starts from the state before it and
+    rewrites its own folder.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.withColumn("content_hash", text_hash(F.col(text))).dropDuplicates(["content_hash"])
-        if batch_id:
-            schema = StructType([*fresh.schema.fields, StructField("batch_id", LongType())])
-            before = batch.sparkSession.read.schema(schema).parquet(target)
-            seen = before.where(F.col("batch_id") < batch_id).select("content_hash")
-            fresh = fresh.join(seen, "content_hash", "left_anti").select(*fresh.columns)
-        fresh.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+
+    with _state_on_disk(stream.sparkSession):
+        return _each_batch(admit_once(stream, text, watermark), write, checkpoint)
 
-    return _each_batch(stream, write, checkpoint)
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def _state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """A query that starts in here keeps its state in RocksDB, not on the heap."""
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(STATE_STORE)
+        else:
+            spark.conf.set(STATE_STORE, before)
 
 
 def _each_batch(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
@@ -82,11 +98,21 @@ def latest_status(events: DataFrame) -> DataFrame:
 
 
 def daily_usage(events: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Tokens of completed jobs per day; rows later than ``delay`` are dropped."""
+    """Tokens of completed jobs per day; rows later than ``delay`` are dropped.
+
+    In append mode a day comes out when the watermark has passed it; the days
+    after the last closed one come from ``open_days``.
+    """
+    return _by_day(_completed(events).withWatermark("ts", delay))
+
+
+def _completed(events: DataFrame) -> DataFrame:
+    return events.where(F.col("status") == "completed")
+
+
+def _by_day(events: DataFrame) -> DataFrame:
     return (
-        events.where(F.col("status") == "completed")
-        .withWatermark("ts", delay)
-        .groupBy(F.window("ts", "1 day"))
+        events.groupBy(F.window("ts", "1 day"))
         .agg(
             F.sum("input_tokens").alias("input_tokens"),
             F.sum("output_tokens").alias("output_tokens"),
@@ -96,31 +122,90 @@ def daily_usage(events: DataFrame, delay: str = "1 day") -> DataFrame:
     )
 
 
-def refresh_cache(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Append each micro-batch's newest entry per key to the cache's log.
+def open_days(events: DataFrame, closed: DataFrame) -> DataFrame:
+    """The days that are still open: a batch aggregate of the rows after the last closed day.
 
-    A batch costs what it brings, not what the cache holds, and a replayed
-    batch rewrites its own folder.  ``read_cache`` folds the log,
-    ``compact_cache`` shortens it.
+    ``closed`` is what ``daily_usage`` has written.  Only the rows of the open
+    days are read, where the events are stored by time.
+    """
+    last = closed.agg(F.max("day").alias("last"))
+    rows = _completed(events).join(F.broadcast(last), F.col("last").isNull() | (F.to_date("ts") > F.col("last")))
+    return _by_day(rows)
+
+
+#: Parts of the cache, each with its own newest version.
+BUCKETS = 16
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("cache_key"), F.lit(BUCKETS)).cast("int").alias("bucket")
+
+
+def _write_version(entries: DataFrame, folder: str, batch_id: int) -> None:
+    placed = entries.select("*", _bucket()).repartition(BUCKETS, "bucket")
+    placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/batch_id={batch_id}")
+
+
+def _versions(spark: SparkSession, folder: str, below: int | None = None) -> dict[int, list[int]]:
+    """The batches that wrote each bucket of the cache, oldest first."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/batch_id=*/bucket=*")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found: dict[int, list[int]] = {}
+    for status in files.globStatus(path) or []:
+        at = status.getPath()
+        batch, bucket = int(at.getParent().getName().split("=")[1]), int(at.getName().split("=")[1])
+        if below is None or batch < below:
+            found.setdefault(bucket, []).append(batch)
+    return {bucket: sorted(batches) for bucket, batches in found.items()}
+
+
+def _newest(spark: SparkSession, folder: str, schema: StructType | str, versions: dict[int, list[int]]) -> DataFrame:
+    paths = [f"{folder}/batch_id={batches[-1]}/bucket={bucket}" for bucket, batches in versions.items()]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def refresh_cache(stream: DataFrame, folder: str, checkpoint: str, ttl_days: int = 30) -> StreamingQuery:
+    """Merge each micro-batch into the cache, bucket by bucket of its keys.
+
+    A batch reads the newest version of the buckets that it touches, keeps the
+    newest entry of every key, leaves out what has expired at its own newest
+    time, and writes the next version.  The version before stays for a replay,
+    older ones go.  So a bucket holds valid entries only, and each key once.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        newest = prediction_cache.upsert(batch.limit(0), batch)
-        newest.write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
+        spark = batch.sparkSession
+        fresh = batch.persist()
+        try:
+            touched = {r[0] for r in fresh.select(_bucket()).distinct().collect()}
+            now = fresh.agg(F.max("cached_at")).first()[0]
+            before = {b: v for b, v in _versions(spark, folder, batch_id).items() if b in touched}
+            merged = prediction_cache.upsert(_newest(spark, folder, batch.schema, before), fresh)
+            valid = merged.where(F.col("cached_at") > F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {ttl_days} DAYS"))
+            _write_version(valid, folder, batch_id)
+            _forget(spark, folder, {b: v[:-1] for b, v in before.items()})
+        finally:
+            fresh.unpersist()
 
     return _each_batch(stream, write, checkpoint)
 
 
+def _forget(spark: SparkSession, folder: str, versions: dict[int, list[int]]) -> None:
+    for bucket, batches in versions.items():
+        for batch in batches:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/batch_id={batch}/bucket={bucket}")
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read_cache(spark: SparkSession, folder: str, schema: str, now: str, ttl_days: int = 30) -> DataFrame:
-    """Newest entry of every key that has not expired."""
-    log = spark.read.schema(f"{schema}, batch_id long").parquet(folder).drop("batch_id")
+    """The entries that have not expired: a scan of the newest version of each bucket."""
     cutoff = F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {ttl_days} DAYS")
-    return prediction_cache.upsert(log.limit(0), log).where(F.col("cached_at") > cutoff)
+    return _newest(spark, folder, schema, _versions(spark, folder)).where(F.col("cached_at") > cutoff)
 
 
 def compact_cache(spark: SparkSession, folder: str, target: str, schema: str, now: str, ttl_days: int = 30) -> None:
-    """Write the valid entries as the first batch of a new log."""
-    read_cache(spark, folder, schema, now, ttl_days).write.parquet(f"{target}/batch_id=0")
+    """Write the valid entries as the first version of a new cache."""
+    _write_version(read_cache(spark, folder, schema, now, ttl_days), target, 0)
 
 
 def run_to_table(
