@@ -27,13 +27,15 @@ def _fold(names):
 
 AV = sb.values(list(ALIASES.items()), "k, v")
 SV = sb.values([(s,) for s in STYLES], "s")
-query("canonicalize_gold", ov.with_given(f""", r AS (SELECT doc_id, para_id, {sb.collapse(f'({RAW})')} AS c FROM g), sv AS (SELECT s FROM {SV}), av AS (SELECT k, v FROM {AV}),
+LOOKUPS = f"""sv AS (SELECT s FROM {SV}), av AS (SELECT k, v FROM {AV}),
 f AS (SELECT lower(s) AS f, min(s) AS s FROM sv GROUP BY 1 HAVING count(*) = 1),
-j AS (SELECT r.*, sv.s AS d, a1.v AS a, f.s AS fd, a2.v AS av, f2.s AS avf, (a2.v IN (SELECT s FROM sv)) AS avok
-  FROM r LEFT JOIN sv ON sv.s = c LEFT JOIN (SELECT * FROM av WHERE v IN (SELECT s FROM sv)) a1 ON a1.k = c LEFT JOIN f ON f.f = lower(c) LEFT JOIN av a2 ON lower(a2.k) = lower(c) LEFT JOIN f f2 ON f2.f = lower(a2.v))
-SELECT doc_id, para_id, CASE WHEN c = '' THEN 'UNMAPPED' WHEN d IS NOT NULL THEN c WHEN a IS NOT NULL THEN a WHEN fd IS NOT NULL THEN fd WHEN avok THEN av WHEN avf IS NOT NULL THEN avf ELSE 'UNMAPPED' END AS canonical_gold_tag,
-  CASE WHEN c = '' THEN 'empty_manual_style' WHEN d IS NOT NULL THEN 'tag_map:direct' WHEN a IS NOT NULL THEN 'tag_map:alias' WHEN fd IS NOT NULL THEN 'tag_map:direct_casefold' WHEN avok THEN 'tag_map:alias_casefold'
-   WHEN avf IS NOT NULL THEN 'tag_map:alias_casefold_to_allowed_casefold' ELSE 'tag_map:unmapped' END AS tag_note FROM j"""))(
+lk AS (SELECT r.*, sv.s AS d, a1.v AS a, f.s AS fd, a2.v AS av, f2.s AS avf, (a2.v IN (SELECT s FROM sv)) AS avok
+  FROM r LEFT JOIN sv ON sv.s = c LEFT JOIN (SELECT * FROM av WHERE v IN (SELECT s FROM sv)) a1 ON a1.k = c LEFT JOIN f ON f.f = lower(c) LEFT JOIN av a2 ON lower(a2.k) = lower(c) LEFT JOIN f f2 ON f2.f = lower(a2.v))"""
+CANONICAL = "CASE WHEN c = '' THEN 'UNMAPPED' WHEN d IS NOT NULL THEN c WHEN a IS NOT NULL THEN a WHEN fd IS NOT NULL THEN fd WHEN avok THEN av WHEN avf IS NOT NULL THEN avf ELSE 'UNMAPPED' END"
+TAG_NOTE = """CASE WHEN c = '' THEN 'empty_manual_style' WHEN d IS NOT NULL THEN 'tag_map:direct' WHEN a IS NOT NULL THEN 'tag_map:alias' WHEN fd IS NOT NULL THEN 'tag_map:direct_casefold' WHEN avok THEN 'tag_map:alias_casefold'
+   WHEN avf IS NOT NULL THEN 'tag_map:alias_casefold_to_allowed_casefold' ELSE 'tag_map:unmapped' END"""
+query("canonicalize_gold", ov.with_given(f""", r AS (SELECT doc_id, para_id, {sb.collapse(f'({RAW})')} AS c FROM g), {LOOKUPS}
+SELECT doc_id, para_id, {CANONICAL} AS canonical_gold_tag, {TAG_NOTE} AS tag_note FROM lk"""))(
     lambda spark, sf: gd.canonicalize(ov.given(spark, sf).withColumn("gold_tag", F.expr(RAW)), STYLES, ALIASES).select(*KEY, "canonical_gold_tag", "tag_note"))
 
 # --- document names ------------------------------------------------------------------
@@ -102,13 +104,16 @@ query("split_membership", f"""SELECT source AS base, min(doc_id) AS position, CA
         table(spark, sf, "documents").select(F.col("source").alias("base"), F.col("doc_id").alias("position")), DEV, HELD))
 
 # --- paired corpus ----------------------------------------------------------------------
-# Every ninth paragraph is edited and some stand elsewhere; the edit distance
-# of the checking SQL counts bytes, so other characters become one sign.
-PLAIN = "regexp_replace({t}, '[^ -~]', '?'{g})"
+# Every ninth paragraph is edited and some stand elsewhere.  The edit distance
+# of the checking SQL counts bytes, so there each other letter stands for
+# itself as one control character that no text has.
+LETTERS = "ßäçèéêíñóöü•–—…§’“”→"
+ONE_BYTE = "translate({t}, '" + LETTERS + "', " + " || ".join(f"chr({c})" for c in [*range(1, 9), *range(14, 26)]) + ")"
+BYTES = SIM.format(a=ONE_BYTE.format(t="{a}"), b=ONE_BYTE.format(t="{b}"))
 COPY = "CASE WHEN (doc_id + para_id) % 9 = 0 THEN 'edited ' || text ELSE text END"
 KEPT = "(doc_id + para_id) % 7 <> 0"
 MOVED = "CASE WHEN (doc_id * 3 + para_id) % 10 = 4 THEN para_id + 1000000 ELSE para_id END"
-PAIR_SQL = ov.OVERLAY_SQL + f""", lo AS (SELECT doc_id, para_id, {PLAIN.format(t='text', g=", 'g'")} AS text FROM o),
+PAIR_SQL = ov.OVERLAY_SQL + f""", lo AS (SELECT doc_id, para_id, text FROM o),
 mc AS (SELECT doc_id, {MOVED} AS para_id, {COPY} AS text FROM lo WHERE {KEPT})"""
 CHAIN_SQL = f"""a AS (SELECT doc_id, para_id, h, row_number() OVER (PARTITION BY doc_id, h ORDER BY para_id) AS k FROM (SELECT doc_id, para_id, {sb.matching('text')} AS h FROM lo)),
 b AS (SELECT doc_id, para_id AS manual_para, h, row_number() OVER (PARTITION BY doc_id, h ORDER BY para_id) AS k FROM (SELECT doc_id, para_id, {sb.matching('text')} AS h FROM mc)),
@@ -119,17 +124,13 @@ an AS (SELECT doc_id, ps[i] AS para_id, ms[i] AS manual_para FROM (SELECT *, unn
 ORDER_SQL = f"""{CHAIN_SQL},
 gl AS (SELECT lo.doc_id, lo.para_id, {sb.matching('text')} AS t, an.manual_para AS am, count(an.manual_para) OVER (PARTITION BY lo.doc_id ORDER BY lo.para_id) AS gap FROM lo LEFT JOIN an ON an.doc_id = lo.doc_id AND an.para_id = lo.para_id),
 gr AS (SELECT mc.doc_id, mc.para_id AS mp, {sb.matching('text')} AS u, an.para_id AS ap, count(an.para_id) OVER (PARTITION BY mc.doc_id ORDER BY mc.para_id) AS gap FROM mc LEFT JOIN an ON an.doc_id = mc.doc_id AND an.manual_para = mc.para_id),
-pr0 AS (SELECT gl.doc_id, gl.para_id, mp, CASE WHEN t = '' AND u = '' THEN 1.0 ELSE {SIM.format(a='t', b='u')} END AS s FROM gl JOIN gr ON gl.doc_id = gr.doc_id AND gl.gap = gr.gap WHERE am IS NULL AND ap IS NULL),
+pr0 AS (SELECT gl.doc_id, gl.para_id, mp, CASE WHEN t = '' AND u = '' THEN 1.0 ELSE {BYTES.format(a='t', b='u')} END AS s FROM gl JOIN gr ON gl.doc_id = gr.doc_id AND gl.gap = gr.gap WHERE am IS NULL AND ap IS NULL),
 bs AS (SELECT doc_id, para_id, max_by(mp, (s, -mp)) AS mp, max(s) AS s FROM pr0 WHERE s > 0 GROUP BY ALL),
 al AS (SELECT gl.doc_id, gl.para_id, coalesce(am, bs.mp) AS manual_para, CASE WHEN am IS NOT NULL THEN 1.0 ELSE coalesce(round(s, 4), 0.0) END AS score FROM gl LEFT JOIN bs ON bs.doc_id = gl.doc_id AND bs.para_id = gl.para_id)"""
 
 
-def plain(rows):
-    return rows.withColumn("text", F.expr(PLAIN.format(t="text", g="")))
-
-
 def paired(spark, sf):
-    left = plain(ov.overlay(spark, sf))
+    left = ov.overlay(spark, sf)
     return left, left.where(KEPT).withColumns({"text": F.expr(COPY), "para_id": F.expr(MOVED)})
 
 
@@ -139,17 +140,21 @@ query("align_paragraphs", f"WITH {PAIR_SQL}, {ORDER_SQL} SELECT * FROM al")(
     lambda spark, sf: gd.align_in_order(*paired(spark, sf)))
 ONCE = "lower(trim(regexp_replace(text, '[\\s\\x{00A0}]+', ' ', 'g')))"
 query("align_greedy", f"""WITH {PAIR_SQL}, x AS (SELECT doc_id, para_id, {ONCE} AS t FROM lo), y AS (SELECT doc_id, para_id AS mp, {ONCE} AS u FROM mc),
-cd AS (SELECT x.doc_id AS grp, para_id, mp, {SIM.format(a='t', b='u')} AS score FROM x JOIN y USING (doc_id) WHERE t <> '' AND u <> '' AND abs(length(t) - length(u)) <= 0.15 * greatest(length(t), length(u))),
+cd AS (SELECT x.doc_id AS grp, para_id, mp, {BYTES.format(a='t', b='u')} AS score FROM x JOIN y USING (doc_id) WHERE t <> '' AND u <> '' AND abs(length(t) - length(u)) <= 0.15 * greatest(length(t), length(u))),
 cq AS (SELECT * FROM cd WHERE score >= 0.85), tk AS ({taken('cq', 'para_id', 'mp', 'para_id, score DESC, mp')})
 SELECT x.doc_id, x.para_id, o.b AS manual_para, coalesce(round(o.s, 4), 0) AS score FROM x LEFT JOIN tk ON grp = x.doc_id AND o.a = x.para_id""")(
     lambda spark, sf: gd.align_once(*paired(spark, sf)))
 
 
-@query("gold_dataset")
+@query("gold_dataset", ss.with_references(f""", lo AS (SELECT doc_id, para_id, text FROM rz), mc AS (SELECT doc_id, {MOVED} AS para_id, {COPY} AS text, tag FROM g WHERE {KEPT}), {ORDER_SQL},
+r AS (SELECT rz.doc_id, rz.para_id, rz.text, in_ref, al.manual_para, coalesce(al.score, 0.0) AS score, coalesce(m.tag, '') AS gold_tag, {sb.collapse("coalesce(m.tag, '')")} AS c
+  FROM rz LEFT JOIN al ON al.doc_id = rz.doc_id AND al.para_id = rz.para_id LEFT JOIN mc m ON m.doc_id = rz.doc_id AND m.para_id = al.manual_para), {LOOKUPS}
+SELECT doc_id, para_id AS para_index, text, gold_tag, CASE WHEN manual_para IS NULL THEN 'UNMAPPED' ELSE {CANONICAL} END AS canonical_gold_tag, score AS alignment_score,
+  concat_ws('; ', CASE WHEN manual_para IS NULL THEN 'alignment:no_manual_match' ELSE {TAG_NOTE} END, 'manual_para_index:' || manual_para) AS notes, CASE WHEN in_ref THEN 'reference' ELSE 'body' END AS zone FROM lk"""))
 def _(spark, sf):
     """Whole gold build: pair copy, align, canonicalise, label zones."""
-    original = plain(referenced(spark, sf).select(*KEY, "text", "in_ref"))
-    manual = plain(ov.given(spark, sf)).where(KEPT).select(
+    original = referenced(spark, sf).select(*KEY, "text", "in_ref")
+    manual = ov.given(spark, sf).where(KEPT).select(
         "doc_id", F.expr(MOVED).alias("para_id"), F.expr(COPY).alias("text"), F.col("tag").alias("style_name"))
     alignment = gd.align_in_order(original, manual)
     return gd.gold_rows(original, manual, alignment, STYLES, ALIASES)
