@@ -121,14 +121,25 @@ def plain_pairs(manual, original):
 
 def test_fuzzy_pairs_equal_going_through_the_names(spark):
     rng = random.Random(10)
-    stems = ["".join(rng.choice("abcdef") for _ in range(rng.randint(1, 9))) for _ in range(12)]
+    stems = ["".join(rng.choice("abcdef") for _ in range(rng.randint(1, 9))) for _ in range(60)]
     manual = [f"{s}-final manuscript" if rng.random() < 0.7 else f"{s}{k}" for k, s in enumerate(stems)] + ["", "--", "q"]
-    original = [f"{rng.choice(stems)}_{k}_manuscript" if rng.random() < 0.7 else f"x{s}" for k, s in enumerate(stems[:10])] + ["zz", "!"]
+    original = [f"{rng.choice(stems)}_{k}_manuscript" if rng.random() < 0.7 else f"x{s}" for k, s in enumerate(stems[:50])] + ["zz", "!"]
+    manual, original = sorted(set(manual)), sorted(set(original))
     frame = lambda names: spark.createDataFrame([(n,) for n in names], "name string")
-    got = {r.manual: r.original for r in gd.pair_fuzzy(frame(manual), frame(original)).collect()}
+    got = {r.manual: r.original for r in gd.pair_fuzzy(frame(manual + manual[:5]), frame(original)).collect()}
     assert got == plain_pairs(manual, original)
 
 
+def test_assignment_in_rounds_equals_going_in_order(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(f"m{rng.randrange(9)}", f"o{o}", rng.randint(1, 3), rng.choice([0.1, 0.5])) for o in range(6) for _ in range(4)]
+    pairs = spark.createDataFrame(rows, "manual string, original string, lcs int, ratio double").dropDuplicates(["manual", "original"]).cache()
+    take = lambda: {(r.manual, r.original) for r in gd._assigned(pairs).collect()}
+    at_once = take()
+    monkeypatch.setattr(gd, "IN_ORDER", 3)
+    assert take() == at_once and len(at_once) > 3
+
+
 def test_names_with_a_common_end_are_not_all_compared(spark):
     n = 3000
     rng = random.Random(1)
