@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.session import through_table
+from folioscope.session import release, through_table
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -26,8 +26,9 @@ def connected(edges: DataFrame) -> DataFrame:
     small-star the smaller ones, until the edges stay as they are, which is
     when they form stars.  Minima are combined before they are shuffled, and
     the joins are plain equi-joins, so hubs are split by adaptive execution.
-    Each round is written to the shared folder; nothing is collected but a
-    count and a checksum.  Null ends and self-links are ignored.
+    Each round is written to the shared folder and the one before deleted;
+    nothing is collected but a count and a checksum.  Null ends and self-links
+    are ignored.
     """
     now = through_table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     mark = _mark(now)
@@ -38,10 +39,14 @@ def connected(edges: DataFrame) -> DataFrame:
         small = near.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             near.select("a", F.col("m").alias("b"))
         )
-        now = through_table(small.distinct(), "stars")
+        old, now = now, through_table(small.distinct(), "stars")
+        release(old)
         was, mark = mark, _mark(now)
         if was == mark:
             break
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
+    found = now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )
+    out = through_table(found, "components")
+    release(now)
+    return out

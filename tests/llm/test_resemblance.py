@@ -49,9 +49,12 @@ def test_near_stage_links_every_pair_of_high_jaccard(spark):
 
 
 def test_buckets_go_on_until_all_members_are_compared(spark, monkeypatch):
-    """All texts in one bucket, and one hub at first: no pair may be lost."""
-    texts = near_texts()[:60]
-    monkeypatch.setattr(resemblance, "HUBS", 1)
+    """All texts in one bucket, few hubs, no small buckets, no splits: no pair may be lost."""
+    texts = near_texts()[:30]
+    monkeypatch.setattr(resemblance, "HUBS", 4)
+    monkeypatch.setattr(resemblance, "FIRST_HUBS", 4)
+    monkeypatch.setattr(resemblance, "SMALL", 0)
+    monkeypatch.setattr(resemblance, "ROUNDS", 100)
     hashes = [resemblance.shingles((t or "").encode(), 5) for t in texts]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     nodes = {signed(resemblance._node(h)): (len(h), i) for i, h in enumerate(hashes)}
@@ -65,3 +68,55 @@ def test_buckets_go_on_until_all_members_are_compared(spark, monkeypatch):
         r = found.get(x, x)
         least[r] = min(least.get(r, i), i)
     assert set(least.values()) == brute(texts)
+
+
+def template_texts(families, members, rng):
+    """Texts that share two thirds of their words in one run, Jaccard near 0.5: none are near."""
+    word = lambda: f"w{rng.randrange(10**6)}"
+    out = []
+    for _ in range(families):
+        shared = [word() for _ in range(160)]
+        for _ in range(members):
+            own = [word() for _ in range(80)]
+            at = rng.randrange(len(own))
+            out.append(" ".join(own[:at] + shared + own[at:]))
+    return out
+
+
+def test_template_texts_are_not_compared_in_all_pairs(spark, monkeypatch):
+    counted = []
+    plain = resemblance._alike
+    monkeypatch.setattr(resemblance, "_alike", lambda pairs, sets: counted.append(pairs.count()) or plain(pairs, sets))
+    rows = []
+    for members in (150, 300):
+        docs = spark.createDataFrame(list(enumerate(template_texts(1, members, random.Random(5)))), "doc_id long, text string")
+        counted.clear()
+        assert simhash.drop_near(docs).count() == members
+        rows.append(sum(counted))
+    assert rows[1] <= 3 * max(rows[0], 300) and rows[1] < 30 * 300
+
+
+def test_recall_just_above_the_threshold(spark):
+    """Pairs of Jaccard 0.8 to 0.85 in templates and apart; very long, null and empty texts among them."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    texts, near = [], 0
+    template = [word() for _ in range(100)]
+    for k in range(250):
+        base = [word() for _ in range(rng.choice([60, 150, 400]))] + (template if k % 2 else [])
+        changed = list(base)
+        while True:  # change words until the similarity is about to fall below 0.8
+            changed[rng.randrange(len(changed))] = word()
+            a, b = five(" ".join(base)), five(" ".join(changed))
+            if 5 * len(a & b) < 4 * len(a | b):
+                break
+            last = list(changed)
+        texts += [" ".join(base), " ".join(last)]
+        near += 1
+    long = [word() for _ in range(30_000)]
+    texts += [" ".join(long), " ".join(long[:-50] + ["end"] * 50), None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    kept = {r.doc_id for r in simhash.drop_near(docs).collect()}
+    assert kept.issuperset(range(0, 2 * near, 2)) and 2 * near in kept and 2 * near + 1 not in kept
+    assert len([i for i in range(1, 2 * near, 2) if i in kept]) <= 0.01 * near
+    assert len(kept & {2 * near + 2, 2 * near + 3}) == 1
