@@ -6,16 +6,17 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import SPACE_RUN, attach_groups, free_names
 from folioscope.session import through_table
 
-#: Bytes of distinct text that a bucket holds before it splits.
-BUCKET_BYTES = 64 << 20
+#: Bytes of distinct text that a bucket holds before it splits; more where the
+#: whole index would else need a deeper directory.
+BUCKET_BYTES = 8 << 20
 #: Splits stop at this depth, so the directory has at most 2**DEPTH slots; what
-#: is still overfull then is one long chain for its owner, not an error.
+#: is still overfull then is a longer stream for its owner, not an error.
 DEPTH = 16
 #: Bytes of text that a combining task holds before it hands on what it has.
 COMBINE_BYTES = 32 << 20
@@ -138,34 +139,42 @@ def build_index(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, key_bits: int
     entries: one row per distinct normalised text (bucket, key, chain,
     text_sha256, keep_id, group_size).  A pass over keys alone sizes the
     buckets.  Each task then combines its own copies, so a text that a third
-    of all rows share reaches one task once per task; rows are placed by a plain hash
-    of bucket and key, not by bucket, and streamed in order.  ``key_bits`` under 64 forces collisions, for tests.
+    of all rows share reaches its owner once per task.  The directory leads
+    each row from its slot to its bucket, and one task owns each bucket: it
+    streams the bucket's rows in order of key and writes its entries.
+    ``key_bits`` under 64 forces collisions, for tests.
     """
     spark = docs.sparkSession
     norm = normalised(F.col("text"))
-    keyed = docs.select("doc_id", F.xxhash64(norm).bitwiseAND(F.lit(-1 << (64 - key_bits))).alias("key"), norm.alias("norm"))
+    keyed = docs.select("doc_id", _key(norm, key_bits).alias("key"), norm.alias("norm"))
     sizes = (
         keyed.groupBy("key").agg(F.max(F.octet_length("norm")).alias("b"))
         .groupBy(_slot(F.col("key"), DEPTH).alias("slot")).agg(F.sum("b").alias("b"))
     )
     by_slot = {r["slot"]: r["b"] for r in sizes.collect()}  # at most 2**DEPTH rows
     rows = directory_rows(by_slot, DEPTH, max(bucket_bytes, sum(by_slot.values()) >> (DEPTH - 2)))
-    depth = len(rows).bit_length() - 1
     directory = through_table(spark.createDataFrame(rows, "slot int, bucket int, local_depth int").coalesce(1), "hash-directory")
     combined = keyed.mapInArrow(_combine(COMBINE_BYTES), "key long, norm string, keep_id long, group_size long")
-    placed = (
-        combined.withColumn("slot", _slot(F.col("key"), depth))
-        .join(F.broadcast(directory), "slot")
-        .select("bucket", "key", "norm", "keep_id", "group_size")
-    )
+    placed = in_buckets(combined, directory).select("bucket", "key", "norm", "keep_id", "group_size")
     entries = (
-        placed.repartition("bucket", F.shiftrightunsigned("key", 64 - 2 * DEPTH))
+        placed.repartition("bucket")
         .sortWithinPartitions("bucket", "key", "keep_id")
         .mapInArrow(_own, "bucket int, key long, chain int, text_sha256 string, keep_id long, group_size long")
     )
     return directory, through_table(entries, "hash-entries")
 
 
+def _key(norm: Column, key_bits: int) -> Column:
+    return F.xxhash64(norm).bitwiseAND(F.lit(-1 << (64 - key_bits)))
+
+
+def in_buckets(rows: DataFrame, directory: DataFrame, key: str = "key") -> DataFrame:
+    """Rows with the bucket to which the directory leads from the slot of their key."""
+    depth = directory.count().bit_length() - 1
+    led = directory.select(F.col("slot").alias("_slot"), "bucket")  # at most 2**DEPTH rows
+    return rows.withColumn("_slot", _slot(F.col(key), depth)).join(F.broadcast(led), "_slot").drop("_slot")
+
+
 def exact_groups(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, key_bits: int = 64) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -175,10 +184,14 @@ def exact_groups(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, key_bits: in
     are null.  Rows that repeat both id and text are all marked like the first
     (``drop_exact`` leaves one of them).  An empty table gives no rows.
     """
-    _, entries = build_index(docs, bucket_bytes, key_bits)
-    rows = docs.select("doc_id", F.sha2(normalised(F.col("text")), 256).alias("text_sha256"))
+    directory, entries = build_index(docs, bucket_bytes, key_bits)
+    norm = normalised(F.col("text"))
+    rows = in_buckets(docs.select("doc_id", F.sha2(norm, 256).alias("text_sha256"), _key(norm, key_bits).alias("key")), directory)
+    place = F.struct("bucket", "key", "text_sha256").alias("place")  # bucket, key, and the member of its chain
     total = entries.agg(F.sum("group_size")).first()[0] or 0
-    found = attach_groups(rows, entries.select("text_sha256", "keep_id", "group_size"), "text_sha256", "group_size", total)
+    found = attach_groups(
+        rows.select("doc_id", "text_sha256", place), entries.select(place, "keep_id", "group_size"), "place", "group_size", total
+    )
     return found.select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
@@ -187,13 +200,16 @@ def exact_groups(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, key_bits: in
 def drop_exact(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """The documents that stay, one row per distinct text, columns unchanged.
 
-    Rows meet their keeper by (doc_id, digest), which is near unique even
-    within a huge group of copies, so no partition is hot.
+    Rows that repeat an id and its text, and those of a text without any id,
+    are reduced to one before they are shuffled.  Then each row asks the entry
+    to which bucket, key and digest lead whether it is the keeper.
     """
-    _, entries = build_index(docs, bucket_bytes)
-    own, sha, turn = free_names(docs, "dedup_id", "dedup_sha", "dedup_turn")
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    keepers = entries.select(F.coalesce(F.col("keep_id").cast("string"), F.lit("")).alias(own), F.col("text_sha256").alias(sha))
-    rows = docs.withColumn(own, name).withColumn(sha, F.sha2(normalised(F.col("text")), 256))
-    first = F.row_number().over(Window.partitionBy(own, sha).orderBy(F.xxhash64("text")))
-    return rows.join(keepers, [own, sha], "left_semi").withColumn(turn, first).where(F.col(turn) == 1).select(*docs.columns)
+    directory, entries = build_index(docs, bucket_bytes)
+    own, sha, key, held = free_names(docs, "dedup_id", "dedup_sha", "dedup_key", "dedup_row")
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    norm = normalised(F.col("text"))
+    first = F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64("text"), F.xxhash64(*docs.columns)))
+    placed = docs.withColumns({own: name("doc_id"), sha: F.sha2(norm, 256), key: _key(norm, 64)})
+    rows = in_buckets(placed.groupBy(own, sha, key).agg(first.alias(held)), directory, key)
+    keepers = entries.select(name("keep_id").alias(own), F.col("text_sha256").alias(sha), F.col("key").alias(key), "bucket")
+    return rows.join(keepers, [own, sha, key, "bucket"], "left_semi").select(f"{held}.*")
