@@ -10,12 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm.common import free_names
 from folioscope.llm.tokens import default_tokenizer, encoder, utf8
 from folioscope.session import through_table
 
 CAPACITY = 2048
-#: Pieces that a group packs at first, and underfull bins in later rounds.
+#: Pieces that a group packs at first, and underfull bins on later levels.
 GROUP = 8192
+#: Groups that become one on the next level of the tree.
+FANOUT = 8
 #: A bin this full goes out at once; all others are tried again.
 NEARLY_FULL = 0.98
 
@@ -107,7 +110,7 @@ def _pack_group(level: int, last: bool, capacity: int, schema: str):
             first[np.asarray(where[::-1], int)] = order[::-1]
             named = ids[first]
         else:
-            named = (group << 27) | np.arange(bins)
+            named = (group << 27) | np.arange(bins)  # a leaf packs in one part
         columns = {n: table.column(n) for n in table.column_names}
         columns |= {
             "sequence_id": pa.array(named[own], pa.int64()),
@@ -125,29 +128,31 @@ def pack_items(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -
 
     Items are dealt to groups by row, not by key, so repeated documents spread
     out.  Each group packs its items by best fit in order of decreasing
-    length.  Nearly full bins are final; all underfull ones are dealt anew, as
-    items, to as many groups of ``group`` bins as they need, until they fit
-    one group or a round saves no bin.  Every round is a table in the shared
-    folder.
+    length.  Nearly full bins are final.  The groups are the leaves of a tree:
+    on each level FANOUT neighbours become one node, and their underfull bins,
+    as items, are packed anew, in parts of at most ``group`` bins where a node
+    has more.  Every underfull bin is tried once on each level, so there are
+    as many rounds as levels, the logarithm of the number of groups.  Every
+    level is a table in the shared folder.
     """
+    node, part = free_names(items, "pack_node", "pack_part")
     fields = ", ".join(f"{n} {k}" for n, k in ((f.name, f.dataType.simpleString()) for f in items.schema.fields))
-    schema = fields.replace("bigint", "long") + ", sequence_id long, offset long, closed boolean"
-    held = items.count()  # pieces, then underfull bins
-    rows, key = items, F.monotonically_increasing_id()
-    final, level = [], 0
-    while True:
-        groups = max(1, -(-held // group))
-        dealt = rows.withColumn("grp", F.pmod(F.xxhash64(key, F.lit(level)), F.lit(groups)))
-        packed = through_table(
-            dealt.groupBy("grp").applyInArrow(_pack_group(level, groups == 1, capacity, schema), schema), f"packed-{level}"
-        )
-        bins = packed.where("offset = 0")  # each bin begins once
-        made, left = bins.agg(F.count("*"), F.count_if(~F.col("closed"))).first()
-        if not left or (level and made == held):
-            final.append(packed.drop("closed"))
-            break
-        final.append(packed.where("closed").drop("closed"))
-        rows, key, held, level = packed.where("not closed"), F.col("sequence_id"), left, level + 1
+    schema = fields.replace("bigint", "long") + f", {node} long, sequence_id long, offset long, closed boolean"
+    groups = max(1, -(-items.count() // group))
+    levels, width = 0, groups
+    while width > 1:
+        levels, width = levels + 1, -(-width // FANOUT)
+    rows = items.withColumn(node, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+    rows, final = rows.withColumn(part, F.lit(0)), []
+    for level in range(levels + 1):
+        pack = _pack_group(level, level == levels, capacity, schema)
+        packed = through_table(rows.groupBy(node, part).applyInArrow(pack, schema), f"packed-{level}")
+        final.append(packed.where("closed").drop("closed", node))
+        if level < levels:
+            left = packed.where("not closed").withColumn(node, F.floor(F.col(node) / FANOUT))
+            sizes = left.where("offset = 0").groupBy(node).agg(F.ceil(F.count("*") / group).alias(part))  # each bin begins once
+            own = F.pmod(F.xxhash64("sequence_id", F.lit(level)), F.col(part))
+            rows = left.join(F.broadcast(sizes), node).withColumn(part, own)
     out = final[0]
     for more in final[1:]:
         out = out.unionByName(more)
