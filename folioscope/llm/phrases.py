@@ -20,7 +20,9 @@ COVERED = 80
 #: Phrases of each language in the report.
 REPORTED = 2000
 #: Words that a task holds before it sends their counts on.
-HELD = 3_000_000
+HELD = 2_500_000
+#: Phrases in a batch that a task sends.
+SENT = 50_000
 #: Bytes of a text that are split at a time, cut only where a piece ends.
 STRETCH = 8 << 20
 #: Size of a map of frequent phrases in bits: 32 for each, within these bounds.
@@ -80,37 +82,35 @@ class Frequent:
         return (self.bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
-def _grams(order: int, ids: np.ndarray, words: list[bytes], hashes: np.ndarray | None, known: list) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    """Phrases of ``order`` words (3: of 3 and of 4) in a run of ids, with counts."""
+def _grams(order: int, ids: np.ndarray, size: int, hashes: np.ndarray | None, known: list) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Phrases of ``order`` words (3: of 3 and of 4) in a run of ids, as the columns of their words, with counts."""
     if order == 1:
-        counts = np.bincount(ids, minlength=len(words))
+        counts = np.bincount(ids, minlength=size)
         counts[0] = 0
         found = np.flatnonzero(counts)
-        yield [words[i] for i in found.tolist()], counts[found]
+        yield [found], counts[found]
         return
     good = known[0].has(hashes)
     good[0] = False
     both = good[ids[:-1]] & good[ids[1:]]
     at = np.flatnonzero(both)
-    keys, ranks, counts = np.unique(ids[at] * len(words) + ids[at + 1], return_inverse=True, return_counts=True)
-    one, two = keys // len(words), keys % len(words)
     if order == 2:
-        yield [words[i] + b" " + words[j] for i, j in zip(one.tolist(), two.tolist())], counts
+        keys, counts = np.unique(ids[at] * size + ids[at + 1], return_counts=True)
+        yield [keys // size, keys % size], counts
         return
+    keys, ranks = np.unique(ids[at] * size + ids[at + 1], return_inverse=True)
+    one, two = keys // size, keys % size
     often = known[1].has(pair_hash(hashes[one], hashes[two]))
     pair = np.full(len(ids), -1, np.int64)  # the frequent pair that starts at each place
     pair[at] = np.where(often[ranks], ranks, -1)
     at = np.flatnonzero((pair[:-1] >= 0) & (pair[1:] >= 0))
-    keys, counts = np.unique(pair[at] * len(words) + ids[at + 2], return_counts=True)
-    head, tail = keys // len(words), keys % len(words)
-    yield [
-        words[i] + b" " + words[j] + b" " + words[k] for i, j, k in zip(one[head].tolist(), two[head].tolist(), tail.tolist())
-    ], counts
+    keys, counts = np.unique(pair[at] * size + ids[at + 2], return_counts=True)
+    head = keys // size
+    yield [one[head], two[head], keys % size], counts
     at = np.flatnonzero((pair[:-2] >= 0) & (pair[1:-1] >= 0) & (pair[2:] >= 0))
     keys, counts = np.unique(pair[at] * len(one) + pair[at + 2], return_counts=True)
     head, tail = keys // max(len(one), 1), keys % max(len(one), 1)
-    quads = zip(one[head].tolist(), two[head].tolist(), one[tail].tolist(), two[tail].tolist())
-    yield [words[a] + b" " + words[b] + b" " + words[c] + b" " + words[d] for a, b, c, d in quads], counts
+    yield [one[head], two[head], one[tail], two[tail]], counts
 
 
 def _counter(order: int, known: list):
@@ -126,14 +126,14 @@ def _counter(order: int, known: list):
                 hashes = None
                 if order > 1:
                     hashes = np.fromiter((word_hash(lang, w) for w in words), np.uint64, len(words))
-                for grams, counts in _grams(order, np.concatenate(parts), words, hashes, maps):
-                    for k in range(0, len(grams), 100_000):
-                        some = grams[k : k + 100_000]
+                for columns, counts in _grams(order, np.concatenate(parts), len(words), hashes, maps):
+                    for k in range(0, len(counts), SENT):
+                        some = zip(*([words[i] for i in c[k : k + SENT].tolist()] for c in columns))
                         yield pa.RecordBatch.from_arrays(
                             [
-                                pa.array([lang]).take(pa.array(np.zeros(len(some), np.int32))),
-                                pa.array(some, pa.binary()).cast(pa.string()),
-                                pa.array(counts[k : k + 100_000].astype(np.int64)),
+                                pa.array([lang]).take(pa.array(np.zeros(len(counts[k : k + SENT]), np.int32))),
+                                pa.array([b" ".join(w) for w in some], pa.binary()).cast(pa.string()),
+                                pa.array(counts[k : k + SENT].astype(np.int64)),
                             ],
                             names=["lang", "gram", "c"],
                         )
