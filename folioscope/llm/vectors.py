@@ -17,14 +17,14 @@ from folioscope.session import through_table
 #: Linked from this cosine on.
 COSINE = 0.95
 #: Vectors that a cell should hold, and the most cells of one dimension.
-PER_CELL, MOST_CELLS = 256, 4096
+PER_CELL, MOST_CELLS = 512, 4096
 #: The cells are fitted on about so many vectors for each of them, drawn by a
 #: hash of their row, at most SAMPLE of all.
 PER_CENTRE, SAMPLE = 32, 131_072
 ROUNDS = 8
 #: A vector is also compared in later cells whose border is within so many
 #: standard deviations of a step at the least cosine in a random direction.
-SPREAD = 3.5
+SPREAD = 2.5
 #: Balls in a block of a cell; vectors in a ball; vectors grouped at a time.
 BLOCK, MEMBERS, CHUNK = 4096, 256, 1024
 STRIP = 512
@@ -40,6 +40,24 @@ FOUND = "kind int, a long, b long, add long"
 LINK, BALL_COUNT, ROW_COUNT, OPEN = range(4)
 
 
+def _normal(rows: np.ndarray) -> np.ndarray:
+    """Unit vectors, in double precision."""
+    rows = rows.astype(np.float64)
+    rows = rows / np.abs(rows).max(axis=1)[:, None]  # very large and very small components
+    return rows / np.sqrt((rows * rows).sum(axis=1))[:, None]
+
+
+def _decoded(held: list[bytes], dim: int) -> np.ndarray:
+    """Unit vectors again from what moves: a ball's centre, or one vector as it is stored."""
+    out = np.empty((len(held), dim))
+    short = np.array([len(h) == 4 * dim for h in held])
+    for part, kind in ((short, np.float32), (~short, np.float64)):
+        at = np.flatnonzero(part)
+        if len(at):
+            out[at] = _normal(np.frombuffer(b"".join(held[i] for i in at), kind).reshape(-1, dim))
+    return out
+
+
 def _unit(batch_column: pa.Array) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], np.ndarray]:
     """By dimension, the places and unit vectors that may link; and the other places."""
     flat = batch_column.flatten()
@@ -53,8 +71,7 @@ def _unit(batch_column: pa.Array) -> tuple[dict[int, tuple[np.ndarray, np.ndarra
         good = np.isfinite(rows).all(axis=1) & (rows != 0).any(axis=1)
         at, rows = at[good], rows[good]
         if len(at):
-            rows = rows / np.abs(rows).max(axis=1)[:, None]  # very large and very small components
-            out[dim] = at, rows / np.sqrt((rows * rows).sum(axis=1))[:, None]
+            out[dim] = at, _normal(rows)
             bad[at] = False
     return out, np.flatnonzero(bad)
 
@@ -156,6 +173,8 @@ def _placed(centres: dict[int, np.ndarray]):
         for batch in batches:
             ids, names = batch.column(0).to_numpy(), batch.column(1)
             units, rest = _unit(batch.column(2))
+            stored = batch.column(2).flatten().to_numpy(zero_copy_only=False) if batch.column(2).type.value_type == pa.float32() else None
+            starts = batch.column(2).offsets.to_numpy() - batch.column(2).offsets[0].as_py()
             out = [(int(ids[i]), 0, -1, [], 1, 0.0, b"", [names[i].as_py()], b"") for i in rest.tolist()]
             for dim, (at, rows) in units.items():
                 own = centres.get(dim)
@@ -174,8 +193,9 @@ def _placed(centres: dict[int, np.ndarray]):
                 visits = visited(middle, radii, home, own) if known else [[]] * len(made)
                 for (near, centre, radius), h, v in zip(made, home.tolist(), visits):
                     held = at[near]
+                    middle_of = centre.tobytes() if stored is None or len(near) > 1 else stored[starts[held[0]] : starts[held[0] + 1]].tobytes()
                     out.append(
-                        (int(ids[held[0]]), dim, h, v, len(near), radius, centre.tobytes(), [names[i].as_py() for i in held.tolist()],
+                        (int(ids[held[0]]), dim, h, v, len(near), radius, middle_of, [names[i].as_py() for i in held.tolist()],
                          rows[near].tobytes() if len(near) > 1 else b"")
                     )
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.float64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
@@ -211,7 +231,7 @@ def _compare(table: pa.Table) -> pa.Table:
     """
     ids, radii, n = (table[c].to_numpy() for c in ("ball", "radius", "n"))
     visitor, block = table["visitor"].to_numpy(), table["block"].to_numpy()
-    middle = np.frombuffer(b"".join(table["center"].to_pylist())).reshape(len(ids), -1)
+    middle = _decoded(table["center"].to_pylist(), table["dim"][0].as_py())
     i, j = table["i"][0].as_py(), table["j"][0].as_py()
     counts, joined, still = np.zeros(len(ids), np.int64), _Joined(len(ids)), []
     mine = np.flatnonzero(~visitor & ((i == j) | (block == i) | (j < 0)))
@@ -256,7 +276,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for a, b, dim, one, two in zip(*(c.to_pylist() for c in batch.columns)):
-            left, right = np.frombuffer(one).reshape(-1, dim), np.frombuffer(two).reshape(-1, dim)
+            left, right = (_decoded([v], dim) if len(v) <= 8 * dim else np.frombuffer(v).reshape(-1, dim) for v in (one, two))
             link = left @ right.T >= COSINE
             if link.any():
                 rows.append((LINK, a, b, 0))
