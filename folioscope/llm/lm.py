@@ -26,6 +26,11 @@ from folioscope.session import through_table
 #: Tokens of a chunk (a longer text is a chunk of its own), and of an owner.
 CHUNK = 1_000_000
 OWNER = 2_000_000
+#: Beyond about 10^10 tokens both grow with the square root of the corpus, so
+#: that the rows between chunks and owners grow as the corpus does.
+CHUNK_ROOT, OWNER_ROOT = 10, 20
+#: Bytes of text that count as a token in this estimate.
+TOKEN_BYTES = 6
 #: Context frequencies are grouped by their power of two, up to this one.
 BUCKETS = 24
 #: Part of the training documents whose counts fit the weights.
@@ -305,7 +310,13 @@ def fit_weights(triples: DataFrame, total: int, distinct: int, rounds: int = 12)
     return weights
 
 
-def score_documents(docs: DataFrame, chunk_tokens: int = CHUNK, rounds: int = 12) -> DataFrame:
+def sizes(tokens: int) -> tuple[int, int]:
+    """Tokens of a chunk and of an owner: rows between them are linear in ``tokens``."""
+    root = math.isqrt(tokens)
+    return max(CHUNK, CHUNK_ROOT * root), max(OWNER, OWNER_ROOT * root)
+
+
+def score_documents(docs: DataFrame, chunk_tokens: int | None = None, rounds: int = 12) -> DataFrame:
     """One row per document with its log10 probability under the model.
 
     Documents whose crc32(doc_id as text) mod 10 is 0 are held out (a null id
@@ -321,9 +332,11 @@ def score_documents(docs: DataFrame, chunk_tokens: int = CHUNK, rounds: int = 12
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(10))
     part = F.when(fold == 0, HELD).when(fold == 1, FIT).otherwise(TRAIN)
     rows = docs.select(F.col("doc_id").cast("long"), part.alias("fold"), "text")
-    chunks = through_table(rows.mapInArrow(_cut_chunks(chunk_tokens), _CHUNK), "lm-chunks")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunk, owner = sizes(size // TOKEN_BYTES)
+    chunks = through_table(rows.mapInArrow(_cut_chunks(chunk_tokens or chunk), _CHUNK), "lm-chunks")
     tokens = chunks.agg(F.sum("n_tokens")).first()[0] or 0
-    owners = max(1, math.ceil(tokens / OWNER))
+    owners = max(1, math.ceil(tokens / owner))
     asked = chunks.mapInArrow(_ask(owners), _ASK)
     told = through_table(asked.groupBy("level", "owner").applyInArrow(_tell, _TOLD), "lm-counts")
     sums = told.where("level = 1").agg(*[F.sum(c).alias(c) for c in ("n_train", "n_fit", "v_train", "v_all")]).first()

@@ -90,13 +90,14 @@ def default_rules() -> dict[str, Column]:
     per_word = lambda c: F.col(c) / F.greatest(F.col("n_words"), F.lit(1))
     length = F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1))
     dup = F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))
+    variety = F.pow(F.col("n_words").cast("double"), F.lit(0.75))  # different words grow more slowly than words
     return {
         "length": vote(F.col("n_words") >= 100, F.col("n_words") < 20),
         "word_length": vote(length.between(3.0, 9.0), (length < 2.0) | (length > 15.0)),
         "symbols": vote(per_word("n_symbols") <= 0.02, per_word("n_symbols") > 0.2),
         "lines": vote(dup <= 0.1, dup > 0.4),
         "repeats": vote(per_word("n_repeat_words") <= 0.15, per_word("n_repeat_words") > 0.4),
-        "distinct": vote(per_word("n_distinct_words") >= 0.35, (per_word("n_distinct_words") < 0.12) & (F.col("n_words") < 2000)),
+        "distinct": vote(F.col("n_distinct_words") >= 1.1 * variety, F.col("n_distinct_words") < 0.38 * variety),
         "capitals": vote(F.col("n_upper") <= 0.2 * F.col("word_chars"), F.col("n_upper") > 0.5 * F.col("word_chars")),
         "marks": vote(per_word("n_marks") <= 0.1, per_word("n_marks") > 0.5),
     }

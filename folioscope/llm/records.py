@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.tokens import default_tokenizer, encoder, utf8
@@ -39,6 +39,8 @@ LEAD = struct.Struct("<BBq")
 TAIL = struct.Struct("<I")
 #: Bytes of text for each data file.
 FILE_BYTES = 24 << 20
+#: Files grow beyond that rather than be more than so many.
+MOST_FILES = 200_000
 
 INDEX = (
     "file string, position long, doc_id long, frame_offset long, frame_length long, "
@@ -101,7 +103,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str | None = None, end_
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
-    placed = rows.repartitionByRange(-(-size // FILE_BYTES) or 1, *order).sortWithinPartitions(*order)
+    placed = rows.repartitionByRange(-(-size // max(FILE_BYTES, size // MOST_FILES)) or 1, *order).sortWithinPartitions(*order)
     frames = placed.mapInArrow(_frames(tokenizer or default_tokenizer(), end_id), "frame binary")
     frames.select(F.col("frame").cast("string").alias("value")).write.option("compression", "none").text(f"{path}/data")
     return path
@@ -160,6 +162,11 @@ def read_shuffled(spark: SparkSession, path: str, seed: int) -> DataFrame:
     return ids.orderBy(F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("ids")))
 
 
+def file_number(name: str) -> Column:
+    """The place of a data file: the number in its name, which has no fixed width."""
+    return F.regexp_extract(name, r"^part-(\d+)", 1).cast("long")
+
+
 def stored_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2) -> DataFrame:
     """Write, read back, and return per document what the files hold.
 
@@ -170,6 +177,6 @@ def stored_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int
     """
     spark = docs.sparkSession
     index = index_records(spark, write_records(docs, fresh_path(spark, "records"), tokenizer, end_id))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(file_number("file"), "file").rowsBetween(Window.unboundedPreceding, -1)
     files = index.groupBy("file").agg(F.sum("n_tokens").alias("_n")).select("file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     return index.join(files, "file").select("doc_id", (F.col("_before") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")

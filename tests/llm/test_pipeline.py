@@ -20,6 +20,6 @@ def test_stages_in_order(spark, tmp_path, odd, nothing):
 def test_registered_queries_carry_the_contract_columns(spark):
     from folioscope.llm.queries import QUERIES
 
-    assert [q.split("_")[0] for q in QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [q.split("_")[0] for q in QUERIES] == [f"op{n}" for n in range(1, 14)]
     found = QUERIES["op7_source_mix"](spark, "/root/testdata/sf0.001")
     assert found.columns == ["doc_id", "size", "source_size", "target", "taken"]
