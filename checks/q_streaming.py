@@ -13,8 +13,12 @@ from folioscope.streaming import jobs as sj
 
 
 def stream(spark, sf, name):
+    """The table as a stream: one file, or a folder of part files.
+
+    A stream takes a single file only by a pattern, so the first letter is one.
+    """
     schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/[{name[0]}]{name[1:]}.parquet")
 
 
 @query("stream_structure", refs_with(full_ladder(), PICK))

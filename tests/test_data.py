@@ -1,5 +1,6 @@
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,3 +210,17 @@ def test_reply_repairs(spark):
     got = review.parse_replies(spark.createDataFrame(replies, "doc_id long, reply string"))
     assert sorted((r.doc_id, r.id, r.tag) for r in got.collect()) == [
         (1, 1, "H1"), (2, 2, "TXT"), (3, 3, "T1"), (4, 5, "T"), (4, 6, "T2")]
+
+
+@pytest.mark.parametrize("name", ["stream_dedup", "stream_structure", "stream_status"])
+def test_streams_read_a_folder_of_part_files(spark, tmp_path, name):
+    from __spark_entry__ import oracle_sql, queries
+
+    for t in ("documents", "events"):
+        rows = spark.read.parquet(f"{SF}/{t}.parquet").limit(60)
+        rows.repartition(3).write.parquet(f"{tmp_path}/{t}.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "events"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    verdict, _ = check(spark, con, str(tmp_path), name, queries()[name], oracle_sql()[name])
+    assert verdict.startswith("ok"), verdict
