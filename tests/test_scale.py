@@ -5,6 +5,7 @@ import json
 import random
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from folioscope.functions import text as tx
@@ -241,3 +242,47 @@ def test_open_days_complete_the_closed_ones(spark):
     rest = sorted((str(r.day), r.input_tokens, r.jobs_completed) for r in jobs.open_days(events, closed).collect())
     assert rest == [("2024-01-02", 2, 1), ("2024-01-03", 4, 1)]
     assert jobs.open_days(events, closed.limit(0)).count() == 3
+
+
+def test_greedy_alignment_equals_all_pairs_and_compares_few(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdeé", k=rng.randint(2, 7))) for _ in range(300)]
+    line = lambda n: " ".join(rng.choices(words, k=n))
+
+    def edited(text):
+        letters = list(text)
+        for _ in range(rng.randint(0, max(1, len(text) // 6))):
+            letters[rng.randrange(len(letters))] = rng.choice("xyz")
+        return "".join(letters)
+
+    a = [line(rng.choice([1, 2, 8, 16])) for _ in range(40)]
+    a += rng.choices(a, k=20)
+    b = [edited(t) for t in rng.choices(a, k=60)] + ["", line(300)]
+    frames = [
+        spark.createDataFrame([(7, i, t) for i, t in enumerate(side, 1)], "doc_id long, para_id long, text string") for side in (a, b)
+    ]
+    got = {r.para_id: (r.manual_para, r.score) for r in gd.align_once(*frames).collect()}
+
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, p in enumerate(x, 1):
+            last, row = row, [i]
+            for j, q in enumerate(y, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (p != q)))
+        return row[-1]
+
+    used, want = set(), {}
+    for i, x in enumerate(a, 1):
+        near = []
+        for j, y in enumerate(b, 1):
+            longest = max(len(x), len(y))
+            if y and j not in used and abs(len(x) - len(y)) <= 0.15 * longest:
+                score = 1.0 - distance(x, y) / longest
+                near += [(-score, j)] if score >= 0.85 else []
+        want[i] = (min(near)[1], round(-min(near)[0], 4)) if near else (None, 0.0)
+        used.add(want[i][0])
+    assert got == want and len([m for m, _ in got.values() if m]) > 25
+
+    texts = sorted({line(30) for _ in range(200)})
+    rows = pa.table({"doc_id": [1] * 400, "hash": [t.encode() for t in texts] * 2, "text": texts * 2, "side": [0] * 200 + [1] * 200})
+    assert gd._close_texts(0.85)(rows).num_rows < 300  # of 40,000 pairs
