@@ -103,7 +103,7 @@ SLACK = 1e-7
 def _asked(queries: DataFrame, index: ExampleIndex, key: list[str], keep: list[str], text: str, names: dict[str, str]) -> DataFrame:
     """Query tokens that examples know: a (share of the query's norm), bound on
     what the token adds to any score, df of all tokens before it and
-    the bound of it and all after it, in the order of falling bounds."""
+    the bound of it and all after it together, in the order of falling bounds."""
     counts = token_counts(queries, [*key, *keep], text)
     rows = checked_lookup(counts, index.tops, "token", "inner", F.xxhash64(*key))
     one = Window.partitionBy(*names.values())
@@ -113,10 +113,12 @@ def _asked(queries: DataFrame, index: ExampleIndex, key: list[str], keep: list[s
         "token", "df", "top", (F.col("tf") * F.col("idf")).alias("_wq"),
     ).withColumn("_a", F.col("_wq") / F.sqrt(F.sum(F.col("_wq") * F.col("_wq")).over(one)))
     turn = one.orderBy(F.desc("_bound"), "token")
+    # An example's shares have length 1, so what tokens add is no more than their length either.
+    later = turn.rowsBetween(0, Window.unboundedFollowing)
     return (
         rows.withColumn("_bound", F.col("_a") * F.col("top"))
         .withColumn("_met", F.coalesce(F.sum("df").over(turn.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("_rest", F.sum("_bound").over(turn.rowsBetween(0, Window.unboundedFollowing)))
+        .withColumn("_rest", F.least(F.sum("_bound").over(later), F.sqrt(F.sum(F.col("_a") * F.col("_a")).over(later))))
         .drop("_wq", "df", "top")
     )
 
