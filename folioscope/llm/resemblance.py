@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -74,12 +74,13 @@ def _text(value: pa.Scalar) -> bytes:
     return value.as_buffer().to_pybytes() if value.is_valid else b""
 
 
-def _signatures(width: int):
+def _signatures(width: int, fingerprint: Callable[[bytes, int], int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, keys, prints = [], [], [], []
             for value in batch.column(2):
                 hashes = shingles(_text(value), width)
+                prints.append(fingerprint(_text(value), width))
                 nodes.append(_node(hashes))
                 sizes.append(len(hashes))
                 keys.append(np.array(band_keys(hashes), np.uint64).view(np.int64))
@@ -87,8 +88,9 @@ def _signatures(width: int):
                 [
                     batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)),
                     pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())),
+                    pa.array(np.array(prints, np.uint64).view(np.int64)),
                 ],
-                names=["doc_id", "text_key", "node", "n", "keys"],
+                names=["doc_id", "text_key", "node", "n", "keys", "fp"],
             )
 
     return run
@@ -203,8 +205,19 @@ def _split(rows: DataFrame, low: DataFrame, level: int) -> DataFrame:
     return rows.select("key", "node", "n").join(low, "node").select(F.explode(ways).alias("key"), "node", "n")
 
 
-def resembling(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame | None:
-    """(node, root) of connected nodes; None if no two of them meet.
+def _ring_roots(nodes: DataFrame, ring: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, root) of the nodes whose fingerprints ``ring`` links, or that share one."""
+    prints = nodes.select("node", F.explode("fps").alias("fp"))
+    linked = connected(ring(prints.select("fp").distinct())).withColumnRenamed("node", "fp")
+    rooted = prints.join(linked, "fp", "left").select("node", F.coalesce("root", "fp").alias("fp"))
+    least = rooted.groupBy("fp").agg(F.min("node").alias("b"))
+    roots = connected(rooted.join(least, "fp").select(F.col("node").alias("a"), "b"))
+    release(linked)
+    return roots
+
+
+def resembling(docs: DataFrame, nodes: DataFrame, width: int, roots: DataFrame | None = None) -> DataFrame | None:
+    """(node, root) of connected nodes; ``roots``, or None, has those that are connected already.
 
     ``nodes`` has node, n, keys and least.  Members of a bucket are compared
     with its hubs, a few of its members, so texts with several near ones are
@@ -217,12 +230,14 @@ def resembling(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame | Non
     """
     members = nodes.select(F.explode("keys").alias("key"), "node", "n")
     rows = _unsettled(members, None)
+    if roots is not None:
+        met, rows = rows, _unsettled(rows, roots)
+        release(met)
     if rows.isEmpty():
-        return None
+        return roots
     wanted = nodes.join(rows.select("node").distinct(), "node", "left_semi")
     texts = matching_rows(docs.select("doc_id", "text"), wanted).select("text")
     sets = through_table(texts.mapInArrow(_sets(width), "node long, hashes array<long>").dropDuplicates(["node"]), "near-sets")
-    roots = None
     for turn in range(ROUNDS):
         if rows.isEmpty():
             break
@@ -243,8 +258,13 @@ def resembling(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame | Non
     return roots
 
 
-def near_keepers(docs: DataFrame, width: int) -> DataFrame:
-    """Column ``least``, the first row of each component of resembling texts.
+def near_keepers(
+    docs: DataFrame, width: int, fingerprint: Callable[[bytes, int], int], ring: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """Column ``least``, the first row of each component of near texts.
+
+    ``ring`` links the fingerprints first; then texts that resemble each other
+    are linked where they are not connected yet.
 
     Ids come before nulls, smallest first, then by the hash of the text.  Null
     texts count as empty; texts without words are one node, texts of fewer
@@ -252,10 +272,13 @@ def near_keepers(docs: DataFrame, width: int) -> DataFrame:
     long one is as many shingles as it has words, in one row of one task.
     """
     keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
-    kinds = "doc_id long, text_key long, node long, n long, keys array<long>"
+    kinds = "doc_id long, text_key long, node long, n long, keys array<long>, fp long"
     first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
-    made = keyed.mapInArrow(_signatures(width), kinds)
-    nodes = made.groupBy("node").agg(F.min(first).alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    made = keyed.mapInArrow(_signatures(width, fingerprint), kinds)
+    # Texts with the same shingles in other numbers have several fingerprints.
+    nodes = made.groupBy("node").agg(
+        F.min(first).alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.collect_set("fp").alias("fps")
+    )
     nodes = through_table(nodes, "near-nodes")
-    rooted = _roots(nodes.select("node", "least"), resembling(docs, nodes, width))
+    rooted = _roots(nodes.select("node", "least"), resembling(docs, nodes, width, _ring_roots(nodes, ring)))
     return rooted.groupBy("root").agg(F.min("least").alias("least"))

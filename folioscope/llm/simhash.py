@@ -235,14 +235,15 @@ def near_components(docs: DataFrame, width: int = 3) -> DataFrame:
 def drop_near(docs: DataFrame, width: int = NEAR_WIDTH) -> DataFrame:
     """One document of each near-duplicate component: the one with the smallest doc_id.
 
-    Near means a Jaccard similarity of at least 0.8 of the sets of shingles of
-    ``width`` words (see resemblance), not the fingerprints of op9, whose 3 bits
-    of 64 hold only what is almost equal.  A component without any id keeps one
+    Near means fingerprints of shingles of ``width`` words that op9's method
+    links, 3 bits of 64 apart at most; those hold only what is almost equal, so
+    a Jaccard similarity of at least 0.8 of the sets of shingles links too (see
+    resemblance).  A component without any id keeps one
     of its rows, and of rows that repeat the id the one whose text has the
     smallest hash, so an id that stands for several texts stays once for each
     component that it is first of.  All columns are unchanged.
     """
-    rows = matching_rows(docs, near_keepers(docs, width))
+    rows = matching_rows(docs, near_keepers(docs, width, fingerprint, fingerprint_links))
     own, key = rows.columns[-2:]
     (turn,) = free_names(rows, "near_turn")
     first = F.row_number().over(Window.partitionBy(own, key).orderBy(own))

@@ -120,3 +120,13 @@ def test_recall_just_above_the_threshold(spark):
     assert kept.issuperset(range(0, 2 * near, 2)) and 2 * near in kept and 2 * near + 1 not in kept
     assert len([i for i in range(1, 2 * near, 2) if i in kept]) <= 0.01 * near
     assert len(kept & {2 * near + 2, 2 * near + 3}) == 1
+
+
+def test_near_stage_links_by_fingerprints_too(spark):
+    """Equal fingerprints where repeats outweigh the rest, Jaccard under 0.8: op9's method links them."""
+    lines = "one two three four five six seven eight nine ten eleven " * 200
+    texts = [lines + "alpha beta gamma delta", lines + "kappa lambda sigma omega"]
+    a, b = (simhash.fingerprint(t.encode(), simhash.NEAR_WIDTH) for t in texts)
+    assert (a ^ b).bit_count() <= simhash.LIMIT and 5 * len(five(texts[0]) & five(texts[1])) < 4 * len(five(texts[0]) | five(texts[1]))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "something else"])], "doc_id long, text string")
+    assert {r.doc_id for r in simhash.drop_near(docs).collect()} == {0, 2}
