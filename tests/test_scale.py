@@ -141,6 +141,28 @@ def test_assignment_in_rounds_equals_going_in_order(spark, monkeypatch):
     assert take() == at_once and len(at_once) > 3
 
 
+def test_assignment_of_tied_names_needs_few_rounds(spark, monkeypatch):
+    n, steps = 40, []
+    rows = [(f"m{m:02d}", f"o{o:02d}", 4, 0.5) for m in range(n) for o in range(n)]
+    pairs = spark.createDataFrame(rows, "manual string, original string, lcs int, ratio double").cache()
+    monkeypatch.setattr(gd, "IN_ORDER", 400)
+    step = gd.cut_lineage
+    monkeypatch.setattr(gd, "cut_lineage", lambda df: steps.append(1) or step(df))
+    got = {(r.manual, r.original) for r in gd._assigned(pairs).collect()}
+    assert got == {(f"m{k:02d}", f"o{k:02d}") for k in range(n)} and len(steps) < n
+
+
+def test_common_length_of_batches(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("ab1") for _ in range(rng.randint(1, 12)))
+    rows = [(word(), word(), 0.5) for _ in range(300)]
+    frame = spark.createDataFrame(rows, "_a string, _b string, ratio double").withColumns({"manual": F.col("_a"), "original": F.col("_b")})
+    got = frame.mapInArrow(gd._with_common_length, "manual string, original string, lcs int, ratio double").collect()
+    for r in got:
+        match = difflib.SequenceMatcher(None, r.manual, r.original, autojunk=False).find_longest_match()
+        assert r.lcs == match.size
+
+
 def test_names_with_a_common_end_are_not_all_compared(spark):
     n = 3000
     rng = random.Random(1)
