@@ -151,7 +151,8 @@ query("normalize_tag", ov.with_given(f""", r AS (SELECT DISTINCT {WILD_TAG.repla
 x AS (SELECT raw, norm FROM nz9), un AS (SELECT * FROM x WHERE norm NOT IN {sb.VOCAB_SQL}),
 near AS {sb.nearest_table('un', 'norm', 'style', True)}
 SELECT raw, CASE WHEN norm IN {sb.VOCAB_SQL} THEN norm ELSE coalesce(near.style, {FAMILY_SQL}) END AS tag FROM x LEFT JOIN near ON near.tag = x.norm"""))(
-    lambda spark, sf: ov.given(spark, sf).select(F.expr(WILD_TAG).alias("raw")).distinct()
+    # The few bytes of the distinct tags are much work: they are dealt out as the documents are.
+    lambda spark, sf: ov.given(spark, sf).select(F.expr(WILD_TAG).alias("raw")).distinct().repartition(ov.parts(spark, sf), "raw")
     .withColumn("norm", st.normalize_style(F.col("raw")))
     .select("raw", st.enforce_membership(F.col("norm"), sb.VOCAB).alias("tag")))
 

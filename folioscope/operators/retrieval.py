@@ -22,6 +22,7 @@ from folioscope.session import BROADCAST_ROWS, checked_lookup, through_table
 
 EXAMPLE = ["doc_id", "para_id"]
 SCORE_PLACES = 9  # equal texts must tie whatever the summation order
+POSTINGS = 500_000  # rows of a partition
 BOOST = 1.2  # of examples from the query's own book
 
 
@@ -51,6 +52,8 @@ def weighted(
     spread = F.xxhash64(*keys)
     joined = checked_lookup(counts, idf.select("token", "idf"), "token", how, spread)
     w = joined.select(*keys, *also, "token", (F.col("tf") * F.col("idf")).alias("w"))
+    # In partitions of a bounded number of rows: few bytes once packed, they are sorted here.
+    w = w.repartition(max(1, -(-counts.count() // POSTINGS)), *keys)
     square = F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*keys))
     return w.withColumn("norm", F.sqrt(square))
 
