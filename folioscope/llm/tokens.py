@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,6 +16,8 @@ STRETCH = 2 << 20
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _SPECIAL = b"<|"
 _SPACE = re.compile(rb"[ \t-\r]")
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+_LETTERS = re.compile(rb"[a-z]+").fullmatch
 _LOADED: dict[str, WordIds] = {}
 
 
@@ -35,38 +38,50 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.code = "H" if self.dtype == "<u2" else "I"
+        self.plain = self._keeps_letters()
         self.fresh: dict[bytes, bytes] = {}
         self.stale: dict[bytes, bytes] = {}
 
+    def _keeps_letters(self) -> bool:
+        """Whether words of a-z reach the model as they are, so that it can be asked at once."""
+        t = self.tokenizer
+        text = t.normalizer.normalize_str(LETTERS) if t.normalizer else LETTERS
+        parts = t.pre_tokenizer.pre_tokenize_str(text) if t.pre_tokenizer else []
+        added = [str(a.content) for a in t.get_added_tokens_decoder().values()]
+        return [p for p, _ in parts] == [LETTERS] and all(_SPECIAL in a.encode() for a in added)
+
+    def _encode_word(self, w: bytes) -> bytes:
+        if self.plain and _LETTERS(w):
+            ids = [t.id for t in self.tokenizer.model.tokenize(w.decode())]
+        else:
+            ids = self.tokenizer.encode(w.decode(), add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
     def _learn(self, wanted: set[bytes]) -> None:
         """Make sure that the fresh generation has all these words."""
         if len(self.fresh) > CACHE_WORDS:
             self.fresh, self.stale = {}, self.fresh
         unknown, marked = set(), []
-        for w in wanted.difference(self.fresh):
-            if self._known(w):
+        fresh, stale = self.fresh, self.stale
+        for w in wanted.difference(fresh):
+            if (ids := stale.get(w)) is not None:
+                fresh[w] = ids
                 continue
             core = w.rstrip(_MARKS)
             if core and core != w and _SPECIAL not in w and _ends_in_letter(core):
-                marked.append((w, core, w[len(core) :]))
-                unknown.update(x for x in marked[-1][1:] if not self._known(x))
+                marks = w[len(core) :]
+                marked.append((w, core, marks))
+                unknown.add(core)
+                unknown.add(marks)
             else:
                 unknown.add(w)
-        encode, fresh = self.tokenizer.encode, self.fresh
-        for w in unknown:
-            fresh[w] = np.array(encode(w.decode(), add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+        for w in unknown.difference(fresh):
+            ids = stale.get(w)
+            fresh[w] = self._encode_word(w) if ids is None else ids
         for w, core, marks in marked:
             fresh[w] = fresh[core] + fresh[marks]
 
-    def _known(self, w: bytes) -> bool:
-        if w in self.fresh:
-            return True
-        ids = self.stale.get(w)
-        if ids is None:
-            return False
-        self.fresh[w] = ids
-        return True
-
     def _stretches(self, text: bytes) -> Iterator[bytes]:
         """Cuts a very long text at white space."""
         start = 0

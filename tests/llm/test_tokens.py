@@ -109,3 +109,22 @@ def test_a_damaged_frame_is_refused():
         bad[at] ^= 1
         with pytest.raises((ValueError, struct.error, IndexError)):
             records.unframe(memoryview(bytes(bad)), 0)
+
+
+def test_plain_words_go_to_the_model_at_once():
+    path = tokens.default_tokenizer()
+    words = tokens.WordIds(path)
+    whole = words.tokenizer.encode
+
+    class Asked:
+        model, seen = words.tokenizer.model, []
+
+        def encode(self, text, **options):
+            self.seen.append(text)
+            return whole(text, **options)
+
+    words.tokenizer = asked = Asked()
+    text = "thonre Anblewh anblewh, istionre's \u00e9tre 12 <|endoftext|> x\u0301y."
+    got = np.frombuffer(next(iter(words.encode([text.encode()]))), words.dtype).tolist()
+    assert not [w for w in asked.seen if w in ("thonre", "anblewh")]
+    assert got == whole(text, add_special_tokens=False).ids
