@@ -35,6 +35,8 @@ FURTHER, WAYS = 6, 3
 #: Parts that the pairs of one hub are dealt to.
 SALTS = 32
 STEP = 2048
+#: Texts whose sets of shingles are held at a time.
+SETS_AT_ONCE = 1000
 
 _rng = np.random.default_rng(SEED)
 _XOR = _rng.integers(0, 1 << 32, MINIMA, dtype=np.uint32)[:, None]
@@ -98,8 +100,8 @@ def _signatures(width: int, fingerprint: Callable[[bytes, int], int]):
 
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [shingles(_text(t), width) for t in batch.column(0)]
+        for part in (batch.slice(k, SETS_AT_ONCE) for batch in batches for k in range(0, batch.num_rows, SETS_AT_ONCE)):
+            made = [shingles(_text(t), width) for t in part.column(0)]
             nodes = np.array([_node(x) for x in made], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(nodes), pa.array([x.view(np.int64) for x in made], pa.list_(pa.int64()))], names=["node", "hashes"]
@@ -188,7 +190,9 @@ def _round(rows: DataFrame, sets: DataFrame, roots: DataFrame | None, hubs: int,
 
 def _minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        low = [minima(np.array(h, np.int64).view(np.uint64)).view(np.int32) for h in batch.column(1).to_pylist()]
+        ends = batch.column(1).offsets.to_numpy()
+        hashes = batch.column(1).values.to_numpy(zero_copy_only=False).view(np.uint64)  # no Python number for each
+        low = [minima(hashes[a:b]).view(np.int32) for a, b in zip(ends, ends[1:])]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(low, pa.list_(pa.int32()))], names=["node", "low"])
 
 

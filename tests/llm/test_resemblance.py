@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from folioscope.llm import resemblance, simhash
 
 
@@ -130,3 +133,17 @@ def test_near_stage_links_by_fingerprints_too(spark):
     assert (a ^ b).bit_count() <= simhash.LIMIT and 5 * len(five(texts[0]) & five(texts[1])) < 4 * len(five(texts[0]) | five(texts[1]))
     docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "something else"])], "doc_id long, text string")
     assert {r.doc_id for r in simhash.drop_near(docs).collect()} == {0, 2}
+
+
+def test_minima_make_no_python_number_of_each_hash():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    made = [rng.integers(-(1 << 63), 1 << 63, 500, dtype=np.int64) for _ in range(2001)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2001), pa.int64()), pa.array(made, pa.list_(pa.int64()))], names=["node", "hashes"])
+    tracemalloc.start()
+    low = [x for part in resemblance._minima(iter([batch.slice(1)])) for x in part.column(1).slice(0, 20).to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert low == [resemblance.minima(h.view(np.uint64)).view(np.int32).tolist() for h in made[1:21]]
+    assert peak < 10 << 20
