@@ -21,8 +21,8 @@ def test_documents_are_divided_by_their_text(spark, monkeypatch):
     monkeypatch.setattr(src, "PART_BYTES", 1 << 20)
     assert src.parts_for(docs) > 10
     assert ov.given_of(docs).rdd.getNumPartitions() == src.parts_for(docs)
-    assert src.parts_for(docs.limit(0)) == 1
-    assert src.parts_for(spark.createDataFrame([(1, None)], SCHEMA)) == 1
+    assert src.parts_for(docs.limit(0)) == 2
+    assert src.parts_for(spark.createDataFrame([(1, None)], SCHEMA)) == 2
 
 
 def test_distinct_tags_are_dealt_out(spark, monkeypatch, tmp_path):
