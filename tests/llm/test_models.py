@@ -1,7 +1,10 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from folioscope.llm import html, lm, toxicity, urls
@@ -133,3 +136,20 @@ def test_labels_reach_pages_by_document_number(spark):
     labels = spark.createDataFrame([(12, 1, 0), (13, 0, 0), (14, 1, 1), (14, 1, 0)], "doc_id long, quality int, toxic int")
     got = {r.url: r.bad for r in urls.labelled_urls(pages, labels).collect()}
     assert got == {"http://a.b/en/12?p=1": 0, "http://a.b/en/13.html": 1, "http://a.b/en/14/": 1}
+
+
+def test_fit_holds_its_features_once(monkeypatch):
+    """Counting and looking up the features takes memory for a block of them, not several times all."""
+    rng = np.random.default_rng(4)
+    docs = [np.unique(rng.integers(0, 5000, 2500)).astype("<i4") for _ in range(600)]
+    ys = rng.integers(0, 2, (600, 2)).astype("i4")
+    table = pa.table({"ids": [d.tobytes() for d in docs], "doc_id": list(range(600)), "y0": ys[:, 0], "y1": ys[:, 1]})
+    monkeypatch.setattr(toxicity, "FEATURES", 20)
+    whole = toxicity._fit(2)((), table)
+    monkeypatch.setattr(toxicity, "BLOCK", 20_000, raising=False)
+    tracemalloc.start()
+    made = toxicity._fit(2)((), table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made == whole and len(made["features"][0]) == 20
+    assert peak < table["ids"].nbytes
