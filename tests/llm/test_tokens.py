@@ -128,3 +128,14 @@ def test_plain_words_go_to_the_model_at_once():
     got = np.frombuffer(next(iter(words.encode([text.encode()]))), words.dtype).tolist()
     assert not [w for w in asked.seen if w in ("thonre", "anblewh")]
     assert got == whole(text, add_special_tokens=False).ids
+
+
+def test_each_word_is_kept_once_without_its_marks():
+    whole = Tokenizer.from_file(tokens.default_tokenizer())
+    odd = ["İstanbul", "it's,", "<|x|>!", "étude.", "́a;", "ª,", "١٢٣", "𝒜bc?", "😀!", "ſt", "ﬁn", "Größe", "…", "a_b--", " x ", "　"]
+    texts = ["word word, word. word!? größe größe; GRÖSSE...", " ".join(odd), " \n" + "\t".join(odd[::-1]) + "\x0b", "", " ", "größe " * 3]
+    words = tokens.WordIds(tokens.default_tokenizer())
+    for got, text in zip(words.encode([t.encode() for t in texts]), texts, strict=True):
+        assert np.frombuffer(got, words.dtype).tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert "word" in words.fresh and "größe" in words.fresh
+    assert not {"word,", "word.", "word!?", "größe;"} & set(words.fresh)
