@@ -58,3 +58,15 @@ def test_alias_ladder(spark):
     df = spark.createDataFrame([c[:4] for c in cases], "tag string, zone string, in_ref boolean, text string")
     got = [r.mapped_tag for r in st.map_tag_alias(df, "tag", v).collect()]
     assert got == [c[4] for c in cases]
+
+
+def test_styles_of_another_length_are_not_compared(spark, monkeypatch):
+    """Free text in a tag is not held against every style; what is near is found as before."""
+    plain = st.edit_similarity
+    apart = lambda a, b: F.abs(F.length(a) - F.length(b)) > 0.5 * F.greatest(F.length(a), F.length(b))
+    monkeypatch.setattr(st, "edit_similarity", lambda a, b: F.when(apart(a, b), F.raise_error("compared")).otherwise(plain(a, b)))
+    vocabulary = st.Vocabulary(["TXT", "BL-MID", "REF-U", "Heading-1"])
+    want = {"TXTS": "TXT", "bl-mit": "BL-MID", "REF": "REF-U", "heading1": "Heading-1", "WORDS" * 30: None, "": None, "H": None, "T": None}
+    tags = spark.createDataFrame([*want.items(), (None, None)], "tag string, want string")
+    rows = tags.select("tag", "want", st.nearest(F.col("tag"), vocabulary, fold_case=True).alias("got")).collect()
+    assert [(r.tag, r.got) for r in rows] == [(r.tag, r.want) for r in rows]
