@@ -12,9 +12,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words in each of the two generations of the cache.
-CACHE_WORDS = 320_000
+CACHE_WORDS = 256_000
 #: Bytes of text that are split into words at a time.
-STRETCH = 8 << 20
+STRETCH = 4 << 20
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _TAIL = "(?P<marks>[" + re.escape(_MARKS) + r"]+)\z"
 _ENDS_IN_LETTER = r"[\p{L}0-9]\z"
