@@ -33,7 +33,7 @@ def examples(spark, sf):
 
 
 def index(spark, sf):
-    return retrieval.ExampleIndex(examples(spark, sf), carry=("name", "zone"))
+    return retrieval.ExampleIndex(examples(spark, sf), carry=("name", "zone"), parts=ov.parts(spark, sf))
 
 
 query("tfidf_idf", f"WITH {EXAMPLES} SELECT token, df, round(idf, 6) AS idf FROM idf")(

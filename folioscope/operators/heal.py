@@ -45,7 +45,8 @@ def self_heal(
     )
     second = st.map_tag_alias(chosen, "_raw", v, out="mapped_tag", text=text)
     if index is not None:
-        healed = knn_tags(index, second, v)
+        asked = second.select(*KEYS, "zone", F.col(text).alias("text"), "mapped_tag", "_conf", "corrected")
+        healed = knn_tags(index, asked, v)
     else:
         healed = second.withColumn(
             "final_tag", st.enforce_membership(normalize_style(F.col("mapped_tag")), v)

@@ -1,7 +1,7 @@
 """Similar gold examples: TF-IDF postings, top-k, diverse picks, k-NN tags.
 
-Postings keep (doc_id, para_id) and the labels that a retrieval may ask for,
-so on input placed by doc_id the token counts and norms need no further
+Postings keep (doc_id, para_id) and the labels that a retrieval may ask for.
+Token counts are handed over in buckets of doc_id, so the norms need no further
 exchange.  A query is first asked with its rarest tokens; the score that this
 reaches tells which other tokens can still bring an example among the best k,
 and the rest is only looked up for examples that the bounds leave.
@@ -10,31 +10,39 @@ and the rest is only looked up for examples that the bounds leave.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import cached_property
+from copy import copy
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import styles as st
 from folioscope.functions.styles import Vocabulary
-from folioscope.functions.text import matching_text, tokens
-from folioscope.session import BROADCAST_ROWS, checked_lookup, through_table
+from folioscope.functions.text import searched_text, tokens
+from folioscope.session import BROADCAST_ROWS, checked_lookup, into_buckets, through_buckets, through_table
+from folioscope.sources.documents import by_document
 
 EXAMPLE = ["doc_id", "para_id"]
 SCORE_PLACES = 9  # equal texts must tie whatever the summation order
 POSTINGS = 500_000  # rows of a partition
+LETTERS = 6  # bytes of text that a posting stands for, at least
+FREQUENT = 1_000_000  # tokens whose document frequencies are broadcast
 BOOST = 1.2  # of examples from the query's own book
 
 
+def _words(rows: DataFrame, keys: list[str], text: str, mark: str | None = None) -> DataFrame:
+    """(keys, token, _c, _n): each row's tokens with their count and that of all; ``mark`` is one more."""
+    words = rows.select(*keys, tokens(searched_text(F.col(text))).alias("_w"))
+    # Sized before the split, which would carry the whole list along with each token.
+    sized = words.select(*keys, F.size("_w").alias("_n"), "_w")
+    each = F.col("_w") if mark is None else F.concat(F.coalesce("_w", F.array().cast("array<string>")), F.array(F.lit(mark)))
+    split = sized.select(*keys, "_n", F.explode(each).alias("token"))
+    return split.groupBy(*keys, "token").agg(F.count("*").alias("_c"), F.first("_n").alias("_n"))
+
+
 def token_counts(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """(keys, token, tf): share of each token in its row."""
-    words = rows.select(*keys, tokens(matching_text(F.col(text))).alias("_w"))
-    sized = words.select(*keys, F.size("_w").alias("_n"), F.explode("_w").alias("token"))
-    return (
-        sized.groupBy(*keys, "token")
-        .agg(F.count("*").alias("_c"), F.first("_n").alias("_n"))
-        .select(*keys, "token", (F.col("_c") / F.col("_n")).alias("tf"))
-    )
+    return _words(rows, keys, text).select(*keys, "token", (F.col("_c") / F.col("_n")).alias("tf"))
 
 
 def inverse_frequency(counts: DataFrame, total: int, scale: str = "ratio") -> DataFrame:
@@ -45,33 +53,99 @@ def inverse_frequency(counts: DataFrame, total: int, scale: str = "ratio") -> Da
     )
 
 
-def weighted(
-    counts: DataFrame, idf: DataFrame, keys: list[str], how: str = "inner", also: Sequence[str] = ()
-) -> DataFrame:
-    """(keys, also, token, w, norm): TF-IDF weight and the row's vector length."""
-    spread = F.xxhash64(*keys)
-    joined = checked_lookup(counts, idf.select("token", "idf"), "token", how, spread)
-    w = joined.select(*keys, *also, "token", (F.col("tf") * F.col("idf")).alias("w"))
-    # In partitions of a bounded number of rows: few bytes once packed, they are sorted here.
-    w = w.repartition(max(1, -(-counts.count() // POSTINGS)), *keys)
-    square = F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*keys))
+def _often(idf: DataFrame) -> tuple[int, bool]:
+    """The least df, a power of two, whose tokens can be broadcast, and whether all others stand in one row each."""
+    sizes = idf.groupBy(F.floor(F.log2("df")).cast("int").alias("power")).agg(F.count("*").alias("n")).collect()
+    kept = 0
+    for power, n in sorted(((r["power"], r["n"]) for r in sizes), reverse=True):
+        if (kept := kept + n) > FREQUENT:
+            return 1 << (power + 1), power == 0
+    return 1, False
+
+
+def weighted(counts: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """(EXAMPLE, also, token, df, idf, w, norm): TF-IDF weight and the row's vector length."""
+    w = counts.select(*EXAMPLE, *also, "token", "df", "idf", (F.col("tf") * F.col("idf")).alias("w"))
+    square = F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*EXAMPLE))
     return w.withColumn("norm", F.sqrt(square))
 
 
 class ExampleIndex:
     """Weighted postings of the usable gold rows.
 
-    Token counts and postings are written to the shared folder once, with the
-    columns in ``carry`` (names, zones, tags that later restrict or raise
-    examples); every retrieval reads them from there.
+    Token counts are written to the shared folder once, with the columns in
+    ``carry`` (names, zones, tags that later restrict or raise examples);
+    every retrieval reads them from there.  ``parts`` says that the examples
+    are already placed by doc_id in as many partitions.
     """
 
-    def __init__(self, examples: DataFrame, scale: str = "ratio", carry: Sequence[str] = ()):
+    def __init__(self, examples: DataFrame, scale: str = "ratio", carry: Sequence[str] = (), parts: int | None = None):
         self.examples = examples
         self.carry = tuple(carry)
-        self.counts = through_table(token_counts(examples, [*EXAMPLE, *carry]), "token-counts")
-        self.idf = inverse_frequency(self.counts, examples.count(), scale)
-        self.postings = weighted(self.counts, self.idf, EXAMPLE, also=carry)
+        rows = examples
+        if parts is None:
+            size = examples.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+            parts = max(2, -(-size // (POSTINGS * LETTERS)))
+            rows = by_document(examples, EXAMPLE[0], parts)
+        # One more token, empty, in each row counts the examples along the way.
+        tf = (F.col("_c") / F.nullif("_n", F.lit(0))).alias("tf")
+        unknown = [F.lit(None).cast(kind).alias(c) for c, kind in (("df", "bigint"), ("idf", "double"))]
+        counted = _words(rows, [*EXAMPLE, *carry], "text", mark="").select(*EXAMPLE, *carry, "token", "_c", tf, *unknown)
+        self._held = through_buckets(counted, "token-counts", parts, EXAMPLE[0], EXAMPLE)
+        self._parts = parts
+        total = self._held.where("token = ''").agg(F.sum("_c")).first()[0] or 0
+        self.counts = self._held.where("token <> '' AND df IS NULL").drop("_c", "df", "idf")
+        self.idf = through_table(inverse_frequency(self.counts, total, scale), "token-idf")
+
+    @cached_property
+    def known(self) -> DataFrame:
+        """(EXAMPLE, carry, token, tf, df, idf), placed by doc_id as the counts are.
+
+        The most frequent tokens are looked up in a broadcast.  Others have one
+        idf if they stand in one row each; else their postings, few, are moved
+        to their tokens, and come back to the counts with their df.
+        """
+        table, (least, single) = self.idf.select("token", "df", "idf"), self._often
+        often = F.broadcast(table.where(F.col("df") >= least).withColumnsRenamed({"df": "_df", "idf": "_idf"}))
+        held, df, idf = self._held, F.coalesce("df", "_df"), F.coalesce("idf", "_idf")
+        if single:
+            once = table.where("df = 1").select("idf").first()[0]
+            df, idf = F.coalesce("_df", F.lit(1).cast("bigint")), F.coalesce("_idf", F.lit(once))
+        elif least > 1:
+            rare = self.counts.join(often.select("token"), "token", "left_anti").join(table.where(F.col("df") < least), "token")
+            rare = rare.withColumn("_c", F.lit(0).cast("bigint")).repartition(self._parts, EXAMPLE[0])
+            held = into_buckets(held, rare, self._parts, EXAMPLE[0], EXAMPLE)
+        found = held.where("token <> ''").join(often, "token", "left").withColumns({"df": df, "idf": idf})
+        return found.where("df IS NOT NULL").drop("_c", "_df", "_idf")
+
+    @cached_property
+    def _often(self) -> tuple[int, bool]:
+        return _often(self.idf)
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        """(EXAMPLE, carry, token, df, idf, w, norm), placed by doc_id as the counts are."""
+        return weighted(self.known, self.carry)
+
+    def looked_up(self, counts: DataFrame) -> DataFrame:
+        """``counts`` of other rows with df and idf, without tokens that no example has."""
+        table, (least, _) = self.idf.select("token", "df", "idf"), self._often
+        often = F.broadcast(table.where(F.col("df") >= least))
+        found = counts.join(often, "token")
+        if least == 1:
+            return found
+        rare = counts.join(often.select("token"), "token", "left_anti").join(table.where(F.col("df") < least), "token")
+        return found.unionByName(rare.select(*found.columns))
+
+    def restricted(self, words: DataFrame) -> ExampleIndex:
+        """The index with the postings of these tokens alone; norms count all tokens."""
+        if words.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+            return self
+        part = copy(self)
+        for name in ("impacts", "tops"):
+            part.__dict__.pop(name, None)
+        part.postings = self.postings.join(F.broadcast(words), "token", "left_semi")
+        return part
 
     @cached_property
     def impacts(self) -> DataFrame:
@@ -117,7 +191,7 @@ def _asked(queries: DataFrame, index: ExampleIndex, key: list[str], keep: list[s
     ).withColumn("_a", F.col("_wq") / F.sqrt(F.sum(F.col("_wq") * F.col("_wq")).over(one)))
     turn = one.orderBy(F.desc("_bound"), "token")
     # An example's shares have length 1, so what tokens add is no more than their length either.
-    later = turn.rowsBetween(0, Window.unboundedFollowing)
+    later = one.orderBy("_bound", F.desc("token")).rowsBetween(Window.unboundedPreceding, 0)
     return (
         rows.withColumn("_bound", F.col("_a") * F.col("top"))
         .withColumn("_met", F.coalesce(F.sum("df").over(turn.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -186,6 +260,7 @@ def retrieve(
     """
     pool = index.examples if where is None else index.examples.where(where)
     extras = [pair[1] for pair in (book, same) if pair]
+    index = index.restricted(_words(queries, [], text).select("token"))
     postings = index.impacts
     if where is not None or not set(extras) <= set(index.carry):
         missing = [c for c in extras if c not in index.carry]
@@ -243,6 +318,84 @@ def retrieve(
     ).withColumn("similarity", F.round("score", 4)).drop("score")
 
 
+def _leading(rows: DataFrame, one: Sequence[str]) -> DataFrame:
+    """Rows (one, _same, token, idf, w) with share, what is left of the vector from a token on, and two hashes of the vector.
+
+    All vectors have their tokens in one order, the highest idf first; it is
+    gone through from the end, as a frame that runs to the end is summed anew
+    for each row.  The ordered window comes first, so that the others need no
+    sort of their own.
+    """
+    whole, square = Window.partitionBy(*one), F.col("w") * F.col("w")
+    later = whole.orderBy("idf", F.xxhash64("token"), "token").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.select(*one, "_same", "token", "idf", "w").withColumn("left", F.sum(square).over(later))
+    rows = rows.select("*", F.sqrt(F.sum(square).over(whole)).alias("norm"), *[
+        F.bit_xor(F.xxhash64("token", "w", "_same", F.lit(n))).over(whole).alias(f"_v{n}") for n in (1, 2)
+    ])
+    return rows.where("_same IS NOT NULL").select(
+        *one, "_same", "token", (F.col("w") / F.col("norm")).alias("share"), (F.sqrt("left") / F.col("norm")).alias("left"), "_v1", "_v2"
+    )
+
+
+def nearest(
+    index: ExampleIndex, queries: DataFrame, key: list[str], same: tuple[str, str], floor: float, text: str = "text"
+) -> DataFrame:
+    """(key, example_doc, example_para, similarity): what ``retrieve`` ranks first for a query, if that is above ``floor``.
+
+    Of a pair above the floor, the first common token stands, in both vectors,
+    where what is left of the vector is still as long as the floor.  So only
+    these leading tokens meet, few where tokens are rare.  The product of the
+    shares and that of what is left behind bound the score; what can still be
+    the best is summed in full.  Equal vectors count as one, the latest example
+    of them.
+    """
+    names = {c: f"_k{i}" for i, c in enumerate(key)}
+    least, one, vector = floor - SLACK, list(names.values()), ["_same", "_v1", "_v2"]
+    renamed = queries.select(*[F.col(c).alias(n) for c, n in names.items()], F.upper(same[0]).alias("_same"), text)
+    asked = index.looked_up(token_counts(renamed, [*one, "_same"], text)).withColumn("w", F.col("tf") * F.col("idf"))
+    asked = through_table(_leading(asked, one), "asked")
+    vectors = asked.groupBy(*vector, "token").agg(F.first("share").alias("_a"), F.first("left").alias("_left"))
+
+    def restricted(rows: DataFrame) -> DataFrame:
+        if same[1] not in index.carry:
+            rows = rows.join(index.examples.select(*EXAMPLE, same[1]), EXAMPLE)
+        return rows.withColumns({"_same": F.upper(same[1]), "w": F.col("tf") * F.col("idf")})
+
+    leading = _leading(restricted(index.known), EXAMPLE).where(F.col("left") >= least)
+    leading = leading.groupBy(*vector, "token").agg(
+        F.max(F.struct(*EXAMPLE)).alias("_e"), F.first("share").alias("share"), F.first("left").alias("left")
+    ).select("_same", "token", "_e", "share", "left")
+    first = through_table(vectors.where(F.col("_left") >= least), "asked-leading")
+    few = first.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    met = leading.join(F.broadcast(first) if few else first, ["_same", "token"])
+    behind = lambda left, own: F.sqrt(F.greatest(F.col(left) * F.col(left) - F.col(own) * F.col(own), F.lit(0.0)))
+    product = F.col("_a") * F.col("share")
+    met = met.withColumn("_least", product).withColumn("_most", product + behind("_left", "_a") * behind("left", "share"))
+    near = met.groupBy(*vector, "_e").agg(F.sum("_least").alias("_least"), F.max("_most").alias("_most"))
+    reach = F.greatest(F.max("_least").over(Window.partitionBy(*vector)) - SLACK, F.lit(least))
+    near = near.withColumn("_reach", reach).where("_most >= _reach").select(*vector, F.col("_e.*"))
+    near = through_table(near, "near")
+
+    wanted = near.select(F.xxhash64(*EXAMPLE).alias("_id")).distinct()
+    shown = index.known.withColumn("_id", F.xxhash64(*EXAMPLE))
+    shown = shown.join(F.broadcast(wanted) if wanted.count() <= 2 * BROADCAST_ROWS else wanted, "_id", "left_semi").drop("_id")
+    shown = _leading(restricted(shown), EXAMPLE).select(
+        F.col("_same").alias("_zone"), *[F.col(c).alias(f"_e_{c}") for c in EXAMPLE], "token", "share"
+    )
+    its = [F.col(f"_e_{c}").eqNullSafe(F.col(c)) for c in EXAMPLE] + [F.col("_zone") == F.col("_same")]
+    pairs = near.join(shown, reduce(lambda a, b: a & b, its)).select(*vector, *EXAMPLE, "token", "share")
+    scored = pairs.join(vectors.drop("_left"), [*vector, "token"]).groupBy(*vector, *EXAMPLE).agg(
+        F.round(F.sum(F.col("_a") * F.col("share")), SCORE_PLACES).alias("score")
+    )
+    best = scored.groupBy(*vector).agg(F.max(F.struct("score", *EXAMPLE)).alias("_b"))
+    best = best.withColumn("similarity", F.round("_b.score", 4)).where(F.col("similarity") > floor)
+    every = asked.select(*one, *vector).distinct()
+    return every.join(best, vector).select(
+        *[F.col(n).alias(c) for c, n in names.items()],
+        F.col(f"_b.{EXAMPLE[0]}").alias("example_doc"), F.col(f"_b.{EXAMPLE[1]}").alias("example_para"), "similarity",
+    )
+
+
 def _latest(pool: DataFrame, n: int, same: str | None, every: DataFrame) -> DataFrame:
     """Every query with the ``n`` latest examples of its restriction.
 
@@ -305,18 +458,17 @@ def knn_tags(
     """Tag of the most similar example for unknown predictions, above ``floor``.
 
     ``rows`` has mapped_tag and zone; only rows whose mapped tag is unknown
-    and whose nearest vocabulary entry is plain text are looked up.
+    and whose nearest vocabulary entry is plain text are looked up.  The text
+    is not handed on.
     """
     keyed = rows.withColumn("_norm", st.normalize_style(F.col("mapped_tag"))).withColumn(
         "normalized_tag", st.enforce_membership(F.col("_norm"), vocabulary)
     )
     ask = ~vocabulary.has("mapped_tag") & F.col("normalized_tag").isin("TXT", "TXT-FLUSH")
-    # Written once: the lookup reads its questions several times.
-    keyed = through_table(keyed.withColumn("_ask", ask).drop("_norm"), "knn-rows")
-    asked = keyed.where("_ask")
-    best = retrieve(index, asked, EXAMPLE, k=1, same=("zone", "zone"), fill=False, floor=floor).where(
-        F.col("similarity") > floor
-    )
+    # Written once, with the texts that are asked.
+    keyed = keyed.withColumn("_ask", ask).withColumn("text", F.when(F.col("_ask"), F.col("text"))).drop("_norm")
+    keyed = through_table(keyed, "knn-rows")
+    best = nearest(index, keyed.where("_ask"), EXAMPLE, ("zone", "zone"), floor)
     tags = index.examples.select(
         F.col("doc_id").alias("example_doc"), F.col("para_id").alias("example_para"), "gold_tag"
     )
@@ -328,4 +480,4 @@ def knn_tags(
     ).where((F.col("_g") != "TXT") | (F.col("gold_tag") == "TXT"))
     return keyed.join(found.select(*EXAMPLE, "similarity", F.col("_g").alias("knn_tag")), EXAMPLE, "left").withColumn(
         "final_tag", F.coalesce("knn_tag", "normalized_tag")
-    ).drop("_ask")
+    ).drop("_ask", "text")
