@@ -137,6 +137,11 @@ class ExampleIndex:
         rare = counts.join(often.select("token"), "token", "left_anti").join(table.where(F.col("df") < least), "token")
         return found.unionByName(rare.select(*found.columns))
 
+    @cached_property
+    def labels(self) -> DataFrame:
+        """The examples without their text, written once: a retrieval reads them several times."""
+        return through_table(self.examples.drop("text"), "labels")
+
     def restricted(self, words: DataFrame) -> ExampleIndex:
         """The index with the postings of these tokens alone; norms count all tokens."""
         if words.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
@@ -258,7 +263,7 @@ def retrieve(
     token gets the diverse examples, as ranked there, with similarity 0.
     Examples below ``floor`` may be left out (with ``fill`` off).
     """
-    pool = index.examples if where is None else index.examples.where(where)
+    pool = index.labels if where is None else index.examples.where(where)
     extras = [pair[1] for pair in (book, same) if pair]
     index = index.restricted(_words(queries, [], text).select("token"))
     postings = index.impacts
@@ -305,7 +310,7 @@ def retrieve(
         rows = top.drop("rank").unionByName(filler.select(*names.values(), *EXAMPLE, F.lit(0.0).alias("score")))
         top = first_k(rows.groupBy(*names.values(), *EXAMPLE).agg(F.max("score").alias("score")))
         # At most k diverse examples: one short list for all unanswered queries.
-        picked = [r.asDict() for r in diverse(index.examples, k).collect()]
+        picked = [r.asDict() for r in diverse(index.labels, k).collect()]
         if picked:
             shown = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in r.items()]) for r in picked])
             unknown = every.join(known, [*names.values()], "left_anti").withColumn("_e", F.explode(shown))

@@ -84,3 +84,20 @@ def test_only_postings_of_asked_tokens_are_written(spark, monkeypatch):
     retrieval.retrieve(index, spark.createDataFrame([(1, "r5 r9 c1")], "q long, text string"), ["q"], k=3).collect()
     asked = index.counts.where(F.col("token").isin("r5", "r9", "c1")).count()
     assert dict(written)["postings"].count() == asked < index.counts.count() / 4
+
+
+def test_a_retrieval_takes_the_texts_of_the_examples_for_the_index_and_the_labels_alone(spark):
+    rng = random.Random(4)
+    read = spark.sparkContext.accumulator(0)
+    gold = [(i, 1, t, f"T{i % 9}", 1.0, "a") for i, t in enumerate(made_texts(rng, 30))]
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    examples = spark.createDataFrame(gold, SCHEMA).mapInArrow(counted, SCHEMA)
+    index = retrieval.ExampleIndex(examples, carry=("zone",), parts=2)
+    asked = spark.createDataFrame([(1, "r5 r9 c1", "a"), (2, "unheard", "A")], "q long, text string, zone string")
+    rows = retrieval.retrieve(index, asked, ["q"], k=3, same=("zone", "zone"), book=("zone", "zone")).collect()
+    assert len(rows) == 6 and read.value == 2 * len(gold)
