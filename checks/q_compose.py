@@ -185,7 +185,7 @@ def _(spark, sf):
     """The same with the gold index as the third step."""
     rows = wild(spark, sf).withColumn("confidence", F.round(F.col("confidence") * 100))
     none = rows.limit(0).select(*KEY, "tag", "confidence")
-    return self_heal(rows, none, V, ExampleIndex(gold_examples(spark, sf), carry=("zone",), parts=ov.parts(spark, sf)))
+    return self_heal(rows, none, V, ExampleIndex(gold_examples(spark, sf), carry=("zone",), parts=ov.parts(spark, sf), each_row=True))
 
 
 # --- composed plans ---------------------------------------------------------------------------------------

@@ -76,11 +76,13 @@ class ExampleIndex:
     Token counts are written to the shared folder once, with the columns in
     ``carry`` (names, zones, tags that later restrict or raise examples);
     every retrieval reads them from there.  ``parts`` says that the examples
-    are already placed by doc_id in as many partitions.
+    are already placed by doc_id in as many partitions.  With ``each_row`` an
+    example that stands several times is joined to its rows by ``knn_tags``.
     """
 
-    def __init__(self, examples: DataFrame, scale: str = "ratio", carry: Sequence[str] = (), parts: int | None = None):
+    def __init__(self, examples: DataFrame, scale: str = "ratio", carry: Sequence[str] = (), parts: int | None = None, each_row: bool = False):
         self.examples = examples
+        self.each_row = each_row
         self.carry = tuple(carry)
         rows = examples
         if parts is None:
@@ -137,6 +139,16 @@ class ExampleIndex:
         rare = counts.join(often.select("token"), "token", "left_anti").join(table.where(F.col("df") < least), "token")
         return found.unionByName(rare.select(*found.columns))
 
+    def joined_to_rows(self) -> ExampleIndex | None:
+        """The index without carried columns, if it is to join examples to their rows and some stand several times."""
+        if not self.each_row or self._held.where("token = '' AND _c > 1").isEmpty():
+            return None
+        part = copy(self)
+        for name in ("postings", "impacts", "tops"):
+            part.__dict__.pop(name, None)
+        part.carry = ()
+        return part
+
     @cached_property
     def labels(self) -> DataFrame:
         """The examples without their text, written once: a retrieval reads them several times."""
@@ -352,7 +364,7 @@ def nearest(
     these leading tokens meet, few where tokens are rare.  The product of the
     shares and that of what is left behind bound the score; what can still be
     the best is summed in full.  Equal vectors count as one, the latest example
-    of them.
+    of them.  The index carries the example's column of ``same``.
     """
     names = {c: f"_k{i}" for i, c in enumerate(key)}
     least, one, vector = floor - SLACK, list(names.values()), ["_same", "_v1", "_v2"]
@@ -362,8 +374,6 @@ def nearest(
     vectors = asked.groupBy(*vector, "token").agg(F.first("share").alias("_a"), F.first("left").alias("_left"))
 
     def restricted(rows: DataFrame) -> DataFrame:
-        if same[1] not in index.carry:
-            rows = rows.join(index.examples.select(*EXAMPLE, same[1]), EXAMPLE)
         return rows.withColumns({"_same": F.upper(same[1]), "w": F.col("tf") * F.col("idf")})
 
     leading = _leading(restricted(index.known), EXAMPLE).where(F.col("left") >= least)
@@ -473,7 +483,11 @@ def knn_tags(
     # Written once, with the texts that are asked.
     keyed = keyed.withColumn("_ask", ask).withColumn("text", F.when(F.col("_ask"), F.col("text"))).drop("_norm")
     keyed = through_table(keyed, "knn-rows")
-    best = nearest(index, keyed.where("_ask"), EXAMPLE, ("zone", "zone"), floor)
+    asked, joined = keyed.where("_ask"), index.joined_to_rows()
+    if "zone" in index.carry and joined is None:
+        best = nearest(index, asked, EXAMPLE, ("zone", "zone"), floor)
+    else:
+        best = retrieve(joined or index, asked, EXAMPLE, k=1, same=("zone", "zone"), fill=False, floor=floor).where(F.col("similarity") > floor)
     tags = index.examples.select(
         F.col("doc_id").alias("example_doc"), F.col("para_id").alias("example_para"), "gold_tag"
     )

@@ -101,3 +101,18 @@ def test_a_retrieval_takes_the_texts_of_the_examples_for_the_index_and_the_label
     asked = spark.createDataFrame([(1, "r5 r9 c1", "a"), (2, "unheard", "A")], "q long, text string, zone string")
     rows = retrieval.retrieve(index, asked, ["q"], k=3, same=("zone", "zone"), book=("zone", "zone")).collect()
     assert len(rows) == 6 and read.value == 2 * len(gold)
+
+
+def test_examples_that_repeat_are_joined_to_their_rows_if_asked(spark):
+    from folioscope.functions.styles import Vocabulary
+
+    rng = random.Random(5)
+    texts = made_texts(rng, 20)
+    gold = [(i // 2, 1, texts[i // 2], "H1", 1.0, "a") for i in range(24)] + [(50 + i, 1, t, "T", 1.0, "a") for i, t in enumerate(texts)]
+    asked = [(i, 2, t, "QQQQQQQQ", "A") for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(gold, SCHEMA)
+    rows = spark.createDataFrame(asked, "doc_id long, para_id long, text string, mapped_tag string, zone string")
+    take = lambda index: sorted(map(tuple, retrieval.knn_tags(index, rows, Vocabulary(["TXT", "H1", "T"])).select("doc_id", "similarity", "final_tag").collect()), key=repr)
+    assert take(retrieval.ExampleIndex(frame, carry=("zone",), each_row=True)) == take(retrieval.ExampleIndex(frame))
+    once = frame.dropDuplicates(["doc_id"])
+    assert retrieval.ExampleIndex(once, carry=("zone",), each_row=True).joined_to_rows() is None
